@@ -187,43 +187,43 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 3) -> DataFrame:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(id, component) over the verified links among ids that share a key; ids without a link have no row.
 
-    members has (key, id, weight); verify takes candidate pairs (a, b) and returns those that are links.
-    No group is expanded into all its pairs: in each round, every key compares its members with the one
-    leader that lies in the largest buckets (in a group of edited copies the original is such a hub), then
-    only keys whose members still lie in different components go on. What the rounds leave apart is compared
-    exactly, across components only. So no link between two components is lost, and links inside one
-    component are never needed.
+    members has (key, id, weight); verify takes candidate pairs (a, b, wa, wb) and returns those that are links.
+    Groups are not expanded into all their pairs. First every key compares its members with one leader, the
+    member that lies in the largest keys: in a group of edited copies the original is such a hub. Then keys
+    whose members still lie in different components do so with a leader from outside the first leader's
+    component. What is still apart after that is compared exactly, across components only. So no link between
+    two components is lost, and links inside one component are never needed.
     """
-    spark = scratch.spark
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = scratch.table(members.join(sizes, "key"), "members")
-    rank = scratch.table(held.groupBy("id").agg(F.sum("n").alias("hub"), F.first("weight").alias("weight")), "hubs")
-    labels = edges = None
-    for k in range(rounds + 1):
-        now = held.select("key", "id").join(rank, "id")
-        now = now.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")) if labels is not None else now.withColumn("c", F.col("id"))
-        split = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("hub", (-F.col("id")).alias("neg"), "c", "weight")).alias("top")).where("c0 < c1")
-        if k:
-            # the leader now comes from outside the component that holds the first leader
-            out = now.join(split.select("key", F.col("top.c").alias("done")), "key").where("c <> done")
-            split = out.groupBy("key").agg(F.max(F.struct("hub", (-F.col("id")).alias("neg"), "c", "weight")).alias("top"))
-        if k < rounds:
-            pairs = now.join(split, "key").where("c <> top.c").select(F.least("id", -F.col("top.neg")).alias("a"), F.greatest("id", -F.col("top.neg")).alias("b"), F.col("weight").alias("wa"), F.col("top.weight").alias("wb"))
+    held = members.join(sizes, "key")
+    rank = held.groupBy("id").agg(F.sum("n").alias("hub"))
+    held = scratch.table(held.select("key", "id", "weight").join(rank, "id"), "members")
+    leader = F.max(F.struct("hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"), F.col("weight").alias("lw"))).alias("top")
+    labels = tried = edges = None
+    for stage in ("leader", "second leader", "rest"):
+        now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        split = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader).where("c0 < c1")
+        if stage == "second leader":
+            split = now.join(split.select("key", F.col("top.lc").alias("first")), "key").where("c <> first").groupBy("key").agg(leader)
+        if stage != "rest":
+            other = -F.col("top.neg")
+            pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", other.alias("id2"), "weight", F.col("top.lw").alias("w2"))
         else:
-            rest = now.join(split.select("key"), "key").select("key", "id", "c", "weight")
-            pairs = rest.join(rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("weight").alias("w2")), "key").where("c <> c2 AND id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("weight").alias("wa"), F.col("w2").alias("wb"))
-        pairs = pairs.groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"))
-        if edges is not None:
+            rest = scratch.table(now.join(split.select("key"), "key").select("key", "id", "c", "weight"), "rest")
+            pairs = rest.join(rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("weight").alias("w2")), "key").where("c <> c2 AND id < id2").drop("c2")
+        first = F.col("id") < F.col("id2")
+        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(first, F.col("weight")).otherwise(F.col("w2")).alias("wa"), F.when(first, F.col("w2")).otherwise(F.col("weight")).alias("wb"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("wa").alias("wa"), F.min("wb").alias("wb"))
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        asked = scratch.table(pairs, f"pairs-{k}")
-        if not asked.limit(1).count():
-            break
-        found = scratch.table(verify(asked).select("a", "b"), f"links-{k}")
-        tried = asked.select("a", "b") if edges is None else tried.union(asked.select("a", "b"))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges, scratch, f"cc-{k}")
-    scratch.drop("members", "hubs")
-    return labels if labels is not None else spark.createDataFrame([], "id long, component long")
+        asked = scratch.table(pairs, f"pairs of {stage}")
+        found = scratch.table(verify(asked).select("a", "b"), f"links of {stage}")
+        tried = asked.select("a", "b") if tried is None else tried.union(asked.select("a", "b"))
+        if found.limit(1).count():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges, scratch, f"components by {stage}")
+    scratch.drop("members", "rest")
+    return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

@@ -8,6 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .language import language_id
+from .media import media_columns
+from .near_dup import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_output import token_output
 
@@ -22,9 +26,29 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_token_counts": op2_token_counts,
+    "op3_media_columns": op3_media_columns,
+    "op4_language_id": op4_language_id,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
