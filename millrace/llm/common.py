@@ -190,18 +190,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(id, component) over the verified links among ids that share a key; ids without a link have no row.
 
-    members has (key, id, weight); verify takes candidate pairs (a, b, wa, wb) and returns those that are links.
-    Groups are not expanded into all their pairs. First every key compares its members with one leader, the
-    member that lies in the largest keys: in a group of edited copies the original is such a hub. Then keys
-    whose members still lie in different components do so with a leader from outside the first leader's
-    component. What is still apart after that is compared exactly, across components only. So no link between
-    two components is lost, and links inside one component are never needed.
+    members has (key, id), distinct; verify takes candidate pairs (a, b) with a < b and returns those that are
+    links. A key with two members is their pair. Larger groups are not expanded into all their pairs: first
+    every key compares its members with one leader, the member that lies in the largest keys (in a group of
+    edited copies the original is such a hub). Then keys whose members still lie in different components do so
+    with a leader from outside the first leader's component. What is still apart after that is compared
+    exactly, across components only. So no link between two components is lost, and links inside one component
+    are never needed.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = members.join(sizes, "key")
+    keys = scratch.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "keys")
+    held = members.join(keys.where("n > 2").select("key", "n"), "key")
     rank = held.groupBy("id").agg(F.sum("n").alias("hub"))
-    held = scratch.table(held.select("key", "id", "weight").join(rank, "id"), "members")
-    leader = F.max(F.struct("hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"), F.col("weight").alias("lw"))).alias("top")
+    held = scratch.table(held.select("key", "id").join(rank, "id"), "members")
+    leader = F.max(F.struct("hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"))).alias("top")
     labels = tried = edges = None
     for stage in ("leader", "second leader", "rest"):
         now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -209,21 +210,23 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         if stage == "second leader":
             split = now.join(split.select("key", F.col("top.lc").alias("first")), "key").where("c <> first").groupBy("key").agg(leader)
         if stage != "rest":
-            other = -F.col("top.neg")
-            pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", other.alias("id2"), "weight", F.col("top.lw").alias("w2"))
+            pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", (-F.col("top.neg")).alias("id2"))
         else:
-            rest = scratch.table(now.join(split.select("key"), "key").select("key", "id", "c", "weight"), "rest")
-            pairs = rest.join(rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("weight").alias("w2")), "key").where("c <> c2 AND id < id2").drop("c2")
-        first = F.col("id") < F.col("id2")
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.when(first, F.col("weight")).otherwise(F.col("w2")).alias("wa"), F.when(first, F.col("w2")).otherwise(F.col("weight")).alias("wb"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("wa").alias("wa"), F.min("wb").alias("wb"))
+            rest = scratch.table(now.join(split.select("key"), "key").select("key", "id", "c"), "rest")
+            pairs = rest.join(rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2")), "key").where("c <> c2 AND id < id2")
+        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        if stage == "leader":
+            pairs = pairs.union(keys.where("n = 2").select("a", "b"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         asked = scratch.table(pairs, f"pairs of {stage}")
+        if not asked.limit(1).count():
+            continue
         found = scratch.table(verify(asked).select("a", "b"), f"links of {stage}")
-        tried = asked.select("a", "b") if tried is None else tried.union(asked.select("a", "b"))
+        tried = asked if tried is None else tried.union(asked)
         if found.limit(1).count():
             edges = found if edges is None else edges.union(found)
             labels = components(edges, scratch, f"components by {stage}")
-    scratch.drop("members", "rest")
+    scratch.drop("keys", "members", "rest")
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

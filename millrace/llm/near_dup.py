@@ -105,14 +105,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     classes = scratch.table(classes, "classes")
-    members = classes.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("weight"))
+    members = classes.select(F.explode("keys").alias("key"), "id")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wanted = scratch.table(members.join(shared, "key", "left_semi").select("id").distinct(), "wanted")
     sets = scratch.table(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), width), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(f"100 * least(wa, wb) >= {percent} * greatest(wa, wb)")
-        both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = both.where(f"100L * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
         both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return both.where(f"100L * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
 

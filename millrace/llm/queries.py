@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contaminated
 from .language import language_id
+from .lines import dedup_lines
 from .media import media_columns
+from .mixing import mix
 from .near_dup import near_duplicates
+from .quality import quality
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_output import token_output
@@ -42,6 +46,22 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_token_counts": op2_token_counts,
@@ -49,6 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
