@@ -5,8 +5,9 @@ sorted and counted by Spark, positions with a unique name leave, and the offset
 Positions reach Spark only where a string can repeat: each 200-byte string has one anchor (the smallest hash among
 its 48-byte pieces, the leftmost of equals), equal strings have equal anchors, and neighbouring strings with one
 anchor form a segment. A segment whose anchor occurs once in the corpus is unique at length 48 and leaves at once;
-segments that are equal as a whole are counted as a whole; only different segments with one anchor are taken apart
-into positions for the doubling.
+segments that are equal as a whole are counted as a whole. Different segments with one anchor are taken apart, first
+into blocks of 16 strings at equal places from the anchor: a block whose strings share a unique core leaves, equal
+blocks are counted as a whole, and only the strings of what is left become positions for the doubling.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import INVERSE, U64, Scratch, mix64, powers, prefix_hash, range_hash, signed, text_slices
 
-#: Bytes of a piece that can anchor, of the first names, and of text that is taken at once.
-PIECE, FIRST, CHUNK = 48, 50, 1 << 19
+#: Bytes of a piece that can anchor, of the first names; strings in a block; bytes of text that are taken at once.
+PIECE, FIRST, BLOCK, CHUNK = 48, 50, 16, 1 << 19
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -84,22 +85,66 @@ def corpus_segments(docs: DataFrame, length: int) -> DataFrame:
     return _key(docs).mapInArrow(cut, "d long, k long, off long, n int, anchor long, content long")
 
 
-def _names(length: int):
-    """Names of all FIRST-byte strings of segments: rows (d, k, text, list of off, n, anchor, content) to segments."""
+def _cut_out(length: int):
+    """The bytes of segments, and how far the anchor lies from their beginning."""
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for text, wanted in zip(batch.column(0), batch.column(1)):
-                data = np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8)
-                rows = []
+                data = text.as_py().encode("utf-8", "replace")
                 for w in wanted.as_py():
                     part = data[w["off"] : w["off"] + w["n"] + length - 1]
-                    prefix = prefix_hash(part)
-                    at = np.arange(len(part) - FIRST + 1)
-                    rows.append((w["anchor"], w["content"], range_hash(prefix, at, at + FIRST).view(np.int64)))
-                a, c, names = zip(*rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int32)), pa.array(np.concatenate(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), lists], ["anchor", "content", "names"])
+                    prefix = prefix_hash(np.frombuffer(part, np.uint8))
+                    m = min(length, len(part)) - PIECE + 1
+                    piece = mix64((prefix[PIECE : PIECE + m] - prefix[:m]) * powers(INVERSE, m)).view(np.int64)
+                    rows.append((w["anchor"], w["content"], w["times"], w["n"], int(np.flatnonzero(piece == w["anchor"])[0]), part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "content", "times", "n", "lead", "bytes"])
+
+    return cut
+
+
+def _blocks(length: int):
+    """A segment's strings in blocks of BLOCK by their place relative to the anchor, alike in all segments of it.
+
+    core names the bytes that all strings of the block share, whole those that any of them has.
+    """
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for n, lead, part in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
+                prefix = prefix_hash(np.frombuffer(part, np.uint8))
+                b = np.arange(-lead // BLOCK, (n - 1 - lead) // BLOCK + 1)
+                j0, j1 = np.maximum(b * BLOCK + lead, 0), np.minimum(b * BLOCK + BLOCK - 1 + lead, n - 1)
+                core = range_hash(prefix, b * BLOCK + BLOCK - 1 + lead, b * BLOCK + length + lead)
+                whole = mix64(range_hash(prefix, j0, j1 + length) + ((j0 - lead) * 1024 + j1 - lead).astype(np.uint64))
+                for k, x in enumerate((b, j0, j1, core.view(np.int64), whole.view(np.int64), np.full(len(b), len(out[0])))):
+                    out[k].append(x)
+            if out[0]:
+                b, j0, j1, core, whole, row = map(np.concatenate, out)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), *(pa.array(x.astype(np.int32)) for x in (b, j0, j1)), pa.array(core), pa.array(whole)], ["anchor", "content", "times", "b", "j0", "j1", "core", "whole"])
+
+    return block
+
+
+def _names(length: int):
+    """For single strings of segments: their four names of FIRST bytes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, js, names = [], [], []
+            for k, (part, ranges) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                prefix = prefix_hash(np.frombuffer(part, np.uint8))
+                j = np.concatenate([np.arange(r["j0"], r["j1"] + 1) for r in ranges])
+                js.append(j)
+                rows.append(np.full(len(j), k))
+                names.append(np.stack([range_hash(prefix, j + f, j + f + FIRST) for f in range(0, length, FIRST)]))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(np.concatenate(js).astype(np.int32)), *map(signed, np.concatenate(names, 1))], ["anchor", "content", "times", "j", "n0", "n1", "n2", "n3"])
 
     return name
 
@@ -111,22 +156,27 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     held = scratch.table(seg.join(anchors.select("anchor", (F.col("c0") < F.col("c1")).alias("mixed")), "anchor"), "held")
     scratch.drop("segments")
     whole = held.where("NOT mixed").select("d", "k", F.col("off").alias("s"), (F.col("off") + F.col("n") + length - 1).alias("e"))
-    kinds = held.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("d", "k", "off", "n")).alias("at"))
-    kinds = scratch.table(kinds, "kinds")
-    asked = kinds.groupBy(F.col("at.d").alias("d"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct(F.col("at.off").alias("off"), F.col("at.n").alias("n"), "anchor", "content")).alias("wanted"))
+    # one example of each different segment, from one row (first() of one aggregation come from one row)
+    kinds = held.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("d", "k", "off", "n")))
+    asked = kinds.groupBy("d", "k").agg(F.collect_list(F.struct("off", "n", "anchor", "content", "times")).alias("wanted"))
     texts = _key(docs)
-    named = texts.join(asked, _same(texts, asked)).select("text", "wanted").mapInArrow(_names(length), "anchor long, content long, names array<long>").dropDuplicates(["anchor", "content"])
-    named = scratch.table(named.join(kinds.select("anchor", "content", "times"), ["anchor", "content"]), "names")
-    # names of doubled length are hashes of the pair of names; a string is named by (anchor, name)
-    half, step = length // 2, FIRST
-    pair = lambda at: f"xxhash64(names[{at}], names[{at} + {step}])"
-    at = named.select("anchor", "content", "times", F.explode(F.expr(f"transform(sequence(0, size(names) - {length - FIRST} - 1), j -> struct(j, {pair('j')} AS head, {pair(f'j + {half}')} AS tail))")).alias("p"))
-    at = at.select("anchor", "content", "times", "p.j", "p.head", "p.tail")
+    # rows of equal keys have equal segments: each is named once
+    mixed = texts.join(asked, _same(texts, asked)).select("text", "wanted").mapInArrow(_cut_out(length), "anchor long, content long, times long, n int, lead int, bytes binary")
+    mixed = scratch.table(mixed, "mixed")
+    blocks = scratch.table(mixed.mapInArrow(_blocks(length), "anchor long, content long, times long, b int, j0 int, j1 int, core long, whole long"), "blocks")
+    cores = blocks.groupBy("anchor", "b", "core").agg(F.sum("times").alias("seen"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("seen > 1")
+    alive = blocks.join(cores.select("anchor", "b", "core", (F.col("w0") == F.col("w1")).alias("equal")), ["anchor", "b", "core"])
+    alive = scratch.table(alive.select("anchor", "content", "j0", "j1", "equal"), "alive")
+    open_ = alive.where("NOT equal").groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("ranges"))
+    at = mixed.join(open_, ["anchor", "content"]).select("anchor", "content", "times", "bytes", "ranges").mapInArrow(_names(length), "anchor long, content long, times long, j int, n0 long, n1 long, n2 long, n3 long")
+    # doubled twice: a name of 100 bytes is that of a pair at offset 50, and one of 200 that of a pair at offset 100
+    at = scratch.table(at.select("anchor", "content", "times", "j", F.xxhash64("n0", "n1").alias("head"), F.xxhash64("n2", "n3").alias("tail")), "positions")
     heads = at.groupBy("anchor", "head").agg(F.sum("times").alias("seen")).where("seen > 1")
     at = at.join(heads.select("anchor", "head"), ["anchor", "head"], "left_semi")
     full = at.groupBy("anchor", "head", "tail").agg(F.sum("times").alias("seen")).where("seen > 1")
-    found = at.join(full.select("anchor", "head", "tail"), ["anchor", "head", "tail"], "left_semi").groupBy("anchor", "content").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    partly = held.where("mixed").join(found, ["anchor", "content"]).select("d", "k", "off", F.explode("js").alias("j")).select("d", "k", (F.col("off") + F.col("j")).alias("s"), (F.col("off") + F.col("j") + length).alias("e"))
+    single = at.join(full.select("anchor", "head", "tail"), ["anchor", "head", "tail"], "left_semi").select("anchor", "content", F.col("j").alias("j0"), F.col("j").alias("j1"))
+    found = single.union(alive.where("equal").select("anchor", "content", "j0", "j1")).groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("js"))
+    partly = held.where("mixed").join(found, ["anchor", "content"]).select("d", "k", "off", F.explode("js").alias("j")).select("d", "k", (F.col("off") + F.col("j.j0")).alias("s"), (F.col("off") + F.col("j.j1") + length).alias("e"))
     return whole.union(partly).groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -151,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False)
         raise ValueError(f"length must be {4 * FIRST}")
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = scratch.table(repeated_spans(docs, length, scratch), "spans")
-    scratch.drop("held", "kinds", "names")
+    scratch.drop("held", "mixed", "blocks", "alive", "positions")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
