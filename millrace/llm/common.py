@@ -187,22 +187,25 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, central: Callable[[DataFrame], DataFrame] | None, finer: Callable[[DataFrame], DataFrame], fits: str) -> DataFrame:
     """(id, component) over the verified links among ids that share a key; ids without a link have no row.
 
     members has (key, id), distinct; verify takes candidate pairs (a, b) with a < b and returns those that are
     links. A key with two members is their pair. Larger groups are not expanded into all their pairs: first
-    every key compares its members with one leader, the member that lies in the largest keys (in a group of
-    edited copies the original is such a hub). Then keys whose members still lie in different components do so
-    with a leader from outside the first leader's component. What is still apart after that is compared
-    exactly, across components only. So no link between two components is lost, and links inside one component
-    are never needed.
+    every key compares its members with one leader, the most central member (by central(ids): id, central), of
+    equals the one that lies in the largest keys: in a group of edited copies the original is such a hub. Then
+    keys whose members still lie in different components do so with a leader from outside the first leader's
+    component. For what is still apart, finer(ids) has rows (key, id, more) such that every link shares a key
+    at which `fits` holds (the other row's columns have a 2 behind their names); it is compared exactly, across
+    components only. So no link between two components is lost, and links inside one are never needed.
     """
     keys = scratch.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "keys")
     held = members.join(keys.where("n > 2").select("key", "n"), "key")
     rank = held.groupBy("id").agg(F.sum("n").alias("hub"))
-    held = scratch.table(held.select("key", "id").join(rank, "id"), "members")
-    leader = F.max(F.struct("hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"))).alias("top")
+    held = scratch.table(held.select("key", "id").join(rank, "id"), "hubs")
+    middle = central(held.select("id").distinct()) if central else held.select("id", F.lit(0).alias("central")).distinct()
+    held = scratch.table(held.join(middle, "id"), "members")
+    leader = F.max(F.struct("central", "hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"))).alias("top")
     labels = tried = edges = None
     for stage in ("leader", "second leader", "rest"):
         now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -212,8 +215,10 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         if stage != "rest":
             pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", (-F.col("top.neg")).alias("id2"))
         else:
-            rest = scratch.table(now.join(split.select("key"), "key").select("key", "id", "c"), "rest")
-            pairs = rest.join(rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2")), "key").where("c <> c2 AND id < id2")
+            rest = scratch.table(now.join(split.select("key"), "key").select("id", "c").distinct(), "rest")
+            fine = scratch.table(finer(rest.select("id")).join(rest, "id"), "finer")
+            other = fine.select("key", *(F.col(c).alias(f"{c}2") for c in fine.columns if c != "key"))
+            pairs = fine.join(other, "key").where(f"c <> c2 AND id < id2 AND {fits}")
         pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         if stage == "leader":
             pairs = pairs.union(keys.where("n = 2").select("a", "b"))
@@ -228,5 +233,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         if found.limit(1).count():
             edges = found if edges is None else edges.union(found)
             labels = components(edges, scratch, f"components by {stage}")
-    scratch.drop("keys", "members", "rest")
+    scratch.drop("keys", "hubs", "members", "rest", "finer")
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

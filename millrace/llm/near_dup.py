@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import U64, Scratch, linked, mix64, shingle_hashes, signed, text_slices
 
@@ -116,7 +117,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return both.where(f"100L * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
 
-    labels = linked(members, confirm, scratch)
+    def exploded(ids: DataFrame) -> DataFrame:
+        own = sets.join(ids, F.col("doc_id") == F.col("id"))
+        return own.select("id", F.xxhash64("shingles").alias("of"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+
+    def central(ids: DataFrame) -> DataFrame:
+        """The fewer shingles a document has that no other of these has, the more central it is."""
+        alone = exploded(ids).groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+        return ids.join(alone, "id", "left").select("id", (-F.coalesce("u", F.lit(0))).alias("central"))
+
+    def prefixes(ids: DataFrame) -> DataFrame:
+        """The rarest shingles of each set, as many as one of them must be shared by every link, with their places."""
+        rare = exploded(ids).join(exploded(ids).groupBy("key").agg(F.count("*").alias("df")), "key")
+        rare = rare.withColumn("place", F.row_number().over(W.partitionBy("id", "of").orderBy("df", "key")) - 1)
+        return rare.where(f"place <= floor(n * {100 - percent} / 100)").select("key", "id", "n", "place")
+
+    # the first shared shingle's places bound the intersection by what comes after them
+    fits = f"{100 + percent} * least(n - place, n2 - place2) >= {percent} * (n + n2)"
+    labels = linked(members, confirm, scratch, central, prefixes, fits)
     scratch.drop("sets", "wanted")
     of_class = classes.select("d1", "d2", "n_shingles", "id").join(labels, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("c"))
     out = signed_docs.join(of_class, ["d1", "d2", "n_shingles"], "left")
