@@ -174,20 +174,36 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     heads = at.groupBy("anchor", "head").agg(F.sum("times").alias("seen")).where("seen > 1")
     at = at.join(heads.select("anchor", "head"), ["anchor", "head"], "left_semi")
     full = at.groupBy("anchor", "head", "tail").agg(F.sum("times").alias("seen")).where("seen > 1")
-    single = at.join(full.select("anchor", "head", "tail"), ["anchor", "head", "tail"], "left_semi").select("anchor", "content", F.col("j").alias("j0"), F.col("j").alias("j1"))
-    found = single.union(alive.where("equal").select("anchor", "content", "j0", "j1")).groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("js"))
-    partly = held.where("mixed").join(found, ["anchor", "content"]).select("d", "k", "off", F.explode("js").alias("j")).select("d", "k", (F.col("off") + F.col("j.j0")).alias("s"), (F.col("off") + F.col("j.j1") + length).alias("e"))
+    single = at.join(full.select("anchor", "head", "tail"), ["anchor", "head", "tail"], "left_semi").select("anchor", "content", F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"))
+    found = single.union(alive.where("equal").select("anchor", "content", "j0", F.col("j1") + 1)).groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("js"))
+    found = scratch.table(found.mapInArrow(_runs, "anchor long, content long, j0 int, j1 int"), "found")
+    partly = held.where("mixed").join(found, ["anchor", "content"]).select("d", "k", (F.col("off") + F.col("j0")).alias("s"), (F.col("off") + F.col("j1") + length - 1).alias("e"))
     return whole.union(partly).groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (s, e) of all rows of a list column, overlapping and touching ones as one: row, s, e in order."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    # rows are laid behind each other, so that one pass serves all
+    far = row.astype(np.int64) << 40
+    s, e = (values.field(k).to_numpy().astype(np.int64) + far for k in range(2))
+    order = np.argsort(s, kind="stable")
+    s, reach = s[order], np.maximum.accumulate(e[order]) if len(e) else e
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(s))[: len(first)] - 1
+    row = s[first] >> 40
+    return row, s[first] - (row << 40), reach[last] - (row << 40)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, s, e = merged(batch.column(2))
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["anchor", "content", "j0", "j1"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False) -> DataFrame:
@@ -201,23 +217,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False)
         raise ValueError(f"length must be {4 * FIRST}")
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = scratch.table(repeated_spans(docs, length, scratch), "spans")
-    scratch.drop("held", "mixed", "blocks", "alive", "positions")
+    scratch.drop("held", "mixed", "blocks", "alive", "positions", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, count, sha, left = [], [], [], [], []
-            for text, ranges in zip(batch.column(1), batch.column(2)):
+            row, s, e = merged(batch.column(2))
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            s, e = s.tolist(), e.tolist()
+            for k, text in enumerate(batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "replace")
-                gone = merged([(r["s"], r["e"]) for r in ranges.as_py() or ()])
-                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)]))
+                a, b = s[at[k] : at[k + 1]], e[at[k] : at[k + 1]]
+                kept = b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)]))
                 n.append(len(data))
                 removed.append(len(data) - len(kept))
-                count.append(len(gone))
+                count.append(len(a))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 left.append(kept if keep_bytes else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     texts = _key(docs)
-    both = texts.join(spans.hint("shuffle_hash"), _same(texts, spans), "left").select(texts["d"], "text", "spans")
+    both = texts.join(spans.hint("shuffle_hash"), _same(texts, spans), "left").select(texts["d"], "text", F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"))
     out = both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
