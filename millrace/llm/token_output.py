@@ -46,49 +46,74 @@ def _apply(table: np.ndarray, v: np.ndarray) -> np.ndarray:
 _BASE, _AT, _SHIFTS = _tables()
 
 
-def crc32c(record: bytes) -> int:
-    """CRC-32C, in blocks of 64 bytes that are reduced side by side and then moved to their places."""
-    n = len(record)
-    if n < _BLOCK:
+def checksums(records: list[bytes | memoryview]) -> np.ndarray:
+    """The CRC-32C of each record, in blocks of 64 bytes that are reduced side by side and then moved to their places."""
+    sizes = np.array([len(r) for r in records], np.int64)
+    out = np.empty(len(records), np.uint32)
+    for i in np.flatnonzero(sizes < 4).tolist():
         c = 0xFFFFFFFF
-        for b in record:
+        for b in bytes(records[i]):
             c = (c >> 8) ^ int(_BASE[(c ^ b) & 255])
-        return c ^ 0xFFFFFFFF
-    m = -(-n // _BLOCK)
-    data = np.zeros(m * _BLOCK, np.uint8)  # zeros in front change nothing while the state is 0
-    data[m * _BLOCK - n :] = np.frombuffer(record, np.uint8)
-    data[m * _BLOCK - n : m * _BLOCK - n + 4] ^= 255  # the state that a checksum begins with
-    blocks = np.bitwise_xor.reduce(_AT[np.arange(_BLOCK), data.reshape(m, _BLOCK)], axis=1)
-    far = np.arange(m - 1, -1, -1)
-    k = 0
-    while m - 1 >> k:
-        hit = (far >> k) & 1 == 1
-        blocks[hit] = _apply(_SHIFTS[k], blocks[hit])
-        k += 1
-    return int(np.bitwise_xor.reduce(blocks)) ^ 0xFFFFFFFF
-
-
-def masked(record: bytes) -> int:
-    c = crc32c(record)
-    return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
+        out[i] = c ^ 0xFFFFFFFF
+    some = np.flatnonzero(sizes >= 4)
+    if len(some):
+        m = -(-sizes[some] // _BLOCK)
+        ends = np.cumsum(m)
+        data = np.zeros(int(ends[-1]) * _BLOCK, np.uint8)  # zeros in front of a record change nothing while the state is 0
+        for i, end in zip(some.tolist(), (ends * _BLOCK).tolist()):
+            data[end - len(records[i]) : end] = np.frombuffer(records[i], np.uint8)
+        first = ends * _BLOCK - sizes[some]
+        data[first[:, None] + np.arange(4)] ^= 255  # the state that a checksum begins with
+        columns = np.ascontiguousarray(data.reshape(-1, _BLOCK).T)
+        blocks = _AT[0].take(columns[0])
+        for k in range(1, _BLOCK):
+            blocks ^= _AT[k].take(columns[k])
+        far = np.repeat(ends, m) - 1 - np.arange(int(ends[-1]))
+        k = 0
+        while int(m.max()) - 1 >> k:
+            hit = (far >> k) & 1 == 1
+            blocks[hit] = _apply(_SHIFTS[k], blocks[hit])
+            k += 1
+        out[some] = np.bitwise_xor.reduceat(blocks, ends - m) ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+def masked(records: list[bytes | memoryview]) -> list[bytes]:
+    """The masked checksum of each record as 4 bytes."""
+    c = checksums(records)
+    raw = (((c >> np.uint32(15)) | (c << np.uint32(17))) + np.uint32(MASK)).astype("<u4").tobytes()
+    return [raw[k : k + 4] for k in range(0, len(raw), 4)]
 
 
-def frame(record: bytes) -> bytes:
+def crc32c(record: bytes) -> int:
+    return int(checksums([record])[0])
+
+
+def frames(records: list[bytes]) -> list[bytes]:
     """Length (8 bytes), its masked checksum (4), the record, its masked checksum (4); all little-endian."""
-    size = len(record).to_bytes(8, "little")
-    return b"".join((size, masked(size).to_bytes(4, "little"), record, masked(record).to_bytes(4, "little")))
+    sizes = [len(r).to_bytes(8, "little") for r in records]
+    return [b"".join(parts) for parts in zip(sizes, masked(sizes), records, masked(records))]
+
+
+def frame(record: bytes) -> bytes:
+    return frames([record])[0]
+
+
+def unframed(data: bytes | memoryview, offsets: list[int]) -> list[bytes]:
+    """The records at the offsets; ValueError if a checksum is wrong or the file ends early."""
+    sizes = [bytes(data[o : o + 8]) for o in offsets]
+    for o, size, sum_ in zip(offsets, sizes, masked(sizes)):
+        if len(size) < 8 or data[o + 8 : o + 12] != sum_:
+            raise ValueError(f"bad length at {o}")
+    records = [bytes(data[o + 12 : o + 12 + int.from_bytes(size, "little")]) for o, size in zip(offsets, sizes)]
+    for o, size, record, sum_ in zip(offsets, sizes, records, masked(records)):
+        if len(record) < int.from_bytes(size, "little") or data[o + 12 + len(record) : o + 16 + len(record)] != sum_:
+            raise ValueError(f"bad record at {o}")
+    return records
 
 
 def unframe(data: bytes | memoryview, offset: int) -> bytes:
-    """The record at an offset; ValueError if either checksum is wrong or the file ends early."""
-    size = bytes(data[offset : offset + 8])
-    if len(size) < 8 or masked(size) != int.from_bytes(data[offset + 8 : offset + 12], "little"):
-        raise ValueError(f"bad length at {offset}")
-    end = offset + 12 + int.from_bytes(size, "little")
-    record = bytes(data[offset + 12 : end])
-    if len(data) < end + 4 or masked(record) != int.from_bytes(data[end : end + 4], "little"):
-        raise ValueError(f"bad record at {offset}")
-    return record
+    return unframed(data, [offset])[0]
 
 
 def filesystem(uri: str):
@@ -126,8 +151,18 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         end = np.array([end_id], words.dtype).tobytes()
         fs, root = filesystem(folder)
         out, name, index, at, ids, of = None, "", [], 0, 0, 0
+        held: list[tuple[int | None, bytes]] = []
+
+        def flush():
+            nonlocal at, ids
+            for (doc, record), framed in zip(held, frames([r for _, r in held])):
+                out.write(framed)
+                index.append((doc if doc is not None else 0, doc is not None, at, count := len(record) // words.dtype.itemsize))
+                at, ids = at + len(framed), ids + count
+            held.clear()
 
         def close():
+            flush()
             out.close()
             with fs.open_output_stream(f"{name}.idx.part") as f:
                 f.write(np.array(index, INDEX).tobytes())
@@ -135,15 +170,19 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                 fs.move(f"{name}.{kind}.part", f"{name}.{kind}")
 
         for batch in batches:
+            size = 0
             for doc, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if out is None:
                     of, name = shard, f"{root}/tokens-{shard:06d}-{uuid.uuid4().hex}"
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{name}.rec.part", buffer_size=1 << 20)
-                record = words.encode(text.as_py() or "") + end
-                out.write(framed := frame(record))
-                index.append((doc if doc is not None else 0, doc is not None, at, count := len(record) // words.dtype.itemsize))
-                at, ids = at + len(framed), ids + count
+                held.append((doc, words.encode(text.as_py() or "") + end))
+                size += len(held[-1][1])
+                if size > 1 << 20:  # records are summed together, by the megabyte
+                    flush()
+                    size = 0
+            if out is not None:
+                flush()
         if out is not None:
             close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([of], pa.int32()), "path": [name], "documents": [len(index)], "ids": [ids]})
@@ -177,7 +216,7 @@ def read_records(spark, folder: str, manifest: list[tuple[int, str, int, int]],
                         until = int(part["offset"][-1] + part["n_tokens"][-1] * itemsize + 16)
                         f.seek(begin)
                         data = memoryview(f.read(until - begin))
-                        records = [np.frombuffer(unframe(data, int(o) - begin), f"<u{itemsize}").astype("<u4").tobytes() for o in part["offset"]]
+                        records = [np.frombuffer(r, f"<u{itemsize}").astype("<u4").tobytes() for r in unframed(data, (part["offset"] - begin).tolist())]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(part["doc_id"], mask=part["has_id"] == 0), pa.array(starts[lo : lo + 500]), pa.array([len(r) // 4 for r in records], pa.int64()), pa.array(records, pa.binary())],
                             ["doc_id", "start", "n_tokens", "ids"],
