@@ -38,7 +38,7 @@ class Words:
 
     loaded: dict[str, "Words"] = {}
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class Words:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = str.maketrans(_byte_letters())
+        self.space = self.letters[32]
         self.kind = _classes()
         self.known: dict[str, bytes] = {}
         self.most = most
@@ -100,13 +101,17 @@ class Words:
         starts.append(n)
         return [text[a:b] for a, b in zip(starts, starts[1:])]
 
+    def mapped(self, word: str) -> str:
+        if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
+            return word.replace(" ", self.space)
+        return word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+
     def ids_of_word(self, word: str) -> bytes:
-        mapped = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(mapped)]
+        ids = [t.id for t in self.model.tokenize(self.mapped(word))]
         return pack(f"<{len(ids)}{self.code}", *ids)
 
     def pieces(self, word: str) -> int:
-        return len(self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)))
+        return len(self.model.tokenize(self.mapped(word)))
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
