@@ -310,3 +310,22 @@ def test_pipeline_stages_keep_columns(spark, docs):
         table = stage(spark, table, sf_dir)
         assert table.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert P.run(spark, sf_dir).columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_op10_recall(spark):
+    """Against edit similarity alone: lines with one or two replaced words, which are seldom within 3 bits."""
+    rows, pairs = [], 0
+    for n, edits in ((10, 1), (20, 2), (60, 4), (150, 10)):
+        for k in range(40):
+            base = " ".join("".join(R.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+            w = base.split(" ")
+            for at in R.sample(range(n), edits):
+                w[at] = "".join(R.choice("stuvwxyz") for _ in range(5))
+            rows += [(2 * pairs, base), (2 * pairs + 1, " ".join(w))]
+            pairs += 1
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == 0 for k in range(pairs))
+    assert sum(got[2 * k + 1] for k in range(pairs)) >= 0.93 * pairs
+    other = " ".join("".join(R.choice("abcdefgh") for _ in range(5)) for _ in range(7))
+    unlike = [(1, "same start of a line " + other), (2, "same start of a line " + " ".join(x[::-1] + "q" for x in other.split(" ")))]
+    assert [r.n_removed for r in lines.dedup_lines(spark.createDataFrame(unlike, "doc_id long, text string")).collect()] == [0, 0]
