@@ -1,4 +1,4 @@
-"""Operator 9: mixing sources to target weights by a low-discrepancy schedule of equal-token blocks. DataFrame functions only."""
+"""Operator 9: mixing sources to target weights by a low-discrepancy schedule of blocks, equal within a source. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch
 
-#: Most slots of a schedule (blocks get longer as the input grows), bins that find a point's source, buckets of a source's order.
-SLOTS, BINS, BUCKET_BITS = 1 << 18, 4096, 12
+#: Slots of a schedule (blocks get longer as the input grows; sources under FINEST blocks add to them), buckets of a source's order.
+SLOTS, FINEST, BUCKET_BITS = 1 << 18, 100, 12
 GOLDEN = 0.6180339887498949
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 17
 
@@ -35,37 +35,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return s.select("sid", "source", "source_size", F.least(target, F.col("most")).alias("target"))
 
 
-def schedule(targets: DataFrame, block: int, slots: int, repeats: int = REPEATS) -> DataFrame:
-    """(slot, sid, rank, block): which block of which source each slot of the mix takes.
+def blocked(targets: DataFrame, block: int) -> DataFrame:
+    """The targets with `blocks`, into which a source is divided, and `slots`, how many of them the mix takes.
 
-    Slot i has the point frac((i + 1) * golden ratio), which falls into one source's part of the cumulative
-    targets. A source's slots are ranked in order, and rank r takes its block r modulo their number, so that a
-    source is passed through evenly; no block is taken more than `repeats` times.
+    Blocks have `block` words, but no more than a FINEST of the source and of its target, so that a small source
+    reaches its target too: what is taken differs from the target by half a block at most. A source's blocks are
+    equal (to one word), so no slot is lost on a short last one. No block is taken more than `repeats` times, as no
+    target is above `repeats` times its source.
     """
-    spark = targets.sparkSession
-    order = W.orderBy("sid")
-    ends = targets.where("source_size > 0").withColumn("hi", F.sum("target").over(order)).withColumn("total", F.sum("target").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    ends = ends.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)) / F.col("total"))
-    # the last part ends at 1 exactly
-    ends = ends.withColumn("hi", F.when(F.lead("sid").over(order).isNull(), 1.0).otherwise(F.col("hi") / F.col("total"))).where("lo < hi")
-    parts = ends.select("sid", "lo", "hi", F.ceil(F.col("source_size") / block).alias("blocks"), F.explode(F.expr(f"sequence(CAST(floor(lo * {BINS}) AS INT), CAST(least(floor(hi * {BINS}), {BINS - 1}) AS INT))")).alias("bin"))
-    x = (F.col("id") + 1) * F.lit(GOLDEN)
-    points = spark.range(slots).select(F.col("id").alias("slot"), (x - F.floor(x)).alias("u")).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    hit = points.join(parts, "bin").where("lo <= u AND u < hi").select("slot", "sid", "blocks", F.floor(F.col("slot") / 4096).alias("chunk"))
-    # ranks in two steps, so that no source's slots meet in one task
-    chunks = hit.groupBy("sid", "chunk").count().withColumn("first", F.sum("count").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("count"))
-    ranked = hit.join(chunks.select("sid", "chunk", "first"), ["sid", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1)
-    return ranked.where(F.col("rank") < repeats * F.col("blocks")).select("slot", "sid", "rank", F.pmod("rank", "blocks").alias("block"))
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.least("source_size", "target") / FINEST)))
+    t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / size))
+    return t.withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+
+
+def schedule(targets: DataFrame) -> DataFrame:
+    """(sid, rank, place, block): the slots of the mix; in the order of place, from 0 to 1, they are the mix.
+
+    A source's slots are spread evenly, from an offset that the golden ratio deals to it, so that any stretch of
+    the mix has each source's share within a block. Rank r takes block r modulo their number, so that a source is
+    passed through evenly.
+    """
+    offset = F.col("sid") * F.lit(GOLDEN)
+    ranked = targets.where("slots > 0").select("sid", "slots", "blocks", (offset - F.floor(offset)).alias("offset"), F.explode(F.expr("sequence(0L, slots - 1)")).alias("rank"))
+    return ranked.select("sid", "rank", ((F.col("rank") + F.col("offset")) / F.col("slots")).alias("place"), F.pmod("rank", "blocks").alias("block"))
 
 
 def word_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def pieces(sized: DataFrame, targets: DataFrame, block: int, seed: int = SEED) -> DataFrame:
+def pieces(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(row, sid, block, words): the parts of documents that lie in each block of their source's shuffled order.
 
+    Blocks that no slot takes (from `slots` on) are left out.
+
     A source's documents follow each other in hash order. Their places are prefix sums in two steps, over
     buckets of the hash and within each, so that a hot source does not meet in one task.
     """
@@ -76,8 +79,12 @@ def pieces(sized: DataFrame, targets: DataFrame, block: int, seed: int = SEED) -
     d = d.join(sums.select("sid", "bucket", "first"), ["sid", "bucket"])
     end = F.col("first") + F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
     d = d.withColumn("end", end).withColumn("begin", F.col("end") - F.col("size"))
-    d = d.select("row", "sid", "begin", "end", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")).alias("block"))
-    return d.select("row", "sid", "block", (F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)).alias("words"))
+    # block i begins at word i * source_size div blocks; decimals, as the product can exceed a long
+    starts = lambda i: f"(CAST({i} AS DECIMAL(19, 0)) * source_size div blocks)"
+    within = lambda x: f"((CAST({x} + 1 AS DECIMAL(19, 0)) * blocks - 1) div source_size)"
+    d = d.join(targets.select("sid", "source_size", "blocks", "slots"), "sid").withColumn("from", F.expr(within("begin"))).withColumn("to", F.expr(f"least({within('end - 1')}, slots - 1)")).where("`from` <= `to`")
+    d = d.select("row", "sid", "begin", "end", "source_size", "blocks", F.explode(F.expr("sequence(`from`, `to`)")).alias("block"))
+    return d.select("row", "sid", "block", F.expr(f"least(end, {starts('block + 1')}) - greatest(begin, {starts('block')})").alias("words"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, slots: int = SLOTS) -> DataFrame:
@@ -93,9 +100,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     targets = scratch.table(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     block = max(1, -(-total // slots))
-    plan = schedule(targets, block, -(-total // block), repeats)
-    draws = plan.groupBy("sid", "block").agg(F.count("*").alias("draws"))
-    taken = pieces(sized, targets, block).join(draws, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
+    plan = scratch.table(blocked(targets, block), "plan")
+    draws = schedule(plan).groupBy("sid", "block").agg(F.count("*").alias("draws"))
+    taken = pieces(sized, plan).join(draws, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
     named = sized.join(targets.drop("sid").withColumnRenamed("source", "of"), sized["source"].eqNullSafe(F.col("of"))).drop("of")
     return named.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

@@ -312,6 +312,36 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert P.run(spark, sf_dir).columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+@pytest.mark.parametrize("slots", [4, 16, 200])
+def test_op9_small_sources(spark, slots):
+    """Blocks far longer than the smaller sources: each still reaches its target."""
+    kinds = {"big": (40, 2000), "tiny": (1, 20), "small": (3, 31), "odd": (7, 457), None: (5, 211)}
+    rows = [(100 * c + k, prose(n), s) for c, (s, (m, n)) in enumerate(kinds.items()) for k in range(m)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: m * n for s, (m, n) in kinds.items()}
+    names = sorted(s for s in sizes if s is not None) + [None]
+    want = fill(sizes, dict(zip(names, [5.0, 2.0, 1.0] * 3)), 3)
+    taken = Counter()
+    for r in mixing.mix(df, slots=slots).collect():
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - want[s]) <= 1 + 0.01 * want[s] for s in names)
+    copies = Counter(r.source for r in mixing.mixed_documents(df, slots=slots).collect())
+    assert copies["tiny"] == 3 and copies["small"] == 9
+
+
+def test_op9_plan(spark):
+    """The reviewer's case of 4.9e9 words: blocks of a plan that is not run, and slots spread over the mix."""
+    sizes = {"a": 4_899_964_000, "b": 2_000, "c": 9_000, "d": 25_000}
+    targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    plan = mixing.blocked(targets, 18_693)
+    got = {r.source: r for r in plan.collect()}
+    assert all(abs(r.slots * r.source_size / r.blocks - r.target) <= 0.01 * r.target for r in got.values())
+    assert {s: got[s].target for s in "bcd"} == {"b": 6_000, "c": 27_000, "d": 75_000} and sum(r.slots for r in got.values()) < 1.01 * 2**18
+    half = Counter(r.sid for r in mixing.schedule(plan).where("place < 0.5").collect())
+    assert all(abs(half[r.sid] - r.slots / 2) <= 1 for r in got.values())
+
+
 def test_op10_recall(spark):
     """Against edit similarity alone: lines with one or two replaced words, which are seldom within 3 bits."""
     rows, pairs = [], 0
