@@ -1,8 +1,8 @@
 """Operator 6: removal of every byte that lies in a string of 200 bytes which also starts elsewhere.
 
-The method is distributed prefix doubling: positions are named by the pair of names at an offset, the pairs are
-sorted and counted by Spark, positions with a unique name leave, and the offset doubles until the threshold.
-Positions reach Spark only where a string can repeat: each 200-byte string has one anchor (the smallest hash among
+Anchors and grouping by content hash decide most repeats. What they leave is named by hash as in prefix doubling, in
+two fixed steps without ranks, sort or loop: names of 50 bytes are joined to names of 100, those to names of 200, and
+Spark counts them; positions with a unique name leave. Positions reach Spark only where a string can repeat: each 200-byte string has one anchor (the smallest hash among
 its 48-byte pieces, the leftmost of equals), equal strings have equal anchors, and neighbouring strings with one
 anchor form a segment. A segment whose anchor occurs once in the corpus is unique at length 48 and leaves at once;
 segments that are equal as a whole are counted as a whole. Different segments with one anchor are taken apart, first
