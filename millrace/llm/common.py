@@ -199,10 +199,11 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
     at which `fits` holds (the other row's columns have a 2 behind their names); it is compared exactly, across
     components only. So no link between two components is lost, and links inside one are never needed.
     """
-    keys = scratch.table(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "keys")
-    held = members.join(keys.where("n > 2").select("key", "n"), "key")
-    rank = held.groupBy("id").agg(F.sum("n").alias("hub"))
-    held = scratch.table(held.select("key", "id").join(rank, "id"), "hubs")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = scratch.table(members.join(shared, "key").select("key", "id", "n"), "shared")
+    rank = held.groupBy("id").agg(F.sum(F.when(F.col("n") > 2, F.col("n"))).alias("hub")).where("hub IS NOT NULL")
+    couples = held.where("n = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
+    held = scratch.table(held.where("n > 2").select("key", "id").join(rank, "id"), "hubs")
     middle = central(held.select("id").distinct()) if central else held.select("id", F.lit(0).alias("central")).distinct()
     held = scratch.table(held.join(middle, "id"), "members")
     leader = F.max(F.struct("central", "hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"))).alias("top")
@@ -211,7 +212,9 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader).where("c0 < c1")
         if stage == "second leader":
-            split = now.join(split.select("key", F.col("top.lc").alias("first")), "key").where("c <> first").groupBy("key").agg(leader)
+            # written in between: a hot key is then summed up where its rows lie, not in the one task that joins them
+            others = scratch.table(now.join(split.select("key", F.col("top.lc").alias("first")), "key").where("c <> first"), "others")
+            split = others.groupBy("key").agg(leader)
         if stage != "rest":
             pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", (-F.col("top.neg")).alias("id2"))
         else:
@@ -221,7 +224,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
             pairs = fine.join(other, "key").where(f"c <> c2 AND id < id2 AND {fits}")
         pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         if stage == "leader":
-            pairs = pairs.union(keys.where("n = 2").select("a", "b"))
+            pairs = pairs.union(couples)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -233,5 +236,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         if found.limit(1).count():
             edges = found if edges is None else edges.union(found)
             labels = components(edges, scratch, f"components by {stage}")
-    scratch.drop("keys", "hubs", "members", "rest", "finer")
+    scratch.drop("shared", "hubs", "members", "others", "rest", "finer")
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")
