@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import U64, Scratch, linked, mix64, shingle_hashes, signed, text_slices
+from .common import U64, Scratch, components, linked, mix64, shingle_hashes, signed, text_slices
 
 #: 32 permutations give 64 values (a minimum and a maximum each): 16 bands of 4. Two sets of similarity s meet in a
 #: band with probability 1 - (1 - s**4)**16: 0.99999 at 0.85, 0.9998 at 0.8.
@@ -51,8 +51,13 @@ def _distinct(h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[new], np.searchsorted(doc[new], np.arange(len(before)))
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """(doc_id, k) stands for the doc_id and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, keys): the set's size, a 128-bit digest of it, and its band keys."""
+    """(doc_id, k, n_shingles, d1, d2, keys): the set's size, a 128-bit digest of it, and its band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = 2 * PERMUTATIONS // ROWS
@@ -68,58 +73,53 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     d1[some] = np.add.reduceat(mix64(h + U64(1)), starts)
                     d2[some] = np.bitwise_xor.reduceat(mix64(h + U64(2)), starts)
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), signed(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), signed(d1), signed(d2), held], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(2)), pa.array(n.astype(np.int64)), signed(d1), signed(d2), held], ["doc_id", "k", "n_shingles", "d1", "d2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return _own(docs).mapInArrow(sign, "doc_id long, k long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the full sets as sorted hashes."""
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) from (id, text): the full sets as sorted hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch, "text"):
                 h, at = _distinct(*shingle_hashes(data, offsets, width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), signed(h))], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "doc_id long, shingles array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), signed(h))], ["id", "shingles"])
 
+    return texts.select("id", "text").mapInArrow(build, "id long, shingles array<long>")
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
 
-    Documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct word shingles;
-    component_id is the smallest doc_id reachable, and kept says that it is the document's own.
+def linked_classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, k, n_shingles, id) of all documents, and links (id, component) of the classes that have any.
 
-    1. Documents with equal sets are one class, by a 128-bit digest; each class has one representative.
+    1. Documents with equal sets are one class, by a 128-bit digest; id is its number (null without shingles or doc_id),
+       and one of its documents represents it.
     2. Representatives that share a band are candidates; `linked` picks which pairs to compare, so that a group
        of near copies is never expanded into all its pairs.
     3. Sets are built again from the texts of the representatives that share a band with another, once, and
        every link is confirmed on them.
-
-    Null, empty and blank texts: no shingle, linked with nothing. Fewer words than `width`: the whole sequence
-    is one shingle. A null doc_id is linked with nothing: component_id null, kept. Rows of one doc_id are one
-    node. An empty table gives no rows. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "near")
     signed_docs = scratch.table(signatures(docs, width), "signatures")
-    named = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    classes = scratch.table(classes, "classes")
+    named = "n_shingles > 0 AND doc_id IS NOT NULL"
+    classes = signed_docs.where(named).groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "k")).alias("of"), F.first("keys").alias("keys"))
+    classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select(F.explode("keys").alias("key"), "id")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = scratch.table(members.join(shared, "key", "left_semi").select("id").distinct(), "wanted")
-    sets = scratch.table(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), width), "sets")
+    wanted = members.join(shared, "key", "left_semi").select("id").distinct().join(classes, "id").select("id", F.col("of.doc_id").alias("w"), F.col("of.k").alias("wk"))
+    # written, so that its size is known: where it is small, the texts need not be shuffled
+    wanted = scratch.table(wanted, "wanted")
+    texts = _own(docs).join(wanted, (F.col("doc_id") == F.col("w")) & (F.col("k") == F.col("wk")))
+    sets = scratch.table(shingle_sets(texts, width).dropDuplicates(["id"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.where(f"100L * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
         both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return both.where(f"100L * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
+        return both.where(f"100L * common >= {percent} * (na + nb - common)").select("a", "b")
 
     def exploded(ids: DataFrame) -> DataFrame:
-        own = sets.join(ids, F.col("doc_id") == F.col("id"))
-        return own.select("id", F.xxhash64("shingles").alias("of"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+        return sets.join(ids, "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
 
     def central(ids: DataFrame) -> DataFrame:
         """The fewer shingles a document has that no other of these has, the more central it is."""
@@ -129,14 +129,58 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def prefixes(ids: DataFrame) -> DataFrame:
         """The rarest shingles of each set, as many as one of them must be shared by every link, with their places."""
         rare = exploded(ids).join(exploded(ids).groupBy("key").agg(F.count("*").alias("df")), "key")
-        rare = rare.withColumn("place", F.row_number().over(W.partitionBy("id", "of").orderBy("df", "key")) - 1)
+        rare = rare.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "key")) - 1)
         return rare.where(f"place <= floor(n * {100 - percent} / 100)").select("key", "id", "n", "place")
 
     # the first shared shingle's places bound the intersection by what comes after them
     fits = f"{100 + percent} * least(n - place, n2 - place2) >= {percent} * (n + n2)"
     labels = linked(members, confirm, scratch, central, prefixes, fits)
     scratch.drop("sets", "wanted")
-    of_class = classes.select("d1", "d2", "n_shingles", "id").join(labels, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("c"))
-    out = signed_docs.join(of_class, ["d1", "d2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    # documents without shingles meet no class: they are kept out of the join
+    of_class = signed_docs.where(named).join(classes.select("d1", "d2", "n_shingles", "id"), ["d1", "d2", "n_shingles"]).select("doc_id", "k", "n_shingles", "id")
+    rest = signed_docs.where(f"NOT ({named})").select("doc_id", "k", "n_shingles", F.lit(None).cast("long").alias("id"))
+    rows = scratch.table(of_class.union(rest), "rows")
+    scratch.drop("signatures", "classes")
+    return rows, labels
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    Documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct word shingles;
+    component_id is the smallest doc_id reachable, and kept says that it is the document's own.
+
+    Null, empty and blank texts: no shingle, linked with nothing. Fewer words than `width`: the whole sequence
+    is one shingle. A null doc_id is linked with nothing: component_id null, kept. Rows of one doc_id are one
+    node, whatever their texts: each of them links it. An empty table gives no rows. Other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows, labels = linked_classes(docs, width, percent, scratch)
+    # a doc_id with several texts links their classes
+    several = rows.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    bridges = scratch.table(rows.join(several, "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct(), "bridges")
+    if bridges.limit(1).count():
+        labels = components(bridges.union(labels.select("component", "id")), scratch, "bridged")
+    placed = rows.join(labels, "id", "left").select("doc_id", "n_shingles", "id", F.coalesce("component", "id").alias("c"))
+    least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    out = placed.where("c IS NOT NULL").join(least, "c").select("doc_id", "n_shingles", "component_id")
+    # a blank row of a doc_id that has other texts too belongs with them
+    blank = placed.where("c IS NULL").select("doc_id", "n_shingles")
+    others = out.join(blank.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    ids = blank.where("doc_id IS NOT NULL").join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = out.union(ids).union(blank.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def surplus(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, k), k being xxhash64 of the text: the documents that go when one of each group of near copies stays.
+
+    Here a document is a doc_id with a text, so that a doc_id with two texts links nothing and no text is lost without
+    a near copy that stays: the one with the smallest doc_id, then the least hash. Rows alike in both are one document.
+    Documents without words or doc_id are never surplus. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "surplus")
+    rows, labels = linked_classes(docs, width, percent, scratch)
+    placed = rows.where("id IS NOT NULL").select("doc_id", "k", "id").distinct().join(labels, "id", "left").select("doc_id", "k", F.coalesce("component", "id").alias("c"))
+    keep = placed.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("keep")).where("n > 1")
+    return scratch.table(placed.join(keep, "c").where("NOT (doc_id = keep.doc_id AND k = keep.k)").select("doc_id", "k"), "gone")

@@ -160,6 +160,22 @@ def test_op5(spark, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_op5_repeated_ids(spark):
+    """Rows of one doc_id with different texts link what each is near to; the pipeline's stage judges each text by itself."""
+    import corpus_pipeline as P
+
+    a, b, c = prose(40), prose(40), prose(40)
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c), (11, edited(c, 1))]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, id int, k string")
+    got = near_dup.near_duplicates(df, 3, 85).collect()
+    _, label = brute_components([r for r in rows if r[0] is not None], 3, 85)
+    assert all(r.component_id == label.get(r.doc_id) and r.kept == (r.doc_id is None or label[r.doc_id] == r.doc_id) for r in got) and len(got) == len(rows)
+    left = P.near_dedup(spark, df, "")
+    assert left.columns == df.columns
+    kept = Counter((r.doc_id, r.text) for r in left.collect())
+    assert kept == Counter([(5, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c)])
+
+
 def test_op6(spark, docs, empty):
     shared = prose(70)
     rows = [(50 + k, prose(20) + shared[k * 3 : 230 + 5 * k] + prose(20)) for k in range(12)] + [(i, t) for i, t in ROWS if i != 11]
@@ -243,32 +259,23 @@ def test_op9(spark, docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
-def brute_lines(rows):
-    """Kept texts by the definition: SimHashes of xxhash64 votes, edit distance over words (long) or characters."""
-    import xxhash
+def plain_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, q in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+    return row[-1]
 
-    def normal(line):
-        return re.sub(r"\d", "0", re.sub(r"[\W_]+", " ", line.lower())).strip()
 
-    def simhash(x):
-        votes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split(" ")]
-        return sum((sum(v >> k & 1 for v in votes) > len(votes) // 2) << k for k in range(64))
+def brute_lines(rows):
+    """Kept texts by edit similarity alone, all pairs compared."""
 
-    def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
-        return row[-1]
+    def normal(line):
+        return re.sub("[1-9]", "0", re.sub(r"[\W_]+", " ", line.lower())).strip()
 
     def alike(x, y):
-        if x == y:
-            return True
-        if bin(simhash(x) ^ simhash(y)).count("1") > 3:
-            return False
-        x, y = (x, y) if max(len(x), len(y)) <= lines.LONG else (x.split(" "), y.split(" "))
-        return distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
+        return x == y or abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and plain_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
 
     places = [(i, k, normal(line)) for i, t in sorted(rows) if t is not None for k, line in enumerate(t.split("\n")) if normal(line)]
     label = list(range(len(places)))
@@ -296,9 +303,36 @@ def test_op10(spark, docs, empty):
     assert lines.dedup_lines(docs).count() == len(ROWS) and lines.dedup_lines(empty).count() == 0
 
 
-def test_edit_similarity(spark):
-    df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), (LONG, edited(LONG, 50)), (LONG, prose(20_000))], "a string, b string")
-    assert [r.y for r in df.select(lines._similar("a", "b").alias("y")).collect()] == [True, False, True, False]
+def test_op10_long_lines(spark):
+    """No length at which lines are compared otherwise: about 400 characters, 17,000 words with one word in front."""
+    shorter, longer = prose(70), prose(17_000)
+    rows = [(1, shorter), (2, "word " + shorter), (3, longer), (4, "word " + longer), (5, prose(17_000))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_op10_parts():
+    texts = ["Ab, 12\n\n--\nÉa_b 中文", "", "x", "ab 99", "\n" + " ".join(WORDS[:40])]
+    found = lines.Lines(texts)
+    names = [lines.normalised(texts[t].split("\n")[p]) for t, p in zip(found.text, found.pos)]
+    assert names[:4] == ["ab 00", "éa b 中文", "x", "ab 00"] and list(found.pos) == [0, 3, 0, 0, 1]
+    assert [len(x) for x in names] == list(found.chars) and found.k1[0] == found.k1[3] and len(set(found.k1)) == len(set(names))
+    words = [found.words[a : a + n] for a, n in zip(found.first, found.count)]
+    bits = [{b for b in range(64) if 2 * sum(int(w) >> b & 1 for w in ws) > len(ws)} for ws in words]
+    # which word bit a SimHash bit stands for is no matter, as long as it is the same for all
+    place = {b: (b // 8) * 8 + 7 - b % 8 for b in range(64)}
+    got = [{b for b in range(64) if int(x) >> b & 1} for x in found.simhash()]
+    assert got == bits or got == [{place[b] for b in x} for x in bits]
+    for _ in range(200):
+        x = "".join(R.choice("abc ") for _ in range(R.randint(1, 30)))
+        y = edited(x, 1) if R.random() < 0.3 else "".join(R.choice("abc ") for _ in range(R.randint(1, 30)))
+        d = plain_distance(x, y)
+        assert lines.edit_distance(x, y, 99) == d and lines.edit_distance(x, y, max(0, d - 1)) == max(1, d) or d == 0
+
+
+def test_edit_similarity():
+    assert lines.alike("abcdefghij", "abcdefghxy") and not lines.alike("abcdefghij", "abcdefgxyz")
+    assert lines.alike(LONG, edited(LONG, 50)) and not lines.alike(LONG[:20_000], prose(3_000)[:20_000])
 
 
 def test_pipeline_stages_keep_columns(spark, docs):
