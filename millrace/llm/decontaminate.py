@@ -2,160 +2,236 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+import heapq
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, text_slices
-
-#: Words of a seed, which is also the least tile; share of an item's words that tiles must cover.
-SEED, COVERAGE = 5, 0.8
-#: Words of benchmark items that are held by every worker at once; more items are taken in further blocks.
-BLOCK_WORDS = 1_000_000
-#: ASCII that separates words: all but letters and digits. Other bytes belong to words.
-_GAPS = np.ones(256, bool)
-_GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-
-
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def tile(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least: int = SEED) -> list[tuple[int, int, int]]:
+from .common import BASE, INVERSE, U64, Scratch, mix64, powers, signed
+
+#: Words of a seed, which is also the least tile; share of an item's words that tiles must cover; words of the shortest
+#: item that is searched for (fewer words are in too many texts to say anything).
+SEED, COVERAGE, SHORTEST = 5, 0.8, 3
+#: Distinct seeds that every worker holds as a filter (8 bytes each); with more, documents meet seeds by a shuffle.
+HELD_SEEDS = 4_000_000
+#: Scripts that put no space between words: each of their characters counts as a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """For each code point: 0 if it separates words, 1 if it is part of one, 2 if it is one; and its hash."""
+    if not _TABLES:
+        kind = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+        for lo, hi in _UNSPACED:
+            kind[lo : hi + 1] *= 2
+        _TABLES.extend([kind, mix64(np.arange(1, len(kind) + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95))])
+    return _TABLES
+
+
+def folded(text: str | None) -> str:
+    """Compatibility forms and case folded: the one form in which items and documents are compared."""
+    text = text or ""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and how many words lie before each text."""
+    kind, codes = _tables()
+    parts = [folded(t) for t in texts]
+    c = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = kind[c]
+    before = np.concatenate([[0], k[:-1]])
+    after = np.concatenate([k[1:], [0]])
+    start = np.flatnonzero((k == 2) | (k == 1) & (before != 1))
+    stop = np.flatnonzero((k == 2) | (k == 1) & (after != 1)) + 1
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(codes[c] * powers(BASE, len(c)), out=sums[1:])
+    words = mix64((sums[stop] - sums[start]) * powers(INVERSE, len(c) + 1)[start] + (stop - start).astype(np.uint64) * U64(0xA0761D6478BD642F))
+    return words, np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+
+
+def rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of `width` words, from running sums."""
+    if len(words) < width:
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=sums[1:])
+    n = len(words) - width + 1
+    return mix64((sums[width:] - sums[:n]) * powers(INVERSE, n) + U64(width))
+
+
+def _scan(doc: np.ndarray, item: np.ndarray, used_doc: np.ndarray, used_item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(-words, place in doc, place in item) of the longest unmarked matches on each diagonal, of `width` words at least."""
+
+    def free(used: np.ndarray) -> np.ndarray:
+        marked = np.concatenate([[0], np.cumsum(used)])
+        return np.flatnonzero(marked[width:] == marked[:-width])
+
+    p, q = free(used_doc), free(used_item)
+    hp, hq = rolling(doc, width)[p], rolling(item, width)[q]
+    order = np.argsort(hq, kind="stable")
+    hq, q = hq[order], q[order]
+    lo, hi = np.searchsorted(hq, hp), np.searchsorted(hq, hp, "right")
+    n = hi - lo
+    p = np.repeat(p, n)
+    q = q[np.repeat(lo, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
+    for k in range(width):  # equal hashes are confirmed word by word
+        same = doc[p + k] == item[q + k]
+        p, q = p[same], q[same]
+    order = np.lexsort((p, p - q))
+    p, q = p[order], q[order]
+    head = np.ones(len(p), bool)
+    head[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(p))) + width - 1
+    return list(zip((-size).tolist(), p[first].tolist(), q[first].tolist()))
+
+
+def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, words) of non-overlapping tiles, longest first.
 
-    seeds: all pairs of places at which `least` words agree (found by their rolling hashes). In each turn the
-    seeds are extended over unmarked words, the longest matches are marked (the earlier places first), and what
-    they leave of the others goes on, until no match of `least` words is left.
+    Running Karp-Rabin: runs of a search length are hashed in what is not marked yet, equal ones are extended, and the
+    longest matches are marked (of equals the earlier place in doc, then in item); the search length falls by half
+    until it is `least`. A match that lost words to another goes on with the rest of it.
     """
-    tiles, used_doc, used_item = [], set(), set()
-    # a seed that continues another is in its match
-    have = set(seeds)
-    heads = [(p, q) for p, q in seeds if (p - 1, q - 1) not in have]
-    queue: dict[int, list[tuple[int, int]]] = defaultdict(list)
-
-    def put(p: int, q: int) -> None:
-        n = 0
-        while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and p + n not in used_doc and q + n not in used_item:
-            n += 1
-        if n >= least:
-            queue[n].append((p, q))
-
-    for p, q in heads:
-        put(p, q)
-    while queue:
-        n = max(queue)
-        again = []
-        for p, q in sorted(queue.pop(n)):
-            if any(p + k in used_doc or q + k in used_item for k in range(n)):
-                again.append((p, q))
-                continue
-            tiles.append((p, q, n))
-            used_doc.update(range(p, p + n))
-            used_item.update(range(q, q + n))
-        for p, q in again:  # the unmarked parts of a match that lost words
-            k = 0
-            while k < n:
-                if p + k not in used_doc and q + k not in used_item:
-                    put(p + k, q + k)
-                    while k < n and p + k not in used_doc and q + k not in used_item:
-                        k += 1
-                k += 1
+    least = min(least, len(item))
+    tiles: list[tuple[int, int, int]] = []
+    used_doc, used_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    width = len(item)
+    while least and len(doc) >= least:
+        if width <= len(doc):
+            queue = _scan(doc, item, used_doc, used_item, width)
+            heapq.heapify(queue)
+            while queue:
+                n, p, q = heapq.heappop(queue)
+                taken = used_doc[p : p - n] | used_item[q : q - n]
+                if not taken.any():
+                    tiles.append((p, q, -n))
+                    used_doc[p : p - n] = used_item[q : q - n] = True
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    if b - a >= width:
+                        heapq.heappush(queue, (a - b, p + a, q + a))
+        if width == least:
+            break
+        width = max(least, width // 2)
     return tiles
 
 
-class Block:
-    """Items, and the hashes of their seeds."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [tokens(t) for _, t in items]
-        raw = [" ".join(w).encode("utf-8", "replace") for w in self.words]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        h, at = shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets, SEED, _GAPS, short=False)
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k in range(len(items)):
-            for q, x in enumerate(h[at[k] : at[k + 1]].tolist()):
-                where[x].append((k, q))
-        self.where = dict(where)
-        self.hashes = np.array(sorted(where), np.uint64)
-
-    def matches(self, text: str, least: float) -> list[tuple[int, float, int, int]]:
-        """(item, coverage, tiles, words) of a text's matches, by the seeds that it shares."""
-        doc = tokens(text)
-        raw = np.frombuffer(" ".join(doc).encode("utf-8", "replace"), np.uint8)
-        h, _ = shingle_hashes(raw, np.array([0, len(raw)]), SEED, _GAPS, short=False)
-        hit = np.flatnonzero(np.isin(h, self.hashes))
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in hit.tolist():
-            for k, q in self.where[int(h[p])]:
-                seeds[k].append((p, q))
-        out = []
-        for k, pairs in sorted(seeds.items()):
-            if len({q + d for _, q in pairs for d in range(SEED)}) < least * len(self.words[k]):
-                continue  # all shared seeds together cover too little
-            found = tile(doc, self.words[k], pairs)
-            covered = sum(n for _, _, n in found)
-            if found and covered >= least * len(self.words[k]):
-                out.append((self.ids[k], covered / len(self.words[k]), len(found), covered))
-        return out
-
-
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `most` words (an item with more is a block of its own), without a limit on their number."""
-    block, size = [], 0
-    for r in benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        n = len(tokens(r["text"]))
-        if n < SEED:
-            continue
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += n
-    if block:
-        yield block
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about `most` characters; a longer text is a run of its own."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= most):
+            size += len(texts[hi] or "")
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, out = batch.column(1).to_pylist(), [[], [], [], []]
+        for lo, hi in _slices(texts):
+            words, at = tokens(texts[lo:hi])
+            for k in range(hi - lo):
+                n = int(at[k + 1] - at[k])
+                if n >= SHORTEST:
+                    h = rolling(words[at[k] : at[k + 1]], min(SEED, n))
+                    for column, values in zip(out, (np.full(len(h), lo + k), h.view(np.int64), np.full(len(h), min(SEED, n)), np.full(len(h), n))):
+                        column.append(values)
+        if out[0]:
+            row, seed, width, n = map(np.concatenate, out)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(seed), pa.array(width.astype(np.int32)), pa.array(n.astype(np.int32))], ["item", "seed", "width", "n"])
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """(d, k) stands for the doc_id and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text")
+
+
+def document_seeds(docs: DataFrame, widths: list[int], held: np.ndarray | None) -> DataFrame:
+    """(d, k, seed): the distinct seeds of each document, of those in `held` (sorted) if it is given."""
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in _slices(texts):
+                words, at = tokens(texts[lo:hi])
+                doc = np.repeat(np.arange(hi - lo), np.diff(at))
+                rows, seeds = [], []
+                for width in widths:
+                    h = rolling(words, width)
+                    inside = doc[: len(h)] == doc[width - 1 :]
+                    if wanted is not None and len(wanted):
+                        inside &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    rows.append(doc[: len(h)][inside])
+                    seeds.append(h[inside])
+                row, seed = np.concatenate(rows), np.concatenate(seeds)
+                order = np.lexsort((seed, row))
+                row, seed = row[order], seed[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])
+                if new.any():
+                    take = pa.array(row[new] + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), signed(seed[new])], ["d", "k", "seed"])
+
+    return _own(docs).mapInArrow(find, "d long, k long, seed long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, held_seeds: int = HELD_SEEDS) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, n_words) of documents whose tiles cover enough of a benchmark item.
 
-    Words are runs of letters and digits in lower case, so that marks and white space don't hide a passage. The
-    benchmark is a stated query set: its items are taken in blocks of a bounded number of words, each against
-    all documents. Nothing is shuffled. Null and empty texts match nothing; items of fewer than 5 words have no
-    seed and match nothing; rows with a null item_id are left out; a null doc_id stays null in the result.
-    Repeated documents each give their rows, repeated items one.
+    Words are runs of letters, marks and digits of the folded text (compatibility forms, case), so that punctuation, quotes
+    and white space don't hide a passage; in scripts without spaces each character is a word.
+
+    1. The seeds of the items, runs of 5 words (of all words, if an item has fewer), are joined to those of the documents.
+       Where the items have few enough distinct ones, every worker holds these and leaves others out before the join.
+    2. A document and an item whose shared seeds can cover enough of the item are tiled.
+
+    The documents are read once for the seeds and once for the texts to be tiled, whatever the number of items. Null and
+    empty texts match nothing; items of fewer than 3 words and rows with a null item_id are left out; a null doc_id
+    stays null in the result. Repeated documents each give their rows, repeated items one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for items in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(Block(items))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                found = []
-                texts, ids = batch.column(1), batch.column(0)
-                # seeds of many texts at once; only texts with a shared seed are tiled
-                lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(pc.fill_null(texts, ""))], ["text"])
-                for lo, hi, data, offsets in text_slices(lowered, "text"):
-                    h, at = shingle_hashes(data, offsets, SEED, _GAPS, short=False)
-                    hits = np.concatenate([[0], np.cumsum(np.isin(h, block.hashes))])
-                    for k in np.flatnonzero(hits[at[1:]] > hits[at[:-1]]).tolist():
-                        found += [(ids[lo + k].as_py(), *m) for m in block.matches(texts[lo + k].as_py(), coverage)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
-
-        part = rows.mapInArrow(search, "doc_id long, item_id long, coverage double, n_tiles long, n_words long")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles long, n_words long")
-    return out
+    schema = "doc_id long, item_id long, coverage double, n_tiles long, n_words long"
+    scratch = Scratch(spark, "leaks")
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("passage")).distinct()
+    items = scratch.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = scratch.table(items.select("item", "passage").mapInArrow(_item_seeds, "item long, seed long, width int, n int"), "seeds")
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # at most three values
+    if not widths:
+        return spark.createDataFrame([], schema)
+    distinct = seeds.select("seed").distinct()
+    held = None
+    if distinct.limit(held_seeds + 1).count() <= held_seeds:
+        held = np.sort(distinct.toArrow().column("seed").to_numpy().view(np.uint64))
+    shared = document_seeds(docs, widths, held).distinct().join(seeds, "seed").groupBy("d", "k", "item", "width", "n").agg(F.count("*").alias("hits"))
+    pairs = shared.where(F.col("hits") * F.col("width") >= F.lit(coverage) * F.col("n")).select("d", "k", "item")
+    pairs = scratch.table(pairs.join(items, "item").select(F.col("d").alias("pd"), F.col("k").alias("pk"), "item_id", "passage"), "pairs")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for d, text, item, passage in zip(*(batch.column(c) for c in range(4))):
+                words, at = tokens([text.as_py(), passage.as_py()])
+                doc, wanted = words[: at[1]], words[at[1] :]
+                tiles = tile(doc, wanted)
+                covered = sum(n for _, _, n in tiles)
+                if tiles and covered >= coverage * len(wanted):
+                    found.append((d.as_py(), item.as_py(), covered / len(wanted), len(tiles), covered))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
+
+    text = _own(docs)
+    both = text.join(pairs, text["d"].eqNullSafe(pairs["pd"]) & (text["k"] == pairs["pk"]))
+    return both.select("d", "text", "item_id", "passage").mapInArrow(search, schema)

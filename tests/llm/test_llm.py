@@ -209,20 +209,62 @@ def test_op7(spark, docs, empty):
     assert list(y) == pytest.approx([0, 0.6333333, 1]) and list(x) == [0, 2, 4]
 
 
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by the definition: the longest match of unmarked words, again and again."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and free_doc[p + n] and free_item[q + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (p, q, n)
+        p, q, n = best
+        if n < least:
+            return tiles
+        tiles.append(best)
+        free_doc[p : p + n] = free_item[q : q + n] = [False] * n
+
+
+def test_op8_tiles():
+    for _ in range(150):
+        item = [R.randrange(6) for _ in range(R.randint(1, 20))]
+        doc = [R.randrange(6) for _ in range(R.randint(0, 20))]
+        for _ in range(R.randint(0, 4)):
+            a = R.randrange(len(item))
+            doc += item[a : a + R.randint(1, 9)] + [R.randrange(6)]
+        least = min(R.choice([1, 2, 3, 5]), len(item))
+        got = decontaminate.tile(np.array(doc, np.uint64), np.array(item, np.uint64), least)
+        assert got == plain_tiles(doc, item, least)
+
+
 def test_op8(spark, docs, empty):
-    items = [(k, prose(40)) for k in range(6)] + [(6, None), (7, "too few words"), (8, BASE)]
+    items = [(k, prose(40)) for k in range(6)] + [(6, None), (7, "four words in all"), (8, BASE), (0, None), (None, BASE), (9, "two words")]
+    items += [(1, items[1][1])] * 2
     half = items[1][1].split()
     moved = prose(9) + " " + " ".join(half[20:]) + " " + prose(7) + " " + " ".join(half[:20]).upper().replace(" ", " - ")
-    rows = [(1, prose(30) + " " + items[0][1] + " " + prose(5)), (2, moved), (3, " ".join(items[2][1].split()[:20])), (4, prose(90)), (5, None), (6, "")]
-    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1, 10**6):
-        got = decontaminate.contaminated(df, bench, block_words=block).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == {(1, 0), (2, 1)} and {r.doc_id: r.n_tiles for r in got}[2] == 2
+    rows = [(1, prose(30) + " " + items[0][1] + " " + prose(5)), (2, moved), (3, " ".join(items[2][1].split()[:20])), (4, prose(90)), (5, None), (6, ""), (7, "here: FOUR words (in) all"), (7, "here: FOUR words (in) all"), (8, "two words four words all")]
+    df, bench = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, item_id int, k string"), spark.createDataFrame(items, "item_id long, text string")
+    for held in (0, 10**6):
+        got = decontaminate.contaminated(df, bench, held_seeds=held).collect()
+        assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(1, 0), (2, 1), (7, 7), (7, 7)]) and {r.doc_id: r.n_tiles for r in got}[2] == 2
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} >= {0, 1, 2, 3, None}
 
 
+def test_op8_scripts(spark):
+    """Case, marks and spacing of other scripts hide nothing: Greek, Turkish, Chinese, typographic quotes."""
+    greek, chinese = "ΟΔΥΣΣΕΥΣ ΛΟΓΟΣ ΚΟΣΜΟΣ ΑΝΘΡΩΠΟΣ ΘΕΟΣ ΦΙΛΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΒΙΟΣ", "我们今天去公园看花然后回家吃饭"
+    turkish, quoted = "İstanbul güzel bir şehir ve İzmir de öyle", "it's the \"best\" of all well-known days, she said"
+    items = [(1, greek), (2, chinese), (3, turkish), (4, quoted)]
+    rows = [(1, "x " + greek.lower() + " y"), (2, "开头" + chinese + "。"), (3, "a " + turkish.upper().replace("I", "I") + " b"), (4, "it\u2019s the \u201cbest\u201d of\u00a0all well\u2013known days, she said"), (5, "公园我们家")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(1, 1), (2, 2), (4, 4)} and all(r.doc_id == r.item_id for r in got)
+
+
 def fill(sizes, weights, repeats):
     target, free = {}, set(sizes)
     left = float(sum(sizes.values()))
