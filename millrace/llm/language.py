@@ -122,11 +122,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def windows_to_learn(docs: DataFrame, label: str, most: int, each: int = 6, seed: int = 1) -> DataFrame:
-    """(label, bytes): at most `most` labelled texts by a hash order, `each` windows of each at hashed places."""
+    """(label, bytes): at most `most` labelled texts by a hash order, `each` windows of each at hashed places.
+
+    Only texts whose hash lies in the first part that holds some 2 * most distinct ones are cut and sorted, so that no task
+    receives rows from every partition. Equal texts with one label count once.
+    """
     rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), "text", F.xxhash64(F.lit(seed), "text").alias("h"))
+    some = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    if some > 3 * most:
+        rows = rows.where(F.col("h") < F.lit(int(-(1 << 63) + (1 << 64) * (2 * most / some))))
     # windows are cut before the sort, so that no whole text is moved
     cut = [F.encode(F.substring("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)), "UTF-8") for k in range(each)]
-    chosen = rows.select("h", "label", F.array(*cut).alias("cuts")).orderBy("h", "label").limit(most)
+    chosen = rows.select("h", "label", F.array(*cut).alias("cuts")).dropDuplicates(["h", "label"]).orderBy("h", "label").limit(most)
     return chosen.select("label", F.explode("cuts").alias("bytes"))
 
 

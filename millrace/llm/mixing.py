@@ -108,9 +108,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as often as the mix takes them (its share of a document's words, rounded), with their own columns."""
-    taken = mix(docs, **how).where("size > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
-    sized = docs.withColumn("__size", word_count())
-    both = sized.join(taken, sized["doc_id"].eqNullSafe(taken["doc_id"]) & (sized["__size"] == taken["size"]), "left").drop(taken["doc_id"])
+    """The documents as often as the mix takes them (its share of a document's words, rounded), with their own columns.
+
+    Null, empty and blank texts have no words and stay once. Rows alike in doc_id and number of words share what the mix
+    takes of them. An empty table gives no rows.
+    """
+    taken = mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").alias("__doc"), F.col("size").alias("__of")).agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+    both = docs.withColumn("__size", word_count()).join(taken, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__size") == F.col("__of")), "left")
     times = F.when(F.col("__size") == 0, 1).otherwise(F.coalesce(F.round(F.col("__taken") / F.col("__rows") / F.col("__size")), F.lit(0))).cast("int")
     return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

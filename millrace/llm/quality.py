@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _LOWER, Scratch, prefix_hash, range_hash, text_slices, words
+from .common import _LOWER, Scratch, mix64, prefix_hash, range_hash, text_slices, words
 
-FEATURES, RIDGE, BINS = 192, 1e-3, 1000
+FEATURES, RIDGE, BINS, FOLDS = 192, 1e-3, 1000, 4
 #: Per byte: which of the counted kinds it is.
 _KINDS = np.zeros((256, 8), bool)
 _KINDS[list(b"abcdefghijklmnopqrstuvwxyz"), 0] = True
@@ -143,11 +143,18 @@ def _partition_sums(rows: DataFrame, of) -> np.ndarray | None:
     return _tree_sum(rows.select("stats", "label").mapInArrow(part, "v binary"))
 
 
+def folds(x: np.ndarray) -> np.ndarray:
+    """The fold of each row, by a hash of its statistics: equal rows are in one fold."""
+    return (mix64(np.bitwise_xor.reduce(mix64(np.ascontiguousarray(x).view(np.uint64) + np.arange(x.shape[1], dtype=np.uint64)), axis=1)) % np.uint64(FOLDS)).astype(np.int64)
+
+
 def fit(rows: DataFrame) -> Model | None:
     """rows: stats and label (0 or 1), all of which count; None if there are none.
 
     Three passes: means and deviations; normal equations of the random features, summed in each partition;
-    a histogram of raw scores and labels for the isotonic steps. What reaches the driver has a fixed size.
+    a histogram of raw scores and labels for the isotonic steps. There a row has the score that a fit on the
+    other folds gives it, so that the steps are not those of rows already seen. What reaches the driver has a
+    fixed size.
     """
     moments = _partition_sums(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]))
     if moments is None:
@@ -155,17 +162,25 @@ def fit(rows: DataFrame) -> Model | None:
     n, k = moments[0], (len(moments) - 1) // 2
     mean = moments[1 : k + 1] / n
     model = Model(mean, np.sqrt(np.maximum(moments[k + 1 :] / n - mean**2, 1e-6)))
+    m = FEATURES + 1
 
     def equations(x, y):
-        f = model.features(x)
-        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
+        f, of = model.features(x), folds(x)
+        parts = ((f[of == k], y[of == k]) for k in range(FOLDS))
+        return np.concatenate([v for a, b in parts for v in ([len(a)], (a.T @ a).ravel(), a.T @ b)])
 
-    sums = _partition_sums(rows, equations)
-    m = FEATURES + 1
-    model.weights = np.linalg.solve(sums[: m * m].reshape(m, m) / n + RIDGE * np.eye(m), sums[m * m :] / n)
+    sums = _partition_sums(rows, equations).reshape(FOLDS, -1)
+
+    def solved(total):
+        return np.linalg.solve(total[1 : m * m + 1].reshape(m, m) / total[0] + RIDGE * np.eye(m), total[m * m + 1 :] / total[0])
+
+    every = sums.sum(0)
+    model.weights = solved(every)
+    # with all rows in one fold there is nothing else to score it by
+    others = np.stack([solved(every - s) if every[0] > s[0] else model.weights for s in sums])
 
     def histogram(x, y):
-        raw = model.raw(x)
+        raw = np.clip((model.features(x) * others[folds(x)]).sum(1), -0.5, 1.5)
         at = ((raw + 0.5) / 2 * (BINS - 1)).astype(int)
         return np.concatenate([np.bincount(at, w, BINS) for w in (np.ones(len(y)), y, raw)])
 
@@ -205,7 +220,7 @@ def with_statistics(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
     return _mapped(docs, keep, "text", [T.StructField("stats", T.ArrayType(T.DoubleType()))], of)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], column: str = "stats") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], column: str = "stats", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds score and predicted (score >= 0.7) to the kept columns, from stats or text; without a model, score 0.5."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some kB, whatever the input
 
@@ -216,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], colu
             out = model.score(_text_statistics(rows) if column == "text" else rows.flatten().to_numpy().reshape(len(rows), -1))
         return [pa.array(out), pa.array((out >= 0.7).astype(np.int32))]
 
-    return _mapped(docs, keep, column, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], of)
+    return _mapped(docs, keep, column, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], of)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -242,9 +257,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with their own columns, that are predicted to be good."""
+    """The documents, with their own columns, that are predicted to be good.
+
+    Null and empty texts are judged as such. Without a usable label nothing is learned, and all documents stay. An empty
+    table gives no rows; a null doc_id has no label but is judged like others.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.table(with_statistics(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "statistics")
+    model = learn(stats, labels, scratch)
+    if model is None:
+        return docs
     names = docs.columns
-    scored = predict(docs, learn(stats, labels, scratch), names, "text")
-    return scored.where("predicted = 1").select(*names)
+    return predict(docs, model, names, "text", ("__score", "__predicted")).where("__predicted = 1").select(*names)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .tokens import Words
 
-#: Pre-tokens that are sent to every worker: at most so many, each at most so many characters, hence a known size.
-HEAD_TYPES, HEAD_CHARS = 500_000, 48
+#: Pre-tokens that are sent to every worker: at most so many, of so many characters together; a longer one than HEAD_CHARS
+#: is left to the join, which splits a key that is too frequent for one task.
+HEAD_TYPES, HEAD_SIZE, HEAD_CHARS = 500_000, 24_000_000, 4096
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, head_types: int = HEAD_TYPES) -> DataFrame:
@@ -50,15 +51,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, head_types:
 
     types = docs.select("text").mapInArrow(occurrences, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     types = scratch.table(types.mapInArrow(with_pieces, "word string, n long, pieces int"), "types")
-    # the least frequency whose types, with all more frequent ones, are few enough
-    short = types.where(F.length("word") <= HEAD_CHARS)
-    left, least = head_types, None
-    for r in short.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        left -= r["count"]
-        if left < 0:
+    # the least frequency (by eighths of its power of two) whose types, with all more frequent ones, are few enough
+    short = types.where(F.length("word") <= HEAD_CHARS).withColumn("level", F.floor(F.log2("n") * 8))
+    left, room, least = head_types, HEAD_SIZE, None
+    for r in short.groupBy("level").agg(F.count("*").alias("types"), F.sum(F.length("word")).alias("size")).orderBy(F.desc("level")).collect():
+        left, room = left - r["types"], room - r["size"]
+        if left < 0 or room < 0:
             break
-        least = r["n"]
-    head = {w: p for w, p in short.where(F.col("n") >= least).select("word", "pieces").toArrow().to_pandas().itertuples(index=False)} if least is not None else {}
+        least = r["level"]
+    head = {w: p for w, p in short.where(F.col("level") >= least).select("word", "pieces").toArrow().to_pandas().itertuples(index=False)} if least is not None else {}
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +131,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     docs has doc_id and text (further columns are ignored). The manifest has a row (shard, path, documents,
     ids) for each shard in order: its size depends on the number of shards alone. Documents are dealt to
-    shards by quantiles of doc_id, so that only one shuffle of the texts is needed and nothing is encoded
-    twice. A shard's files get their names by a rename when they are whole; a repeated or speculative task
+    shards by ranges of doc_id, so that only one shuffle of the texts is needed and nothing is encoded twice. A shard's files get their names by a rename when they are whole; a repeated or speculative task
     writes other names, and the manifest names those of the task that counted.
 
     Null text: only the end id. Null doc_id: first, in order of text. Repeated ids or rows: all are written,
@@ -139,12 +139,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10000).alias("q")).first()["q"] or []
-    cuts = sorted({int(x) for x in cuts})[: n - 1]
-    # cuts are sorted, so the number of cuts below the id is the shard
-    shard = F.coalesce(F.expr(f"CAST(array_size(filter(array({', '.join(f'{x}L' for x in cuts)}), x -> x < doc_id)) AS INT)"), F.lit(0)) if cuts else F.lit(0)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("shard", shard.cast("int"))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # a hot doc_id, or null, goes to several shards by the beginning of its texts, and copies of one row by their number
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.xxhash64(F.monotonically_increasing_id()))
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.left("text", F.lit(64)))]
+    dealt = dealt.repartitionByRange(n, *order, "at").drop("at").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.load(tokenizer)
@@ -171,9 +169,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
         for batch in batches:
             size = 0
-            for doc, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if out is None:
-                    of, name = shard, f"{root}/tokens-{shard:06d}-{uuid.uuid4().hex}"
+                    of = TaskContext.get().partitionId()
+                    name = f"{root}/tokens-{of:06d}-{uuid.uuid4().hex}"
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{name}.rec.part", buffer_size=1 << 20)
                 held.append((doc, words.encode(text.as_py() or "") + end))
