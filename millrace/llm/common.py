@@ -205,7 +205,8 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
     at which `fits` holds (the other row's columns have a 2 behind their names); it is compared exactly, across
     components only. So no link between two components is lost, and links inside one are never needed.
     """
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # what is summed by key is written before it is joined: a hot key's rows can then be split among tasks
+    shared = scratch.table(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     held = scratch.table(members.join(shared, "key").select("key", "id", "n"), "shared")
     rank = held.groupBy("id").agg(F.sum(F.when(F.col("n") > 2, F.col("n"))).alias("hub")).where("hub IS NOT NULL")
     couples = held.where("n = 2").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
@@ -218,9 +219,10 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader).where("c0 < c1")
         if stage == "second leader":
-            # written in between: a hot key is then summed up where its rows lie, not in the one task that joins them
+            split = scratch.table(split, "split")
             others = scratch.table(now.join(split.select("key", F.col("top.lc").alias("first")), "key").where("c <> first"), "others")
             split = others.groupBy("key").agg(leader)
+        split = scratch.table(split.select("key", *(["top"] if stage != "rest" else [])), f"keys of {stage}")
         if stage != "rest":
             pairs = now.join(split.select("key", "top"), "key").where("c <> top.lc").select("id", (-F.col("top.neg")).alias("id2"))
         else:
@@ -242,5 +244,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         if found.limit(1).count():
             edges = found if edges is None else edges.union(found)
             labels = components(edges, scratch, f"components by {stage}")
-    scratch.drop("shared", "hubs", "members", "others", "rest", "finer")
+    scratch.drop("keys", "shared", "split", "hubs", "members", "others", "rest", "finer")
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

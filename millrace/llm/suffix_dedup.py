@@ -1,13 +1,18 @@
-"""Operator 6: removal of every byte that lies in a string of 200 bytes which also starts elsewhere.
-
-Anchors and grouping by content hash decide most repeats. What they leave is named by hash as in prefix doubling, in
-two fixed steps without ranks, sort or loop: names of 50 bytes are joined to names of 100, those to names of 200, and
-Spark counts them; positions with a unique name leave. Positions reach Spark only where a string can repeat: each 200-byte string has one anchor (the smallest hash among
-its 48-byte pieces, the leftmost of equals), equal strings have equal anchors, and neighbouring strings with one
-anchor form a segment. A segment whose anchor occurs once in the corpus is unique at length 48 and leaves at once;
-segments that are equal as a whole are counted as a whole. Different segments with one anchor are taken apart, first
-into blocks of 16 strings at equal places from the anchor: a block whose strings share a unique core leaves, equal
-blocks are counted as a whole, and only the strings of what is left become positions for the doubling.
+"""Operator 6: removal of every byte that lies in a string of 200 bytes (or another length) which also starts elsewhere.
+
+Prefix doubling over the positions whose strings can repeat: a position has a rank, which equal beginnings share; in each
+turn the pair of its rank and the rank at the offset that the last turn reached is ranked anew, positions with a unique pair
+leave, and the loop ends when none is left or the length is reached. Ranks are 64-bit names of content, so that a
+position carries the ranks at its offsets and no turn joins it to another position; they tell equal from different, which
+is all that is asked, but have no order.
+
+Positions reach that loop only where anchors leave it open (doubling at every byte needs some 50 x the input as shuffle):
+each string has one anchor (the smallest hash among its 48-byte pieces, the leftmost of equals), equal strings have equal
+anchors, and neighbouring strings with one anchor form a segment. A segment whose anchor occurs once in the corpus is
+unique at length 48 and leaves at once; segments that are equal as a whole are counted as a whole. Different segments
+with one anchor are taken apart, first into blocks of 16 strings at equal places from the anchor: a block whose strings
+share a unique core leaves, equal blocks are counted as a whole, and the strings of what is left become positions.
+Names are compared among equal anchors only, so that two strings count as equal by 128 bits.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import INVERSE, U64, Scratch, mix64, powers, prefix_hash, range_hash, signed, text_slices
 
-#: Bytes of a piece that can anchor, of the first names; strings in a block; bytes of text that are taken at once.
+#: Bytes of a piece that can anchor, of the first ranks; strings in a block; bytes of text that are taken at once.
 PIECE, FIRST, BLOCK, CHUNK = 48, 50, 16, 1 << 19
+SHORTEST = 32
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -33,10 +39,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     if n < 1:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     prefix = prefix_hash(data)
-    m = len(data) - PIECE + 1
-    piece = mix64((prefix[PIECE:] - prefix[:m]) * powers(INVERSE, m))
+    size = min(PIECE, length)
+    m = len(data) - size + 1
+    piece = mix64((prefix[size:] - prefix[:m]) * powers(INVERSE, m))
     low = (piece >> U64(20) << U64(20)) | np.arange(m, dtype=np.uint64)
-    span, width = 1, length - PIECE + 1
+    span, width = 1, length - size + 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
@@ -96,8 +103,9 @@ def _cut_out(length: int):
                 for w in wanted.as_py():
                     part = data[w["off"] : w["off"] + w["n"] + length - 1]
                     prefix = prefix_hash(np.frombuffer(part, np.uint8))
-                    m = min(length, len(part)) - PIECE + 1
-                    piece = mix64((prefix[PIECE : PIECE + m] - prefix[:m]) * powers(INVERSE, m)).view(np.int64)
+                    size = min(PIECE, length)
+                    m = min(length, len(part)) - size + 1
+                    piece = mix64((prefix[size : size + m] - prefix[:m]) * powers(INVERSE, m)).view(np.int64)
                     rows.append((w["anchor"], w["content"], w["times"], w["n"], int(np.flatnonzero(piece == w["anchor"])[0]), part))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "content", "times", "n", "lead", "bytes"])
@@ -130,31 +138,58 @@ def _blocks(length: int):
     return block
 
 
-def _names(length: int):
-    """For single strings of segments: their four names of FIRST bytes."""
+def doublings(length: int) -> list[tuple[int, int]]:
+    """(offset, bytes) of the rank that each turn adds: the one at the reach of the last turn, or as far as the length allows."""
+    out, reach = [], min(FIRST, length)
+    while reach < length:
+        offset = min(reach, length - reach)
+        out.append((offset, reach))
+        reach += offset
+    return out
+
+
+def _ranks(length: int):
+    """For single strings of segments: their first rank, and those that the turns add."""
+    parts = [(0, min(FIRST, length)), *doublings(length)]
+    names = [f"r{t}" for t in range(len(parts))]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, js, names = [], [], []
+            rows, js, ranks = [], [], []
             for k, (part, ranges) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 prefix = prefix_hash(np.frombuffer(part, np.uint8))
                 j = np.concatenate([np.arange(r["j0"], r["j1"] + 1) for r in ranges])
                 js.append(j)
                 rows.append(np.full(len(j), k))
-                names.append(np.stack([range_hash(prefix, j + f, j + f + FIRST) for f in range(0, length, FIRST)]))
+                ranks.append(np.stack([range_hash(prefix, j + at, j + at + size) for at, size in parts]))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(np.concatenate(js).astype(np.int32)), *map(signed, np.concatenate(names, 1))], ["anchor", "content", "times", "j", "n0", "n1", "n2", "n3"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(np.concatenate(js).astype(np.int32)), *map(signed, np.concatenate(ranks, 1))], ["anchor", "content", "times", "j", *names])
+
+    return name, ", ".join(["anchor long, content long, times long, j int", *(f"{c} long" for c in names)])
+
 
-    return name
+def doubled(at: DataFrame, turns: int, scratch: Scratch) -> DataFrame:
+    """The positions (anchor, content, j) whose strings repeat: rank pairs are ranked anew until unique or of full length."""
+    now = at.withColumnRenamed("r0", "rank")
+    for t in range(turns + 1):
+        if t:
+            now = now.withColumn("rank", F.xxhash64("rank", f"r{t}")).drop(f"r{t}")
+        ranks = scratch.table(now.groupBy("anchor", "rank").agg(F.sum("times").alias("seen")).where("seen > 1").select("anchor", "rank"), f"ranks-{t}")
+        if t < turns and not ranks.limit(1).count():
+            return now.where("false").select("anchor", "content", "j")
+        now = now.join(ranks, ["anchor", "rank"])
+    return now.select("anchor", "content", "j")
 
 
 def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(d, k, spans): for documents with repeated strings, the byte ranges that those cover."""
     seg = scratch.table(corpus_segments(docs, length), "segments")
+    # written before the join: a hot anchor's rows can then be split among tasks
     anchors = seg.groupBy("anchor").agg(F.count("*").alias("total"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-    held = scratch.table(seg.join(anchors.select("anchor", (F.col("c0") < F.col("c1")).alias("mixed")), "anchor"), "held")
-    scratch.drop("segments")
+    anchors = scratch.table(anchors.select("anchor", (F.col("c0") < F.col("c1")).alias("mixed")), "anchors")
+    held = scratch.table(seg.join(anchors, "anchor"), "held")
+    scratch.drop("segments", "anchors")
     whole = held.where("NOT mixed").select("d", "k", F.col("off").alias("s"), (F.col("off") + F.col("n") + length - 1).alias("e"))
     # one example of each different segment, from one row (first() of one aggregation come from one row)
     kinds = held.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("d", "k", "off", "n")))
@@ -165,20 +200,16 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     mixed = scratch.table(mixed, "mixed")
     blocks = scratch.table(mixed.mapInArrow(_blocks(length), "anchor long, content long, times long, b int, j0 int, j1 int, core long, whole long"), "blocks")
     cores = blocks.groupBy("anchor", "b", "core").agg(F.sum("times").alias("seen"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("seen > 1")
-    alive = blocks.join(cores.select("anchor", "b", "core", (F.col("w0") == F.col("w1")).alias("equal")), ["anchor", "b", "core"])
-    alive = scratch.table(alive.select("anchor", "content", "j0", "j1", "equal"), "alive")
+    cores = scratch.table(cores.select("anchor", "b", "core", (F.col("w0") == F.col("w1")).alias("equal")), "cores")
+    alive = scratch.table(blocks.join(cores, ["anchor", "b", "core"]).select("anchor", "content", "j0", "j1", "equal"), "alive")
     open_ = alive.where("NOT equal").groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("ranges"))
-    at = mixed.join(open_, ["anchor", "content"]).select("anchor", "content", "times", "bytes", "ranges").mapInArrow(_names(length), "anchor long, content long, times long, j int, n0 long, n1 long, n2 long, n3 long")
-    # doubled twice: a name of 100 bytes is that of a pair at offset 50, and one of 200 that of a pair at offset 100
-    at = scratch.table(at.select("anchor", "content", "times", "j", F.xxhash64("n0", "n1").alias("head"), F.xxhash64("n2", "n3").alias("tail")), "positions")
-    heads = at.groupBy("anchor", "head").agg(F.sum("times").alias("seen")).where("seen > 1")
-    at = at.join(heads.select("anchor", "head"), ["anchor", "head"], "left_semi")
-    full = at.groupBy("anchor", "head", "tail").agg(F.sum("times").alias("seen")).where("seen > 1")
-    single = at.join(full.select("anchor", "head", "tail"), ["anchor", "head", "tail"], "left_semi").select("anchor", "content", F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"))
+    name, schema = _ranks(length)
+    at = scratch.table(mixed.join(open_, ["anchor", "content"]).select("anchor", "content", "times", "bytes", "ranges").mapInArrow(name, schema), "positions")
+    single = doubled(at, len(doublings(length)), scratch).select("anchor", "content", F.col("j").alias("j0"), (F.col("j") + 1).alias("j1"))
     found = single.union(alive.where("equal").select("anchor", "content", "j0", F.col("j1") + 1)).groupBy("anchor", "content").agg(F.collect_list(F.struct("j0", "j1")).alias("js"))
     found = scratch.table(found.mapInArrow(_runs, "anchor long, content long, j0 int, j1 int"), "found")
     partly = held.where("mixed").join(found, ["anchor", "content"]).select("d", "k", (F.col("off") + F.col("j0")).alias("s"), (F.col("off") + F.col("j1") + length - 1).alias("e"))
-    return whole.union(partly).groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return whole.union(partly).groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,13 +242,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False)
 
     Null and empty texts, and those shorter than `length`: nothing is removed. Repeated rows are copies of each
     other, and so are removed whole where they are long enough. An empty table gives no rows; other columns are
-    ignored. `length` must be a multiple of 4 names, that is, 200 here.
+    ignored. `length` is any number from 32 on.
     """
-    if length != 4 * FIRST:
-        raise ValueError(f"length must be {4 * FIRST}")
+    if length < SHORTEST:
+        raise ValueError(f"length must be {SHORTEST} or more")
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = scratch.table(repeated_spans(docs, length, scratch), "spans")
-    scratch.drop("held", "mixed", "blocks", "alive", "positions", "found")
+    scratch.drop("held", "mixed", "blocks", "cores", "alive", "positions", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

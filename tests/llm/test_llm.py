@@ -176,22 +176,23 @@ def test_op5_repeated_ids(spark):
     assert kept == Counter([(5, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c)])
 
 
-def test_op6(spark, docs, empty):
+@pytest.mark.parametrize("length", [200, 50, 333])
+def test_op6(spark, docs, empty, length):
     shared = prose(70)
     rows = [(50 + k, prose(20) + shared[k * 3 : 230 + 5 * k] + prose(20)) for k in range(12)] + [(i, t) for i, t in ROWS if i != 11]
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
+    seen = Counter(b[k : k + length] for b in texts for k in range(len(b) - length + 1))
     want = Counter()
     for (i, _), b in zip(rows, texts):
         gone = bytearray(len(b))
-        for k in range(len(b) - 199):
-            if seen[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()] += 1
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
     assert Counter(map(tuple, got)) == want
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+    assert suffix_dedup.remove_repeats(empty, length).count() == 0
 
 
 def test_op7(spark, docs, empty):
