@@ -31,6 +31,16 @@ def sha(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)), 256)
 
 
+def piped_sha(*parts: Column | str) -> Column:
+    """SHA-256 (hex) of the parts joined by bars."""
+    return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)), 256)
+
+
+def joint_input(rendered: Column, candidate: Column) -> Column:
+    """What a joint scorer reads: the rendered state and one candidate, as they are."""
+    return F.concat(rendered, F.lit("\n\nCandidate action:\n"), candidate)
+
+
 def hex_int(digest: Column, digits: int) -> Column:
     """The first hex digits as a number (up to 15 fit a bigint)."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
@@ -75,24 +85,13 @@ def call_text(name: Column, args: Column) -> Column:
     return F.concat(name, F.lit("("), F.array_join(pairs, ", "), F.lit(")"))
 
 
-def _prose(value, top: bool = True) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, dict):
-        lines = []
-        for key, part in value.items():
-            text = _prose(part, False)
-            lines.append(f"{key}:\n" + _indented(text) if isinstance(part, dict | list) and text else f"{key}: {text}")
-        return ("\n\n" if top else "\n").join(lines)
-    if isinstance(value, list):
-        return "\n".join("- " + _indented(_prose(part, False)).lstrip() for part in value)
-    return str(value)
-
-
-def _indented(text: str) -> str:
-    return "\n".join("  " + line if line else line for line in text.split("\n"))
+def _prose(value, depth: int = 0) -> str:
+    """Fields as `key: value` (blank lines between those at the top), items as `- value`, what is nested below and indented."""
+    if not isinstance(value, dict | list):
+        return "" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+    marked = [(f"{k}:", v) for k, v in value.items()] if isinstance(value, dict) else [("-", v) for v in value]
+    body = lambda v: "\n" + _prose(v, depth + 2) if isinstance(v, dict | list) and v else " " + _prose(v)
+    return ("\n\n" if isinstance(value, dict) and not depth else "\n").join(" " * depth + mark + body(v) for mark, v in marked)
 
 
 @F.pandas_udf(T.StringType())

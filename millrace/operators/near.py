@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import WORD_OR_MARK, head_tail
+from ..functions.text import head_tail
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -19,22 +23,39 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def word_list(text: Column, limit: int = 16000) -> Column:
-    """Words and marks of the lower-cased text; long texts by their head and tail."""
-    return F.regexp_extract_all(head_tail(F.lower(text), limit, limit // 2), F.lit(f"({WORD_OR_MARK})"), 1)
+def windowed(text: Column, limit: int) -> Column:
+    """Long texts by their first and last half of the limit: the rule of the sketches. limit 0: the whole text."""
+    return head_tail(text, limit, limit // 2) if limit else text
 
 
-def sketch(words: Column, width: int = 5, most: int = 512) -> Column:
-    """The smallest `most` 16-digit hash prefixes of the distinct shingles, sorted; fewer words make one shingle."""
-    w = F.least(F.lit(width), F.size(words))
-    shingle = lambda i: F.substring(F.sha2(F.array_join(F.slice(words, i, w), " "), 256), 1, 16)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - w + 1, F.lit(1))), shingle)
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.array_sort(F.array_distinct(every)), 1, most))
+#: Words, and marks that are neither words nor white space.
+_TOKENS = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\v]")
+_WORDS = regex.compile(r"[\p{L}\p{N}_]+")
 
 
-def sketches(docs: DataFrame, id_: str, text: Column, width: int = 5, most: int = 512) -> DataFrame:
-    words = docs.select(F.col(id_).alias("id"), word_list(text).alias("words"))
-    return materialised(words.select("id", sketch(F.col("words"), width, most).alias("sketch")))
+def shingle_hashes(text: Column, width: int = 5, most: int | None = 512, least: int = 1, marks: bool = True) -> Column:
+    """The distinct shingles of a text as 16-digit hash prefixes, sorted; the smallest `most` of them, or all.
+
+    Texts with fewer words than `least` have none, others with fewer than `width` have one.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def hashes(x: pd.Series) -> pd.Series:
+        def one(s):
+            w = (_TOKENS if marks else _WORDS).findall(s or "")
+            if len(w) < least:
+                return []
+            n = min(width, len(w))
+            return sorted({hashlib.sha256(" ".join(w[k : k + n]).encode()).hexdigest()[:16] for k in range(len(w) - n + 1)})[:most]
+
+        return x.map(one)
+
+    return hashes(text)
+
+
+def sketches(docs: DataFrame, id_: str, text: Column, width: int = 5, most: int | None = 512, limit: int = 16000) -> DataFrame:
+    """(id, sketch). Texts over `limit` characters are judged by their two ends and `most` hashes; limit 0 and most None take all."""
+    return materialised(docs.select(F.col(id_).alias("id"), shingle_hashes(windowed(F.lower(text), limit), width, most).alias("sketch")))
 
 
 def bands(sketched: DataFrame, anchors: int = 32) -> DataFrame:
@@ -60,6 +81,28 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float, same: bool, most
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def near_links(sketched: DataFrame, least: float) -> DataFrame:
+    """(a, b): links with the same components as near_pairs. Copies meet their first one only, which stands for all of them."""
+    some = sketched.where(F.size("sketch") > 1)
+    first = materialised(some.groupBy("sketch").agg(F.min("id").alias("first")))
+    alone = first.select(F.col("first").alias("id"), "sketch")
+    copies = some.join(first, "sketch").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return near_pairs(alone, alone, least, True).select("a", "b").union(copies)
+
+
+def loose_pairs(sets: DataFrame, least: float = 0.8, anchors: int = 8) -> DataFrame:
+    """(a, b, similarity): full sets (id, sketch) that share a couple of neighbours among their smallest hashes, wherever it is.
+
+    The couples are first with second, third with fourth and so on of the `anchors` smallest; their place is no part of them.
+    """
+    n = F.floor(F.least(F.size("sketch"), F.lit(anchors)) / 2).cast("int")
+    couples = sets.where(n > 0).select("id", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("sketch", i * 2), F.get("sketch", i * 2 + 1)))).alias("key"), F.size("sketch").alias("n"))
+    other = couples.select(F.col("id").alias("b"), "key", F.col("n").alias("m"))
+    pairs = couples.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Labels go to neighbours and jump along labels until none moves."""
     edges = materialised(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
@@ -74,11 +117,13 @@ def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:
             return labels
 
 
-def closure(owners: DataFrame, contains: DataFrame, removed: DataFrame) -> DataFrame:
+def closure(owners: DataFrame, contains: DataFrame, removed: DataFrame, most: int | None = None) -> DataFrame:
     """Groups to remove, until nothing changes: a text owned by removed groups only is forbidden, and a group that contains it goes.
 
-    owners: (group, text) a group owns; contains: (group, text) it shows; removed: (group).
+    owners: (group, text) a group owns; contains: (group, text) it shows; removed: (group). ValueError if more than `most`
+    groups would go beside those removed before.
     """
+    before = removed.select("group").distinct().count() if most is not None else 0
     gone = materialised(removed.select("group").distinct())
     while True:
         kept = owners.join(gone, "group", "left_anti").select("text").distinct()
@@ -87,3 +132,5 @@ def closure(owners: DataFrame, contains: DataFrame, removed: DataFrame) -> DataF
         if not more.limit(1).count():
             return gone
         gone = materialised(gone.union(more))
+        if most is not None and gone.count() - before > most:
+            raise ValueError(f"more than {most} groups would be removed")

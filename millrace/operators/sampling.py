@@ -45,3 +45,24 @@ def round_robin(rows: DataFrame, stratum: str, family: str, order: list[Column],
     """n rows of each stratum, families in turn: (stratum, place) by rank in family, then family."""
     ranked = rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum, family).orderBy(*order))).where(F.col("turn") <= n)
     return quota(ranked, [stratum], [F.col("turn"), F.col(family)], n).withColumnRenamed("rank", "place")
+
+
+def most_alike(labels: DataFrame, n: int, key) -> DataFrame:
+    """(id, other, shared): for each label (id, words) the n others with most words in common, ties by key(id), then id.
+
+    Labels with equal word sets are one kind. Kinds that share a word are compared, never all labels, and a kind offers
+    only its first n + 1 labels, as no more of them can be chosen. A kind with fewer sharers is filled up in order of the key.
+    """
+    kinds = labels.select("words").distinct().withColumn("kind", F.xxhash64("words"))
+    own = labels.withColumn("kind", F.xxhash64("words")).withColumn("k", key(F.col("id")))
+    offers = quota(own, ["kind"], [F.col("k"), F.col("id")], n + 1).select("kind", F.col("id").alias("other"), "k")
+    words = kinds.select("kind", F.explode("words").alias("word"))
+    sharing = words.join(words.select(F.col("kind").alias("kind2"), "word"), "word").groupBy("kind", "kind2").agg(F.count("*").cast("int").alias("shared"))
+    near = sharing.join(offers.withColumnRenamed("kind", "kind2"), "kind2").select("kind", "other", "k", "shared")
+    few = 2 * n + 2
+    # of the first labels of all, at most n are among the sharers of a kind that has too few of them
+    fill = own.select("kind", F.col("id").alias("other"), "k").orderBy("k", "other").limit(few).drop("kind")
+    every = near.union(kinds.select("kind").join(F.broadcast(fill)).select("kind", "other", "k", F.lit(0).alias("shared")))
+    best = quota(every.groupBy("kind", "other", "k").agg(F.max("shared").alias("shared")), ["kind"], [F.desc("shared"), F.col("k"), F.col("other")], n + 1).drop("rank")
+    chosen = own.select("id", "kind").join(best, "kind").where("id <> other")
+    return quota(chosen, ["id"], [F.desc("shared"), F.col("k"), F.col("other")], n).select("id", "other", "shared")

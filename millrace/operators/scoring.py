@@ -12,8 +12,10 @@ def total(x: Column) -> Column:
 
 def log_softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(logits)
-    return F.transform(logits, lambda z: (z - top) / t - F.log(total(F.transform(logits, lambda y: F.exp((y - top) / t)))))
+    scaled = F.transform(logits, lambda z: (z - F.array_max(logits)) / t)
+    # the sum is bound once, as the only element of an array, and not computed again for each logit
+    once = F.transform(F.array(scaled), lambda x: F.struct(x.alias("z"), F.log(total(F.transform(x, F.exp))).alias("lse")))
+    return F.get(F.transform(once, lambda s: F.transform(s["z"], lambda z: z - s["lse"])), F.lit(0))
 
 
 def one_hot(target: Column, n: Column) -> Column:
@@ -78,14 +80,16 @@ def temperature_grid(spark, n: int = 121, low: float = 0.1, high: float = 10.0)
 
 
 def fit_temperature(rows: DataFrame, n: int = 121) -> DataFrame:
-    """(system, step, t, loss): the temperature of least mean family loss, the first of equals."""
-    spark = rows.sparkSession
-    grid = temperature_grid(spark, n).agg(F.sort_array(F.collect_list(F.struct("step", "t"))).alias("g"))  # 121 values
-    grid = grid.first()["g"]
-    at = rows.withColumn("g", F.explode(F.array(*(F.struct(F.lit(x["step"]).alias("step"), F.lit(x["t"]).alias("t")) for x in grid))))
-    at = at.select("system", "family", F.col("g.step").alias("step"), F.col("g.t").alias("t"), "logits", one_hot(F.col("target"), F.col("n")).alias("y"))
-    at = at.select("system", "family", "step", "t", nll(log_softmax(F.col("logits"), F.col("t")), F.col("y")).alias("nll"))
-    loss = at.groupBy("system", "family", "step", "t").agg(F.avg("nll").alias("nll")).groupBy("system", "step", "t").agg(F.avg("nll").alias("loss"))
-    loss = loss.withColumn("loss", F.round("loss", 9))
-    best = loss.groupBy("system").agg(F.min(F.struct("loss", "step", "t")).alias("b"))
+    """(system, step, t, loss): the temperature of least mean family loss, the first of equals.
+
+    One pass: each row adds its n losses to n sums of its family; rows are not copied for each temperature.
+    """
+    grid = [(r["step"], r["t"]) for r in temperature_grid(rows.sparkSession, n).orderBy("step").collect()]  # n values
+    top = F.array_max("logits")
+    r = rows.select("system", "family", F.transform("logits", lambda z: z - top).alias("z"), F.get(F.col("logits"), F.col("target")).alias("hit"), top.alias("top"))
+    loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z / t))) - (F.col("hit") - F.col("top")) / t
+    by_family = r.groupBy("system", "family").agg(*(F.avg(loss(F.lit(t))).alias(f"l{step}") for step, t in grid))
+    steps = F.array(*(F.struct(F.round(f"l{step}", 9).alias("loss"), F.lit(step).alias("step"), F.lit(t).alias("t")) for step, t in grid))
+    by_system = by_family.groupBy("system").agg(*(F.avg(f"l{step}").alias(f"l{step}") for step, _ in grid))
+    best = by_system.select("system", F.array_min(steps).alias("b"))
     return best.select("system", "b.step", "b.t", "b.loss")

@@ -1,7 +1,11 @@
-"""Embeddings as arrays: norms, cosines, nearest in a group, contrastive loss."""
+"""Embeddings as arrays: norms, cosines, nearest of all, contrastive loss."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,18 +16,41 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+    # the norm is bound once, as the only element of an array
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
+
+
+def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
+    """Blocks of about `rows` vectors as (ids, flat values) arrays."""
+    n = vectors.count()
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // rows))))
+    block = vectors.where("embedding IS NOT NULL").groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("x"))
+    return block.select(F.transform("x", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.flatten(F.transform("x", lambda v: v["embedding"].cast("array<double>"))).alias(name))
 
 
-def nearest_to(vectors: DataFrame, queries: DataFrame, k: int, temperature: float = 0.07) -> DataFrame:
-    """(query, label, vec_id, cosine, score, rank): the k nearest vectors of the query's own label.
+def nearest_to(vectors: DataFrame, queries: DataFrame, k: int, temperature: float = 0.07, block: int = 2000) -> DataFrame:
+    """(query, vec_id, cosine, score, rank): the k nearest of all vectors for each of a stated set of queries.
 
-    queries is a stated set; vectors are met by label, not all by all, and keep k for each query.
+    Exact: every block of queries meets every block of vectors, and only the k best of a block pair leave it. Blocks have
+    a bounded number of rows. Vectors without a direction (null, all zero) are nobody's neighbour.
     """
-    v = vectors.select("vec_id", "label", normalised(F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("query"), "label", normalised(F.col("embedding")).alias("q"))
-    both = v.join(q, "label").where("vec_id <> query").select("query", "label", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("cosine"))
-    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
+    both = _packed(queries, block, "q").crossJoin(_packed(vectors, block, "v"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, v_ids, v in zip(*(batch.column(c) for c in range(4))):
+                a, b = (np.asarray(i.values) for i in (q_ids, v_ids))
+                x, y = (np.asarray(m.values).reshape(len(i), -1) for m, i in ((q, a), (v, b)))
+                with np.errstate(all="ignore"):
+                    cosine = np.round((x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :], 6)
+                cosine[(a[:, None] == b[None, :]) | ~np.isfinite(cosine)] = -2
+                best = np.stack([np.lexsort((b, -c))[:k] for c in cosine])
+                near = np.take_along_axis(cosine, best, 1).ravel()
+                some = near > -2
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, best.shape[1])[some]), pa.array(b[best].ravel()[some]), pa.array(near[some])], ["query", "vec_id", "cosine"])
+
+    found = both.mapInArrow(search, "query long, vec_id long, cosine double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.withColumn("score", F.round(F.col("cosine") / temperature, 4))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
@@ -47,11 +51,11 @@ def word_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_count("text", F.lit(X.WORD)).cast("bigint").alias("words"), F.regexp_count("text", F.lit(X.WORD_OR_MARK)).cast("bigint").alias("tokens"))
 
 
-@query("""SELECT doc_id, length(CASE WHEN length(text) > 1600 THEN left(text, 800)||' '||right(text, 800) ELSE text END)::bigint AS window_chars,
-sha256(CASE WHEN length(text) > 1600 THEN left(text, 800)||' '||right(text, 800) ELSE text END) AS window_hash, sha256(right(text, 500)) AS tail_hash FROM documents""")
+@query("""SELECT doc_id, length(CASE WHEN length(text) > 16000 THEN left(text, 8000)||' '||right(text, 8000) ELSE text END)::bigint AS window_chars,
+sha256(CASE WHEN length(text) > 16000 THEN left(text, 8000)||' '||right(text, 8000) ELSE text END) AS window_hash, sha256(right(text, 16000)) AS tail_hash FROM documents""")
 def text_windows(t: Tables) -> DataFrame:
-    w = X.head_tail(F.col("text"), 1600, 800)
-    return t.documents.select("doc_id", F.length(w).cast("bigint").alias("window_chars"), F.sha2(w, 256).alias("window_hash"), F.sha2(F.right("text", F.lit(500)), 256).alias("tail_hash"))
+    w = X.head_tail(F.col("text"), 16000, 8000)
+    return t.documents.select("doc_id", F.length(w).cast("bigint").alias("window_chars"), F.sha2(w, 256).alias("window_hash"), F.sha2(F.right("text", F.lit(16000)), 256).alias("tail_hash"))
 
 
 @query("SELECT p_partkey, trim(replace(replace(p_brand||'_'||p_type||'?', '_', ' '), '?', '')) AS label, split_part(p_name, ' ', 1) AS head FROM part")
@@ -240,11 +244,11 @@ def split_overlap_pairs(t: Tables) -> DataFrame:
     return S.shared_pairs(id_split(t), "grp")
 
 
-@query(f"""{_BY_ID}, issues AS (SELECT 'group' AS kind, grp AS k, split FROM s UNION ALL SELECT 'source', source, split FROM s UNION ALL SELECT 'prefix', left(norm, 40), split FROM s)
+@query(f"""{_BY_ID}, issues AS (SELECT 'group' AS kind, grp AS k, split FROM s UNION ALL SELECT 'source', source, split FROM s UNION ALL SELECT 'input', sha256(lang||':'||text), split FROM s)
 SELECT kind, count(*) AS keys, count(*) FILTER (n > 1) AS conflicts FROM (SELECT kind, k, count(DISTINCT split) AS n FROM issues GROUP BY ALL) GROUP BY kind""")
 def leakage_issue_counts(t: Tables) -> DataFrame:
     s = id_split(t)
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("k")) for k, c in (("group", F.col("grp")), ("source", F.col("source")), ("prefix", F.left("norm", F.lit(40))))))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("k")) for k, c in (("group", F.col("grp")), ("source", F.col("source")), ("input", X.sha(F.col("lang"), F.col("text"))))))
     per = s.select("split", F.explode(kinds).alias("x")).groupBy("x.kind", "x.k").agg(F.countDistinct("split").alias("n"))
     return per.groupBy("kind").agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("conflicts"))
 
@@ -303,7 +307,7 @@ r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, edg
 SELECT id, min(reach) AS component FROM r GROUP BY id""")
 def near_dup_components(t: Tables) -> DataFrame:
     s = sketched(t)
-    return N.components(N.near_pairs(s, s, 0.85, True), s)
+    return N.components(N.near_links(s, 0.85), s)
 
 
 @query(f"""WITH {_PAIRS}, gone AS (SELECT DISTINCT CASE WHEN {h('a::varchar', 8, 100)} < 70 THEN a ELSE b END AS id FROM near WHERE similarity >= 0.85 AND ({h('a::varchar', 8, 100)} < 70) <> ({h('b::varchar', 8, 100)} < 70))
@@ -318,35 +322,58 @@ def train_vs_protected_screen(t: Tables) -> DataFrame:
 _GRAMS = """{n} AS (SELECT DISTINCT id, sha256(array_to_string(t[i:i+12], ' ')) AS g, src FROM (SELECT {id} AS id, {src} AS src, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t, unnest(range(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) - 12 + 1)) AS i FROM {table}))"""
 
 
-def grams(df: DataFrame, id_: str, *more: str, n: int = 13) -> DataFrame:
+def grams(df: DataFrame, id_: str, *more: str, n: int = 13, only: DataFrame | None = None, most: int = 2_000_000) -> DataFrame:
+    """(id, more, g): the distinct runs of n words as hashes. only (g): those of no interest are left out where they are made.
+
+    With more than `most` distinct ones in `only`, all are returned, and the join that follows does the work.
+    """
     words = df.select(F.col(id_).alias("id"), *more, F.regexp_extract_all(F.lower("text"), F.lit(f"({X.WORD})"), 1).alias("w")).where(F.size("w") >= n)
-    return words.select("id", *more, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.sha2(F.array_join(F.slice("w", i, n), " "), 256))).alias("g")).distinct()
+    held = None
+    if only is not None and only.select("g").distinct().limit(most + 1).count() <= most:
+        held = set(only.select("g").distinct().toArrow().column("g").to_pylist())
+    sent = df.sparkSession.sparkContext.broadcast(held)
+    kept = words.select("id", *more).schema
+
+    def cut(batches):
+        wanted = sent.value
+        for batch in batches:
+            rows, found = [], []
+            for i, w in enumerate(batch.column(len(kept)).to_pylist()):
+                own = {hashlib.sha256(" ".join(w[k : k + n]).encode()).hexdigest() for k in range(len(w) - n + 1)}
+                own = own if wanted is None else own & wanted
+                found += own
+                rows += [i] * len(own)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(len(kept))), pa.array(found, pa.string())], [*kept.names, "g"])
+
+    return words.mapInArrow(cut, T.StructType([*kept.fields, T.StructField("g", T.StringType())])).distinct()
 
 
 @query(f"WITH {_GRAMS.format(n='dg', id='doc_id', src='source', table='documents')}, {_GRAMS.format(n='bg', id='item_id', src='0', table='benchmark')} SELECT dg.src AS source, count(DISTINCT dg.id) AS documents, count(DISTINCT bg.id) AS items FROM dg JOIN bg USING (g) GROUP BY ALL")
 def benchmark_overlap_13gram(t: Tables) -> DataFrame:
-    hit = grams(t.documents, "doc_id", "source").join(grams(t.benchmark, "item_id").select(F.col("id").alias("item"), "g"), "g")
+    items = N.materialised(grams(t.benchmark, "item_id").select(F.col("id").alias("item"), "g"))
+    hit = grams(t.documents, "doc_id", "source", only=items).join(items, "g")
     return hit.groupBy("source").agg(F.countDistinct("id").alias("documents"), F.countDistinct("item").alias("items"))
 
 
-@query(f"""WITH RECURSIVE {ROWS}, o AS (SELECT source AS grp2, left(norm, 24) AS text FROM rows), gone AS (SELECT 'src0' AS g),
-step(g, n) AS (SELECT ['src0'], 0 UNION ALL SELECT (SELECT list(DISTINCT grp2 ORDER BY grp2) FROM o WHERE list_contains(step.g, grp2) OR text IN (SELECT text FROM o GROUP BY text HAVING bool_and(list_contains(step.g, grp2)))), n + 1 FROM step WHERE n < 6)
-SELECT unnest(g) AS "group" FROM (SELECT g FROM step ORDER BY n DESC LIMIT 1)""")
+@query(f"""WITH RECURSIVE {ROWS}, c AS (SELECT DISTINCT source||'/'||lang AS g, grp AS text FROM rows), o AS (SELECT grp AS text, arg_min(source||'/'||lang, doc_id) AS g FROM rows GROUP BY grp),
+r AS (SELECT DISTINCT g FROM c WHERE g LIKE 'src0/%' UNION SELECT c.g FROM r JOIN o ON o.g = r.g JOIN c ON c.text = o.text)
+SELECT g AS "group" FROM r""")
 def contamination_closure(t: Tables) -> DataFrame:
-    owned = rows(t).select(F.col("source").alias("group"), F.left("norm", F.lit(24)).alias("text")).distinct()
-    return N.closure(owned, owned, owned.where("group = 'src0'").select("group"))
+    """A text belongs to the group (source and language) of its first document, and every group that shows it contains it."""
+    shown = rows(t).select("doc_id", F.concat_ws("/", "source", "lang").alias("group"), F.col("grp").alias("text"))
+    owners = shown.groupBy("text").agg(F.min_by("group", "doc_id").alias("group")).select("group", "text")
+    contains = shown.select("group", "text").distinct()
+    return N.closure(owners, contains, contains.where("group LIKE 'src0/%'").select("group"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS id, p_brand AS b, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}_]+') AS w FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5)
-SELECT x.id AS id, y.id AS other, len(list_intersect(list_distinct(x.w), list_distinct(y.w)))::int AS shared FROM p x JOIN p y ON x.id <> y.id
-QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY shared DESC, sha256('{SEED}:'||y.id), y.id) <= 3""")
+@query(f"""WITH p AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM part), k AS (SELECT *, sha256('{SEED}:'||id) AS k FROM p)
+SELECT x.id AS id, y.id AS other, len(list_intersect(x.w, y.w))::int AS shared FROM k x JOIN k y ON x.id <> y.id
+QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY shared DESC, y.k, y.id) <= 3""")
 def hard_negatives(t: Tables) -> DataFrame:
-    """Labels (a small set) against labels: the three with most words in common, ties by hash."""
-    p = t.part.select(F.col("p_partkey").alias("id"), "p_brand", F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit(f"({X.WORD})"), 1)).alias("w"))
-    p = Q.quota(p, ["p_brand"], [F.col("id")], 5).select("id", "w")
-    both = p.join(p.select(F.col("id").alias("other"), F.col("w").alias("w2")), F.col("id") != F.col("other"))
-    shared = both.select("id", "other", F.size(F.array_intersect("w", "w2")).alias("shared"))
-    return Q.quota(shared, ["id"], [F.desc("shared"), X.sha(SEED, F.col("other")), F.col("other")], 3).drop("rank")
+    """For every label the three others with most words in common, ties by hash."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit(f"({X.WORD})"), 1)))
+    return Q.most_alike(t.part.select(F.col("p_partkey").alias("id"), words.alias("words")), 3, lambda c: X.sha(SEED, c))
 
 
 @query(f"""WITH pool AS (SELECT row_number() OVER (ORDER BY sha256('{SEED}:pool:'||item_id), item_id) - 1 AS seat, item_id FROM benchmark), n AS (SELECT count(*) AS n FROM pool),

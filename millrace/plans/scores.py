@@ -182,10 +182,10 @@ def stable_rank(t: Tables) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
-n AS (SELECT q.vec_id AS "query", v.vec_id, q.label, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) AS cosine FROM embeddings v JOIN q ON v.label = q.label AND v.vec_id <> q.vec_id)
-SELECT "query", label, vec_id, cosine, row_number() OVER (PARTITION BY "query" ORDER BY cosine DESC, vec_id)::int AS rank FROM n QUALIFY rank <= 5""")
+n AS (SELECT q.vec_id AS "query", v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) AS cosine FROM embeddings v JOIN q ON v.vec_id <> q.vec_id)
+SELECT "query", vec_id, cosine, row_number() OVER (PARTITION BY "query" ORDER BY cosine DESC, vec_id)::int AS rank FROM n QUALIFY rank <= 5""")
 def cosine_topk(t: Tables) -> DataFrame:
-    return Vec.nearest_to(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 5).select("query", "label", "vec_id", "cosine", "rank")
+    return Vec.nearest_to(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 5).select("query", "vec_id", "cosine", "rank")
 
 
 @query("""WITH e AS (SELECT vec_id, label, vec_id // 25 AS batch, embedding::double[] AS v FROM embeddings), s AS (SELECT a.batch, a.vec_id AS a, a.label = b.label AS positive, exp(list_cosine_similarity(a.v, b.v) / 0.07) AS x FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id),

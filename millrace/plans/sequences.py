@@ -11,7 +11,7 @@ from ..operators import validation as V
 from ..registry import Tables, query
 from .sql import h
 
-_ENTRY = "role||':'||left(text, 20)"
+_ENTRY = "role||':'||text"
 
 
 @query(f"""WITH x AS (SELECT conv_id, turn, role, list({_ENTRY}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS hist FROM conversations)
