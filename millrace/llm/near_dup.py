@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if bridges.limit(1).count():
         labels = components(bridges.union(labels.select("component", "id")), scratch, "bridged")
     placed = rows.join(labels, "id", "left").select("doc_id", "n_shingles", "id", F.coalesce("component", "id").alias("c"))
-    least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = scratch.table(placed.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     out = placed.where("c IS NOT NULL").join(least, "c").select("doc_id", "n_shingles", "component_id")
     # a blank row of a doc_id that has other texts too belongs with them
     blank = placed.where("c IS NULL").select("doc_id", "n_shingles")
@@ -182,5 +182,7 @@ def surplus(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "surplus")
     rows, labels = linked_classes(docs, width, percent, scratch)
     placed = rows.where("id IS NOT NULL").select("doc_id", "k", "id").distinct().join(labels, "id", "left").select("doc_id", "k", F.coalesce("component", "id").alias("c"))
+    # written before the join: a large group's rows can then be split among tasks
     keep = placed.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("keep")).where("n > 1")
+    keep = scratch.table(keep.select("c", "keep"), "keep")
     return scratch.table(placed.join(keep, "c").where("NOT (doc_id = keep.doc_id AND k = keep.k)").select("doc_id", "k"), "gone")
