@@ -32,4 +32,4 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-from .plans import corpus, scores, sequences, tables  # noqa: E402, F401  (registers)
+from .plans import corpus, generations, scores, sequences, tables  # noqa: E402, F401  (registers)
