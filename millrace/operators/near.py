@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import head_tail
+from ..session import spread
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def shingle_hashes(text: Column, width: int = 5, most: int | None = 512, least:
 
 def sketches(docs: DataFrame, id_: str, text: Column, width: int = 5, most: int | None = 512, limit: int = 16000) -> DataFrame:
     """(id, sketch). Texts over `limit` characters are judged by their two ends and `most` hashes; limit 0 and most None take all."""
-    return materialised(docs.select(F.col(id_).alias("id"), shingle_hashes(windowed(F.lower(text), limit), width, most).alias("sketch")))
+    texts = spread(docs.select(F.col(id_).alias("id"), text.alias("text")))
+    return materialised(texts.select("id", shingle_hashes(windowed(F.lower("text"), limit), width, most).alias("sketch")))
 
 
 def bands(sketched: DataFrame, anchors: int = 32) -> DataFrame:

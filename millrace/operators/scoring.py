@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -82,14 +84,14 @@ def temperature_grid(spark, n: int = 121, low: float = 0.1, high: float = 10.0)
 def fit_temperature(rows: DataFrame, n: int = 121) -> DataFrame:
     """(system, step, t, loss): the temperature of least mean family loss, the first of equals.
 
-    One pass: each row adds its n losses to n sums of its family; rows are not copied for each temperature.
+    One pass: a row has its n losses in one array, and only those are taken apart, not copies of its logits.
     """
-    grid = [(r["step"], r["t"]) for r in temperature_grid(rows.sparkSession, n).orderBy("step").collect()]  # n values
+    grid = [r["t"] for r in temperature_grid(rows.sparkSession, n).orderBy("step").collect()]  # n values
+    every = F.array(*map(F.lit, grid))
     top = F.array_max("logits")
-    r = rows.select("system", "family", F.transform("logits", lambda z: z - top).alias("z"), F.get(F.col("logits"), F.col("target")).alias("hit"), top.alias("top"))
-    loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z / t))) - (F.col("hit") - F.col("top")) / t
-    by_family = r.groupBy("system", "family").agg(*(F.avg(loss(F.lit(t))).alias(f"l{step}") for step, t in grid))
-    steps = F.array(*(F.struct(F.round(f"l{step}", 9).alias("loss"), F.lit(step).alias("step"), F.lit(t).alias("t")) for step, t in grid))
-    by_system = by_family.groupBy("system").agg(*(F.avg(f"l{step}").alias(f"l{step}") for step, _ in grid))
-    best = by_system.select("system", F.array_min(steps).alias("b"))
-    return best.select("system", "b.step", "b.t", "b.loss")
+    r = spread(rows).select("system", "family", F.transform("logits", lambda z: z - top).alias("z"), (F.get(F.col("logits"), F.col("target")) - top).alias("hit"))
+    losses = F.transform(every, lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z / t))) - F.col("hit") / t)
+    by_family = r.select("system", "family", F.posexplode(losses).alias("step", "nll")).groupBy("system", "family", "step").agg(F.avg("nll").alias("nll"))
+    loss = by_family.groupBy("system", "step").agg(F.round(F.avg("nll"), 9).alias("loss"))
+    best = loss.groupBy("system").agg(F.min(F.struct("loss", "step")).alias("b"))
+    return best.select("system", F.col("b.step").cast("bigint").alias("step"), F.get(every, F.col("b.step")).alias("t"), "b.loss")

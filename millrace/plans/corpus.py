@@ -18,6 +18,7 @@ from ..operators import sequences as Sq
 from ..operators import splits as S
 from ..operators import validation as V
 from ..registry import Tables, query
+from ..session import spread
 from .sql import NORM, ROWS, SEED, SPLIT_ROWS, h
 
 def D():
@@ -327,7 +328,7 @@ def grams(df: DataFrame, id_: str, *more: str, n: int = 13, only: DataFrame | No
 
     With more than `most` distinct ones in `only`, all are returned, and the join that follows does the work.
     """
-    words = df.select(F.col(id_).alias("id"), *more, F.regexp_extract_all(F.lower("text"), F.lit(f"({X.WORD})"), 1).alias("w")).where(F.size("w") >= n)
+    words = spread(df.select(id_, *more, "text")).select(F.col(id_).alias("id"), *more, F.regexp_extract_all(F.lower("text"), F.lit(f"({X.WORD})"), 1).alias("w")).where(F.size("w") >= n)
     held = None
     if only is not None and only.select("g").distinct().limit(most + 1).count() <= most:
         held = set(only.select("g").distinct().toArrow().column("g").to_pylist())

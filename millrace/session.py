@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table of few files would leave most of them idle; larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
