@@ -193,6 +193,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, component) over the links that gave `labels` and `edges` (a, b) together.
+
+    The loop runs over links between components alone: links that were followed before are not read again.
+    """
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    joined = components(between, scratch, name)
+    # a component's name is its smallest id: it is in labels itself, and names without a label were single ids
+    old = labels.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return scratch.table(old.union(joined.join(labels, "id", "left_anti").select("id", "component")), f"{name}-merged")
+
+
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, central: Callable[[DataFrame], DataFrame] | None, finer: Callable[[DataFrame], DataFrame], fits: str) -> DataFrame:
     """(id, component) over the verified links among ids that share a key; ids without a link have no row.
 
@@ -214,7 +227,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
     middle = central(held.select("id").distinct()) if central else held.select("id", F.lit(0).alias("central")).distinct()
     held = scratch.table(held.join(middle, "id"), "members")
     leader = F.max(F.struct("central", "hub", (-F.col("id")).alias("neg"), F.col("c").alias("lc"))).alias("top")
-    labels = tried = edges = None
+    labels = tried = None
     for stage in ("leader", "second leader", "rest"):
         now = held.withColumn("c", F.col("id")) if labels is None else held.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         split = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), leader).where("c0 < c1")
@@ -242,7 +255,6 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch
         found = scratch.table(verify(asked).select("a", "b"), f"links of {stage}")
         tried = asked if tried is None else tried.union(asked)
         if found.limit(1).count():
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges, scratch, f"components by {stage}")
+            labels = components(found, scratch, f"components by {stage}") if labels is None else merged(labels, found, scratch, f"components by {stage}")
     scratch.drop("keys", "shared", "split", "hubs", "members", "others", "rest", "finer")
     return labels if labels is not None else scratch.spark.createDataFrame([], "id long, component long")

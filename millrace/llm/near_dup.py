@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import U64, Scratch, components, linked, mix64, shingle_hashes, signed, text_slices
+from .common import U64, Scratch, linked, merged, mix64, shingle_hashes, signed, text_slices
 
 #: 32 permutations give 64 values (a minimum and a maximum each): 16 bands of 4. Two sets of similarity s meet in a
 #: band with probability 1 - (1 - s**4)**16: 0.99999 at 0.85, 0.9998 at 0.8.
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = rows.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
     bridges = scratch.table(rows.join(several, "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct(), "bridges")
     if bridges.limit(1).count():
-        labels = components(bridges.union(labels.select("component", "id")), scratch, "bridged")
+        labels = merged(labels, bridges, scratch, "bridged")
     placed = rows.join(labels, "id", "left").select("doc_id", "n_shingles", "id", F.coalesce("component", "id").alias("c"))
     least = scratch.table(placed.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     out = placed.where("c IS NOT NULL").join(least, "c").select("doc_id", "n_shingles", "component_id")

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, lines, media, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
+from millrace.llm import common, decontaminate, language, lines, media, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
 from millrace.llm.queries import BYTE_BPE
 from millrace.llm.tokens import Words
 
@@ -160,6 +160,23 @@ def test_op5(spark, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_merged_components(spark):
+    """Labels of two batches of links are those of all links at once, also where the second links nothing new."""
+    rng = np.random.default_rng(7)
+    first, second = (rng.integers(0, 120, (n, 2)).tolist() for n in (40, 30))
+    name = list(range(120))
+    for a, b in first + second:
+        low, high = sorted((name[a], name[b]))
+        name = [low if x == high else x for x in name]
+    met = {x for a, b in first + second if a != b for x in (a, b)}
+    scratch = common.Scratch(spark, "merged")
+    frame = lambda rows: spark.createDataFrame([r for r in rows if r[0] != r[1]], "a long, b long")
+    labels = common.components(frame(first), scratch, "first")
+    for rows in (second, first[:3], []):
+        labels = common.merged(labels, frame(rows), scratch, f"then{len(rows)}")
+    assert sorted(map(tuple, labels.collect())) == [(x, name[x]) for x in sorted(met)]
+
+
 def test_op5_repeated_ids(spark):
     """Rows of one doc_id with different texts link what each is near to; the pipeline's stage judges each text by itself."""
     import corpus_pipeline as P
