@@ -90,6 +90,21 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(build, "id long, shingles array<long>")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the documents that wanted (id, w, wk: doc_id and k) names, once each.
+
+    Texts pass a bitmap of 2**24 hashed documents before they are shuffled: at most 2**18 rows of 64 bits, whatever
+    the input, so they may be broadcast. It only lets more pass as it fills; the join decides.
+    """
+    word, bit = "shiftrightunsigned(h, 6) & 262143", "shiftleft(1L, cast(h & 63 AS int))"
+    marks = wanted.select(F.xxhash64("w", "wk").alias("h")).groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    own = _own(docs).withColumn("h", F.xxhash64("doc_id", "k")).withColumn("word", F.expr(word))
+    passed = own.join(F.broadcast(marks), "word").where(f"(bits & {bit}) <> 0").select("doc_id", "k", "text")
+    found = passed.join(wanted, (F.col("doc_id") == F.col("w")) & (F.col("k") == F.col("wk")))
+    # rows alike in doc_id and text meet where the join has put them: no set is shuffled
+    return found.dropDuplicates(["doc_id", "k", "id"]).select("id", "text")
+
+
 def linked_classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, k, n_shingles, id) of all documents, and links (id, component) of the classes that have any.
 
@@ -109,8 +124,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int, scratch: Scratch)
     wanted = members.join(shared, "key", "left_semi").select("id").distinct().join(classes, "id").select("id", F.col("of.doc_id").alias("w"), F.col("of.k").alias("wk"))
     # written, so that its size is known: where it is small, the texts need not be shuffled
     wanted = scratch.table(wanted, "wanted")
-    texts = _own(docs).join(wanted, (F.col("doc_id") == F.col("w")) & (F.col("k") == F.col("wk")))
-    sets = scratch.table(shingle_sets(texts, width).dropDuplicates(["id"]), "sets")
+    sets = scratch.table(shingle_sets(_texts_of(docs, wanted), width), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
