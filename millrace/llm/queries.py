@@ -14,6 +14,7 @@ from .lines import dedup_lines
 from .media import media_columns
 from .mixing import mix
 from .near_dup import near_duplicates
+from .phrases import collocations
 from .quality import quality
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -62,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +78,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
 }
+#: Counts all phrases of one to four words, cuts and ranks them.
+_COLLOCATIONS = """
+WITH docs AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+grams AS MATERIALIZED (SELECT lang, array_to_string(w[k : k + d - 1], ' ') AS phrase, d, count(*) AS f
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM listed), (VALUES (1), (2), (3), (4)) AS t(d)
+    WHERE k + d - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+candidates AS MATERIALIZED (SELECT lang, phrase, d, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE d > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.d, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp FROM candidates c, (VALUES (1), (2), (3)) AS t(k) WHERE k < d),
+scores AS (SELECT cuts.*, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * cuts.a) // (x.f + y.f) AS score FROM cuts JOIN grams x ON x.lang = cuts.lang AND x.phrase = lp JOIN grams y ON y.lang = cuts.lang AND y.phrase = rp),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[k : k + m - 1], ' ') AS phrase, max(a) AS longer FROM candidates, (VALUES (2), (3)) AS t(m), (VALUES (1), (2), (3)) AS s(k) WHERE m < d AND k + m - 1 <= d GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN inner_parts i ON i.lang = least.lang AND i.phrase = least.phrase WHERE i.longer IS NULL OR CAST(i.longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranks.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranks JOIN totals USING (lang) WHERE rank <= 2000
+"""
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_collocations": _COLLOCATIONS}
