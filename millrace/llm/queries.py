@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .decontaminate import contaminated
+from .extract import extract_pages
 from .language import language_id
 from .lines import dedup_lines
 from .media import media_columns
@@ -19,6 +20,7 @@ from .quality import quality
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_output import token_output
+from .vector_codes import vector_codes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,6 +69,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
     "op11_collocations": op11_collocations,
+    "op12_main_text": op12_main_text,
+    "op13_vector_codes": op13_vector_codes,
 }
 #: Counts all phrases of one to four words, cuts and ranks them.
 _COLLOCATIONS = """
@@ -98,5 +110,28 @@ kept AS (SELECT least.* FROM least LEFT JOIN inner_parts i ON i.lang = least.lan
 ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT ranks.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranks JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+def _vector_codes() -> str:
+    """Lloyd's rounds one after another, every distance computed; vectors have one length."""
+    nearest = """a{k} AS MATERIALIZED (SELECT id, part, min(struct_pack(d := d, entry := entry)) AS best
+    FROM (SELECT id, part, entry, sum((v - c) * (v - c)) AS d FROM x JOIN b{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL)"""
+    moved = """b{n} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n + n) % n)) // n, c) AS c FROM b{k} LEFT JOIN
+    (SELECT part, best.entry AS entry, pos, sum(v) AS s, count(*) AS n FROM x JOIN a{k} USING (id, part) GROUP BY ALL) USING (part, entry, pos))"""
+    rounds = ",\n".join(f"{nearest.format(k=k)},\n{moved.format(k=k, n=k + 1)}" for k in range(6))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS id, vec_id, label, embedding AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT id, (i - 1) // (len(e) // 8) AS part, (i - 1) % (len(e) // 8) AS pos, CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v
+    FROM (SELECT id, e, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+b0 AS (SELECT part, id AS entry, pos, v AS c FROM x WHERE id < 16),
+{rounds},
+{nearest.format(k=6)},
+book AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b6),
+coded AS (SELECT id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a6 GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (id), book
+"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op11_collocations": _COLLOCATIONS}
+ORACLES: dict[str, str] = {"op11_collocations": _COLLOCATIONS, "op13_vector_codes": _vector_codes()}
