@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import pandas as pd
 import regex
@@ -20,7 +22,10 @@ def materialised(df: DataFrame) -> DataFrame:
     """The frame through a reliable checkpoint, so that later expressions cannot be merged into what made it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/millrace-{uuid.uuid4().hex}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/millrace-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
@@ -83,13 +88,66 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float, same: bool, most
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+@dataclass(frozen=True)
+class NearClasses:
+    """members: (id, class, copies); links: (a, b, similarity) of classes, a < b; skipped: (band, key, classes) of full buckets."""
+
+    members: DataFrame
+    links: DataFrame
+    skipped: DataFrame
+
+
+def near_classes(sketched: DataFrame, least: float, most: int = 500, floor: int = 2) -> NearClasses:
+    """Classes of equal sketches, named by their smallest id, and the near pairs of classes that share a band.
+
+    A bucket with more than `most` classes is skipped and counted, so that pairs grow with the number of classes and copies
+    of one sketch add none. Sketches of fewer than `floor` hashes are in no class.
+    """
+    some = sketched.where(F.size("sketch") >= floor)
+    classes = materialised(some.groupBy("sketch").agg(F.min("id").alias("class"), F.count("*").alias("copies")))
+    members = some.join(classes, "sketch").select("id", "class", "copies")
+    banded = materialised(bands(classes.select(F.col("class").alias("id"), "sketch")))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("classes"))
+    skipped = sizes.where(F.col("classes") > most)
+    held = banded.join(sizes.where(F.col("classes").between(2, most)), ["band", "key"]).select("band", "key", "id")
+    pairs = held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    return NearClasses(members, materialised(_similar(pairs, classes.select(F.col("class").alias("id"), "sketch"), least)), skipped)
+
+
+def cross_pairs(sketched: DataFrame, side: str, least: float, most: int) -> DataFrame:
+    """(a, b, similarity): near pairs of an id where `side` holds and one where it does not; buckets over `most` are skipped."""
+    banded = materialised(bands(sketched).join(sketched.select("id", side), "id"))
+    held = banded.join(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("band", "key"), ["band", "key"], "left_semi")
+    left, right = held.where(F.col(side)).select("band", "key", F.col("id").alias("a")), held.where(~F.col(side)).select("band", "key", F.col("id").alias("b"))
+    return _similar(left.join(right, ["band", "key"]).select("a", "b").distinct(), sketched, least)
+
+
+def _similar(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    side = lambda x: sketched.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def near_links(sketched: DataFrame, least: float) -> DataFrame:
-    """(a, b): links with the same components as near_pairs. Copies meet their first one only, which stands for all of them."""
+    """(a, b): links with the same components as near_pairs, in two steps, so that a group of near copies stays linear.
+
+    Copies meet their first one only, which stands for all of them. Every bucket compares its members with its first;
+    what those links leave in different components is then compared across components alone.
+    """
     some = sketched.where(F.size("sketch") > 1)
     first = materialised(some.groupBy("sketch").agg(F.min("id").alias("first")))
     alone = first.select(F.col("first").alias("id"), "sketch")
     copies = some.join(first, "sketch").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return near_pairs(alone, alone, least, True).select("a", "b").union(copies)
+    banded = materialised(bands(alone))
+    leaders = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
+    asked = materialised(banded.join(leaders, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    links = materialised(_similar(asked, alone, least).select("a", "b"))
+    placed = banded.join(components(links, alone.select("id")), "id")
+    apart = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    left = materialised(placed.join(apart, ["band", "key"]).select("band", "key", "id", "component"))
+    other = left.select("band", "key", F.col("id").alias("b"), F.col("component").alias("d"))
+    rest = left.withColumnRenamed("id", "a").join(other, ["band", "key"]).where("a < b AND component <> d").select("a", "b").distinct().join(asked, ["a", "b"], "left_anti")
+    return links.union(_similar(rest, alone, least).select("a", "b")).union(copies)
 
 
 def loose_pairs(sets: DataFrame, least: float = 0.8, anchors: int = 8) -> DataFrame:

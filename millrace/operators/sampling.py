@@ -47,22 +47,29 @@ def round_robin(rows: DataFrame, stratum: str, family: str, order: list[Column],
     return quota(ranked, [stratum], [F.col("turn"), F.col(family)], n).withColumnRenamed("rank", "place")
 
 
-def most_alike(labels: DataFrame, n: int, key) -> DataFrame:
+def most_alike(labels: DataFrame, n: int, key, wide: int = 10) -> DataFrame:
     """(id, other, shared): for each label (id, words) the n others with most words in common, ties by key(id), then id.
 
-    Labels with equal word sets are one kind. Kinds that share a word are compared, never all labels, and a kind offers
-    only its first n + 1 labels, as no more of them can be chosen. A kind with fewer sharers is filled up in order of the key.
+    Labels with equal word sets are one kind. Every set of words that a kind has (all subsets: up to 2**wide - 1) offers the
+    first n + 1 labels, in order of the key, that have all of them: of those, n at least precede any other label that has no
+    more words in common, so that no list is joined with itself and a common word costs no more than a rare one. Kinds of over
+    `wide` words have too many subsets, and are compared with the kinds that share a word. A kind with fewer sharers is filled up
+    in order of the key. Nulls are not words; a label without words shares none.
     """
-    kinds = labels.select("words").distinct().withColumn("kind", F.xxhash64("words"))
-    own = labels.withColumn("kind", F.xxhash64("words")).withColumn("k", key(F.col("id")))
-    offers = quota(own, ["kind"], [F.col("k"), F.col("id")], n + 1).select("kind", F.col("id").alias("other"), "k")
-    words = kinds.select("kind", F.explode("words").alias("word"))
-    sharing = words.join(words.select(F.col("kind").alias("kind2"), "word"), "word").groupBy("kind", "kind2").agg(F.count("*").cast("int").alias("shared"))
-    near = sharing.join(offers.withColumnRenamed("kind", "kind2"), "kind2").select("kind", "other", "k", "shared")
-    few = 2 * n + 2
+    own = labels.select("id", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("words", F.array().cast("array<string>"))))).alias("words")).withColumn("k", key(F.col("id")))
+    offers = quota(own, ["words"], [F.col("k"), F.col("id")], n + 1).select("words", F.col("id").alias("other"), "k")
+    kinds = own.select("words").distinct()
+    subsets = kinds.where(f"size(words) BETWEEN 1 AND {wide}").select("words", F.explode(F.expr("transform(sequence(1L, shiftleft(1L, size(words)) - 1), m -> filter(words, (w, i) -> (shiftright(m, i) & 1) = 1))")).alias("part"))
+    best = quota(subsets.join(offers, "words").select("part", "other", "k"), ["part"], [F.col("k"), F.col("other")], n + 1).drop("rank")
+    near = subsets.join(best, "part").select("words", "other", "k", F.size("part").alias("shared"))
+    words = kinds.select("words", F.explode("words").alias("word"))
+    broad = words.where(F.size("words") > wide)
+    pairs = broad.join(words.select(F.col("words").alias("words2"), "word"), "word").groupBy("words", "words2").agg(F.count("*").cast("int").alias("shared"))
+    back = pairs.where(F.size("words2") <= wide).select(F.col("words2").alias("words"), F.col("words").alias("words2"), "shared")
+    near = near.union(pairs.union(back).join(offers.withColumnRenamed("words", "words2"), "words2").select("words", "other", "k", "shared"))
     # of the first labels of all, at most n are among the sharers of a kind that has too few of them
-    fill = own.select("kind", F.col("id").alias("other"), "k").orderBy("k", "other").limit(few).drop("kind")
-    every = near.union(kinds.select("kind").join(F.broadcast(fill)).select("kind", "other", "k", F.lit(0).alias("shared")))
-    best = quota(every.groupBy("kind", "other", "k").agg(F.max("shared").alias("shared")), ["kind"], [F.desc("shared"), F.col("k"), F.col("other")], n + 1).drop("rank")
-    chosen = own.select("id", "kind").join(best, "kind").where("id <> other")
+    fill = own.select(F.col("id").alias("other"), "k").orderBy("k", "other").limit(2 * n + 2)
+    every = near.union(kinds.join(F.broadcast(fill)).select("words", "other", "k", F.lit(0).alias("shared")))
+    top = quota(every.groupBy("words", "other", "k").agg(F.max("shared").alias("shared")), ["words"], [F.desc("shared"), F.col("k"), F.col("other")], n + 1).drop("rank")
+    chosen = own.select("id", "words").join(top, "words").where("id <> other")
     return quota(chosen, ["id"], [F.desc("shared"), F.col("k"), F.col("other")], n).select("id", "other", "shared")

@@ -66,8 +66,9 @@ def warmup_cosine(step: Column, warmup: int, steps: int) -> Column:
 def length_batches(rows: DataFrame, size: str, id_: str, chunk: int = 256, batch: int = 16, seed: str = "epoch") -> DataFrame:
     """(chunk, batch, place): rows in hash order, sorted by length inside chunks, cut into batches."""
     from ..functions.text import sha
+    from .ranks import placed
 
-    r = rows.withColumn("place", F.row_number().over(W.orderBy(sha(seed, F.col(id_)), id_)) - 1)
+    r = placed(rows, sha(seed, F.col(id_)), id_)
     r = r.withColumn("chunk", F.floor(F.col("place") / chunk))
     inside = F.row_number().over(W.partitionBy("chunk").orderBy(size, id_)) - 1
     return r.withColumn("inside", inside).withColumn("batch", F.floor(F.col("inside") / batch))

@@ -12,15 +12,21 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..operators import greedy as G
+from ..operators import digests as Dg
 from ..operators import near as N
+from ..operators import ranks as R
 from ..operators import sampling as Q
 from ..operators import sequences as Sq
 from ..operators import splits as S
 from ..operators import validation as V
-from ..registry import Tables, query
+from ..registry import ORACLES, Tables, query
 from ..session import spread
 from .sql import NORM, ROWS, SEED, SPLIT_ROWS, h
 
+_ROW = "sha256(length(doc_id::varchar)||':'||doc_id||'|'||coalesce(length(text)||':'||text, '-'))"
+_DIGEST = "||".join(f"printf('%08x', (sum(('0x'||substr(h, {8 * k + 1}, 8))::hugeint) % 4294967296)::bigint)" for k in range(4))
+
+
 def D():
     return F.col("doc_id")
 
@@ -138,6 +144,12 @@ def hash_order_first(t: Tables) -> DataFrame:
     return Q.quota(split_rows(t), ["split"], [X.sha(SEED, "output", D()), D()], 50).select("doc_id", "split", F.col("rank").cast("bigint").alias("place"))
 
 
+@query(f"""WITH {SPLIT_ROWS} SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256('{SEED}:output:'||doc_id), doc_id) - 1 AS place FROM split_rows""")
+def hash_order(t: Tables) -> DataFrame:
+    """Every row's place in its split's output order."""
+    return R.placed_within(split_rows(t).select("doc_id", "split"), "split", X.sha(SEED, "output", D()), D()).select("doc_id", "split", "place")
+
+
 def _select():
     """Hash order of a selection, with the id as the last key."""
     return [X.sha(SEED, "select", F.col("doc_id")), F.col("doc_id")]
@@ -289,18 +301,50 @@ _PAIRS = f"""{_SKETCH}, {_BANDS}, p AS (SELECT DISTINCT x.id AS a, y.id AS b FRO
 near AS (SELECT a, b, len(list_intersect(s.sketch, t.sketch))::double / len(list_distinct(s.sketch || t.sketch)) AS similarity FROM p JOIN sk s ON s.id = a JOIN sk t ON t.id = b)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM near WHERE similarity >= 0.85")
-def near_dup_pairs(t: Tables) -> DataFrame:
-    s = sketched(t)
-    return N.near_pairs(s, s, 0.85, True).withColumn("similarity", F.round("similarity", 6))
+#: Classes of equal sketches; buckets of over 500 classes are skipped.
+_CLASSES = f"""{_SKETCH}, cl AS (SELECT min(id) AS id, sketch, count(*) AS copies FROM sk WHERE len(sketch) >= 2 GROUP BY sketch), mem AS (SELECT sk.id, cl.id AS class, copies FROM sk JOIN cl USING (sketch)),
+cb AS (SELECT id, j.j AS band, sketch[2*j.j+1]||sketch[2*j.j+2] AS key FROM cl, range(16) j(j) WHERE j.j < least(len(sketch), 32) // 2),
+cn AS (SELECT band, key, count(*) AS n FROM cb GROUP BY ALL), held AS (SELECT cb.* FROM cb JOIN cn USING (band, key) WHERE n <= 500),
+cp AS (SELECT DISTINCT x.id AS a, y.id AS b FROM held x JOIN held y ON x.band = y.band AND x.key = y.key AND x.id < y.id),
+cnear AS (SELECT * FROM (SELECT a, b, len(list_intersect(x.sketch, y.sketch))::double / len(list_distinct(x.sketch || y.sketch)) AS similarity FROM cp JOIN cl x ON x.id = a JOIN cl y ON y.id = b) WHERE similarity >= 0.85),
+nb AS (SELECT a, b FROM cnear UNION ALL SELECT b, a FROM cnear UNION ALL SELECT id, id FROM cl)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM near WHERE similarity >= 0.85 AND ({h('a::varchar', 8, 100)} < 70) <> ({h('b::varchar', 8, 100)} < 70) ORDER BY near.similarity DESC, a, b LIMIT 100")
+@query(f"WITH {_CLASSES} SELECT a, b, round(similarity, 6) AS similarity, x.copies AS copies_a, y.copies AS copies_b FROM cnear JOIN cl x ON x.id = a JOIN cl y ON y.id = b")
+def near_dup_pairs(t: Tables) -> DataFrame:
+    """Near pairs of different sketches, by the first document of each; copies of one sketch are counted, not paired."""
+    near = N.near_classes(sketched(t), 0.85)
+    copies = near.members.where("id = class").select("class", "copies")
+    side = lambda x: copies.select(F.col("class").alias(x), F.col("copies").alias(f"copies_{x}"))
+    return near.links.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round("similarity", 6).alias("similarity"), "copies_a", "copies_b")
+
+
+@query(f"""WITH {_CLASSES}, l AS (SELECT a AS class, count(*) - 1 AS links FROM nb GROUP BY a)
+SELECT mem.id, mem.class, copies, links, (SELECT count(*) FROM cn WHERE n > 500) AS skipped_buckets FROM mem JOIN l USING (class)""")
+def near_dup_classes(t: Tables) -> DataFrame:
+    """Every document with its class, the class's size, how many classes are near it, and how many buckets were too full to ask."""
+    near = N.near_classes(sketched(t), 0.85)
+    ends = near.links.select(F.col("a").alias("class")).union(near.links.select("b")).groupBy("class").agg(F.count("*").alias("links"))
+    skipped = near.skipped.agg(F.count("*").alias("skipped_buckets"))  # one row
+    return near.members.join(ends, "class", "left").join(F.broadcast(skipped)).select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"), "skipped_buckets")
+
+
+@query(f"""WITH {ROWS}, u AS (SELECT min(doc_id) AS doc_id, min(text) AS text, {h("doc_id::varchar", 8, 100)} < 70 AS train FROM rows GROUP BY norm, train),
+{_SKETCH.replace("FROM documents)", "FROM u)")}, cb AS (SELECT id, train, sketch, j.j AS band, sketch[2*j.j+1]||sketch[2*j.j+2] AS key FROM sk JOIN u ON u.doc_id = id, range(16) j(j) WHERE len(sketch) >= 4 AND j.j < least(len(sketch), 32) // 2),
+held AS (SELECT cb.* FROM cb JOIN (SELECT band, key FROM cb GROUP BY ALL HAVING count(*) <= 200) USING (band, key)),
+p AS (SELECT DISTINCT x.id AS a, y.id AS b, x.sketch AS s, y.sketch AS t FROM held x JOIN held y ON x.band = y.band AND x.key = y.key AND x.train AND NOT y.train),
+n AS (SELECT *, len(list_intersect(s, t))::double / len(list_distinct(s || t)) AS similarity FROM p)
+SELECT a AS train_id, b AS held_out_id, round(similarity, 6) AS similarity FROM n WHERE similarity >= 0.85 ORDER BY n.similarity DESC, a, b LIMIT 100""".replace("min(text) AS text", "arg_min(text, doc_id) AS text"))
 def near_dup_cross_split(t: Tables) -> DataFrame:
-    s = sketched(t)
-    train = lambda c: X.bucket(X.sha(F.col(c)), 8, 100) < 70
-    pairs = N.near_pairs(s, s, 0.85, True).where(train("a") != train("b"))
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(100).withColumn("similarity", F.round("similarity", 6))
+    """The audit's report: the 100 most alike pairs of a training and a held-out text, of at least four shingles.
+
+    Equal texts of one split are one; buckets of over 200 are skipped; only pairs across the splits are made.
+    """
+    u = rows(t).withColumn("train", X.bucket(X.sha(D()), 8, 100) < 70).groupBy("norm", "train").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    u = N.materialised(u)
+    s = N.sketches(u, "doc_id", F.col("text")).join(u.select(F.col("doc_id").alias("id"), "train"), "id").where("size(sketch) >= 4")
+    near = N.cross_pairs(s, "train", 0.85, 200)
+    return near.orderBy(F.desc("similarity"), "a", "b").limit(100).select(F.col("a").alias("train_id"), F.col("b").alias("held_out_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, edges AS (SELECT a, b FROM near WHERE similarity >= 0.85 UNION SELECT b, a FROM near WHERE similarity >= 0.85),
@@ -311,13 +355,69 @@ def near_dup_components(t: Tables) -> DataFrame:
     return N.components(N.near_links(s, 0.85), s)
 
 
-@query(f"""WITH {_PAIRS}, gone AS (SELECT DISTINCT CASE WHEN {h('a::varchar', 8, 100)} < 70 THEN a ELSE b END AS id FROM near WHERE similarity >= 0.85 AND ({h('a::varchar', 8, 100)} < 70) <> ({h('b::varchar', 8, 100)} < 70))
+@query(f"""WITH {_CLASSES}, m AS (SELECT *, {h('id::varchar', 8, 100)} < 70 AS train FROM mem), held_out AS (SELECT DISTINCT nb.b AS class FROM m JOIN nb ON nb.a = m.class WHERE NOT train),
+gone AS (SELECT id FROM m JOIN held_out USING (class) WHERE train)
 SELECT count(*) AS kept, sum(doc_id)::bigint AS ids FROM documents WHERE {h('doc_id::varchar', 8, 100)} < 70 AND doc_id NOT IN (SELECT id FROM gone)""")
 def train_vs_protected_screen(t: Tables) -> DataFrame:
-    s = sketched(t)
+    """Training documents without a near copy among the protected ones, by classes: no pair of documents is made."""
+    near = N.near_classes(sketched(t), 0.85)
     train = lambda c: X.bucket(X.sha(F.col(c)), 8, 100) < 70
-    near = N.near_pairs(s.where(~train("id")), s.where(train("id")), 0.85, False).select(F.col("b").alias("doc_id"))
-    return t.documents.select("doc_id").where(train("doc_id")).join(near, "doc_id", "left_anti").agg(F.count("*").alias("kept"), F.sum("doc_id").alias("ids"))
+    own = near.members.where(~train("id")).select("class").distinct()
+    around = near.links.select("a", "b").union(near.links.select("b", "a")).join(own.withColumnRenamed("class", "a"), "a").select(F.col("b").alias("class"))
+    gone = near.members.where(train("id")).join(own.union(around).distinct(), "class", "left_semi").select(F.col("id").alias("doc_id"))
+    return t.documents.select("doc_id").where(train("doc_id")).join(gone, "doc_id", "left_anti").agg(F.count("*").alias("kept"), F.sum("doc_id").alias("ids"))
+
+
+#: Rows with candidates, made from documents: two words, a third, and an option that many share.
+_REPAIR = f"""WITH RECURSIVE {_CLASSES}, raw AS (SELECT doc_id, source, lang||'-'||(doc_id % 400) AS id, {NORM} AS norm, {h('doc_id::varchar', 8, 100)} < 70 AS train FROM documents),
+rw AS (SELECT *, sha256(norm) AS "group", regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+') AS w FROM raw),
+r AS MATERIALIZED (SELECT *, [coalesce(w[1], '')||' '||coalesce(w[2], ''), coalesce(w[3], ''), 'option '||(doc_id % 50)] AS candidates FROM rw),
+m AS (SELECT mem.id, class, train FROM mem JOIN raw ON raw.doc_id = mem.id), held_classes AS (SELECT DISTINCT nb.b AS class FROM m JOIN nb ON nb.a = m.class WHERE NOT train),
+direct AS (SELECT DISTINCT "group" AS g FROM r JOIN m ON m.id = r.doc_id JOIN held_classes USING (class) WHERE r.train),
+owners AS MATERIALIZED (SELECT DISTINCT "group" AS g, unnest(CASE WHEN doc_id % 9 = 0 THEN [] WHEN source = 'src1' THEN candidates ELSE [candidates[doc_id % 3 + 1]] END) AS text FROM r WHERE train),
+shown AS MATERIALIZED (SELECT DISTINCT "group" AS g, unnest(candidates) AS text FROM r WHERE train),
+f AS (SELECT 0 AS pass, (SELECT list(g) FROM direct) AS gone UNION ALL
+  SELECT pass + 1, gone || more FROM (SELECT pass, gone, (SELECT list(DISTINCT s.g) FROM shown s WHERE NOT list_contains(gone, s.g) AND s.text IN (SELECT o.text FROM owners o GROUP BY o.text HAVING bool_and(list_contains(gone, o.g)))) AS more FROM f) WHERE len(more) > 0),
+passes AS (SELECT g, min(pass) AS pass FROM (SELECT pass, unnest(gone) AS g FROM f) GROUP BY g),
+out AS (SELECT r.*, pass, CASE WHEN pass IS NOT NULL THEN NULL WHEN count(*) OVER (PARTITION BY id) > 1 THEN id||':input-'||substr(sha256(norm||chr(31)||source||chr(31)||array_to_string(candidates, '|')), 1, 16) ELSE id END AS new_id FROM r LEFT JOIN passes ON passes.g = r."group")"""
+
+
+def repaired(t: Tables):
+    from ..operators import repair as P
+
+    near = N.near_classes(sketched(t), 0.85)
+    train = X.bucket(X.sha(D()), 8, 100) < 70
+    w = F.regexp_extract_all("norm", F.lit(f"({X.WORD})"), 1)
+    word = lambda k: F.coalesce(F.get(w, F.lit(k)), F.lit(""))
+    r = rows(t).withColumn("candidates", F.array(F.concat_ws(" ", word(0), word(1)), word(2), F.concat(F.lit("option "), (D() % 50).cast("string"))))
+    r = r.select("doc_id", "source", F.concat_ws("-", "lang", D() % 400).alias("id"), "norm", F.col("grp").alias("group"), train.alias("train"), "candidates", F.array_join("candidates", "|").alias("listed"), F.when(D() % 9 == 0, "ordinal").otherwise("choice").alias("metric"), (D() % 3).cast("int").alias("target"))
+    r = N.materialised(r)
+    m = near.members.join(r.select(F.col("doc_id").alias("id"), "train", "group"), "id")
+    own = m.where("NOT train").select("class").distinct()
+    around = near.links.select("a", "b").union(near.links.select("b", "a")).join(own.withColumnRenamed("class", "a"), "a").select(F.col("b").alias("class"))
+    direct = m.where("train").join(own.union(around).distinct(), "class", "left_semi").select("group").distinct()
+    # rows with an id and a content that both repeat are one row: the first of them stays in the table that is repaired
+    unique = Q.first_seen(r, ["id", "norm", "source", "listed", "train"], [D()])
+    return P.repair(unique, direct, 10**9, ["norm", "source", "listed"], ["src1"])
+
+
+@query(f"""{_REPAIR.replace("r AS MATERIALIZED (SELECT *, [", "r AS MATERIALIZED (SELECT * FROM (SELECT *, [").replace("AS candidates FROM rw)", "AS candidates FROM rw) QUALIFY row_number() OVER (PARTITION BY id, norm, source, array_to_string(candidates, '|'), train ORDER BY doc_id) = 1)")}
+SELECT doc_id, CASE WHEN pass = 0 THEN 'near' WHEN pass > 0 THEN 'candidate' END AS reason, pass, new_id FROM out WHERE train""")
+def partition_repair(t: Tables) -> DataFrame:
+    """What becomes of each training row: near a held-out one, showing a text whose owners are all gone, or kept, renamed if need be."""
+    return repaired(t).train.select("doc_id", "reason", "pass", "new_id")
+
+
+_ROW2 = "sha256(concat_ws('|', length(id)||':'||id, length(\"group\")||':'||\"group\", length(norm)||':'||norm, length(source)||':'||source, length(listed)||':'||listed))"
+
+
+@query(f"""{ORACLES["partition_repair"].split("SELECT doc_id, CASE WHEN pass")[0].rstrip()}, o AS (SELECT train, pass, CASE WHEN train THEN new_id ELSE id END AS id, "group", norm, source, array_to_string(candidates, '|') AS listed FROM out),
+hashed AS (SELECT train, {_ROW2} AS h FROM o WHERE pass IS NULL OR NOT train),
+d AS (SELECT train, count(*) AS rows, {_DIGEST} AS digest FROM hashed GROUP BY train)
+SELECT 'held_out_before' AS part, rows, digest FROM d WHERE NOT train UNION ALL SELECT 'held_out_after', rows, digest FROM d WHERE NOT train UNION ALL SELECT 'train_after', rows, digest FROM d WHERE train""")
+def repair_digests(t: Tables) -> DataFrame:
+    """Digests of the held-out rows before and after the repair, and of the training rows that it keeps."""
+    return repaired(t).digests
 
 
 _GRAMS = """{n} AS (SELECT DISTINCT id, sha256(array_to_string(t[i:i+12], ' ')) AS g, src FROM (SELECT {id} AS id, {src} AS src, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t, unnest(range(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) - 12 + 1)) AS i FROM {table}))"""
@@ -383,7 +483,7 @@ u AS (SELECT conv_id, turn, item_id, min(k) AS k FROM draw JOIN pool USING (seat
 SELECT conv_id, turn, item_id FROM u QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) <= 7""")
 def negative_sampling(t: Tables) -> DataFrame:
     """Up to 7 of 16 draws by hash from the pool, without known positives; no pair of all rows is made."""
-    pool = t.benchmark.select("item_id").withColumn("at", F.row_number().over(W.orderBy(X.sha(SEED, "pool", F.col("item_id")), "item_id")).cast("bigint") - 1)
+    pool = R.placed(t.benchmark.select("item_id"), X.sha(SEED, "pool", F.col("item_id")), "item_id").withColumnRenamed("place", "at")
     n = pool.count()
     asked = t.conversations.where("role = 'user'").select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
     draws = asked.withColumn("at", X.hex_int(X.sha(SEED, F.col("conv_id"), F.col("turn"), F.col("k")), 8) % n)
@@ -396,17 +496,18 @@ def token_offsets(t: Tables) -> DataFrame:
     return Sq.running_offsets(t.documents.select("doc_id", "n_chars"), "doc_id", F.col("n_chars"))
 
 
-@query("SELECT source||'/'||lang AS text, (row_number() OVER (ORDER BY source||'/'||lang) - 1)::bigint AS text_id FROM (SELECT DISTINCT source, lang FROM documents)")
+@query("SELECT sha256(text) AS text_hash, (row_number() OVER (ORDER BY text) - 1)::bigint AS text_id FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
 def text_dictionary(t: Tables) -> DataFrame:
-    d = t.documents.select(F.concat_ws("/", "source", "lang").alias("text")).distinct()
-    return d.withColumn("text_id", (F.row_number().over(W.orderBy("text")) - 1).cast("bigint"))
+    """Distinct texts numbered in their order (by bytes); the table to write beside token arrays."""
+    d = t.documents.where("text IS NOT NULL").select("text").distinct()
+    return R.placed(d, "text").select(F.sha2("text", 256).alias("text_hash"), F.col("place").alias("text_id"))
 
 
 @query("""WITH u AS (SELECT l_partkey AS p, row_number() OVER (ORDER BY l_partkey) - 1 AS nid FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 40))
 SELECT l_orderkey, string_agg(nid::varchar, ',' ORDER BY nid) AS ids FROM (SELECT DISTINCT l_orderkey, nid FROM lineitem JOIN u ON p = l_partkey WHERE l_quantity > 40) GROUP BY l_orderkey""")
 def id_remap(t: Tables) -> DataFrame:
     used = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_partkey")
-    dense = used.select("l_partkey").distinct().withColumn("nid", F.row_number().over(W.orderBy("l_partkey")) - 1)
+    dense = R.placed(used.select("l_partkey").distinct(), "l_partkey").withColumnRenamed("place", "nid")
     return used.join(dense, "l_partkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_set("nid")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -457,10 +558,11 @@ def manifest_projection(t: Tables) -> DataFrame:
     return manifest(split_rows(t).select(D().cast("string").alias("id"), F.col("grp").alias("group"), F.col("source").alias("workflow_group"), "source", F.col("lang").alias("family"), "split", "text"))
 
 
-@query("""SELECT sha256(string_agg(p, '' ORDER BY p)) AS tree_hash FROM (SELECT source||'|'||sha256(string_agg(doc_id::varchar, ',' ORDER BY doc_id))||chr(10) AS p FROM documents GROUP BY source)""")
+@query(f"""SELECT sha256(string_agg(p, '' ORDER BY p)) AS tree_hash, sum(n)::bigint AS rows FROM (SELECT source||'|'||{_DIGEST}||chr(10) AS p, count(*) AS n FROM (SELECT source, {_ROW} AS h FROM documents) GROUP BY source)""")
 def tree_hash(t: Tables) -> DataFrame:
-    files = t.documents.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("digest"))
-    return V.tree_hash(files, "source", "digest")
+    """One hash of a tree of files, here a source's documents each: a file's digest is a sum over its rows, whatever their order."""
+    files = Dg.table_digest(t.documents, ["source"], ["doc_id", "text"])
+    return V.tree_hash(files, "source", "digest").join(files.agg(F.sum("rows").alias("rows")))
 
 
 @query("""SELECT doc_id, "only" FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' WHEN l.doc_id IS NULL THEN 'left' END AS "only" FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id) WHERE "only" IS NOT NULL""")
@@ -474,16 +576,30 @@ def nfkc_norm_dedup(t: Tables) -> DataFrame:
     return Q.first_seen(keyed, ["key"], [D()])
 
 
-@query()
+_CELL = "PARTITION BY split, lang ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+@query(f"""WITH RECURSIVE {SPLIT_ROWS}, {_CLASSES},
+r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY list_position(['final', 'calibration', 'development', 'train'], split), lang, sha256('{SEED}:select:'||doc_id), doc_id) - 1 AS place, doc_id, lang, source, grp, split, class FROM split_rows LEFT JOIN mem ON mem.id = doc_id),
+bars AS (SELECT y.place, x.place AS earlier FROM r y JOIN r x USING (grp) WHERE x.place < y.place UNION SELECT y.place, x.place FROM r y JOIN nb ON nb.a = y.class JOIN r x ON x.class = nb.b WHERE x.place < y.place AND x.split <> 'train'),
+before AS (SELECT place, coalesce(list(place) OVER ({_CELL}), []) AS cell, coalesce(list(place) OVER ({_CELL.replace("lang", "lang, source")}), []) AS label FROM r),
+barred AS (SELECT place, list(earlier) AS bar FROM bars GROUP BY place), steps AS MATERIALIZED (SELECT place, cell, label, coalesce(bar, []) AS bar FROM before LEFT JOIN barred USING (place)),
+pass AS (SELECT -1::bigint AS n, []::bigint[] AS taken UNION ALL
+  SELECT n + 1, CASE WHEN len(list_intersect(taken, bar)) = 0 AND len(list_intersect(taken, label)) < 8 AND len(list_intersect(taken, cell)) < 40 THEN list_append(taken, n + 1) ELSE taken END FROM pass JOIN steps ON steps.place = n + 1)
+SELECT doc_id, lang, source, split FROM r WHERE place IN (SELECT unnest(taken) FROM pass WHERE n = (SELECT max(place) FROM r))""")
 def greedy_selection(t: Tables) -> DataFrame:
-    r = split_rows(t).join(sketched(t).withColumnRenamed("id", "doc_id"), "doc_id").withColumn("order", X.sha(SEED, "select", D()))
-    r = r.select("doc_id", "lang", "source", "grp", "split", "order", "sketch")
-    splits = ["final", "calibration", "development", "train"]
-    return G.greedy(r, "lang", ["order", "doc_id"], "grp", "source", dict.fromkeys(splits, 40), dict.fromkeys(splits, 8), splits).select("doc_id", "lang", "source", "split")
+    """40 rows of each split and language, 8 of a source, no two of one text, none near an earlier held-out one of any language."""
+    near = N.near_classes(sketched(t), 0.85)
+    turn = F.array_position(F.array(*map(F.lit, ("final", "calibration", "development", "train"))), F.col("split"))
+    r = R.placed(split_rows(t).select("doc_id", "lang", "source", "grp", "split"), turn, "lang", X.sha(SEED, "select", D()), "doc_id")
+    r = r.join(near.members.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left").withColumn("cell", F.concat_ws("/", "split", "lang"))
+    r = N.materialised(r.withColumn("label", F.col("source")).withColumn("keys", G.keys(group=F.col("grp"))).withColumn("blocks", F.col("split") != "train"))
+    return r.join(G.greedy(r, near.links, 40, 8).select("place"), "place", "left_semi").select("doc_id", "lang", "source", "split")
 
 
 @query()
 def length_bucketed_epoch(t: Tables) -> DataFrame:
+    """Every document's chunk and batch. Chunks of 256 are places in hash order over the whole table; each is folded by itself."""
     b = Sq.length_batches(t.documents.select("doc_id", "source", "n_chars"), "n_chars", "doc_id").select("doc_id", "source", "chunk", "inside")
     return G.distinct_group_batches(b, "chunk", "inside", "source", 16)
 

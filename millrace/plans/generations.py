@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import near as N
 from ..operators import preparation as P
+from ..operators import ranks as R
 from ..operators import sampling as Q
 from ..registry import Tables, query
 from .sql import NORM, SEED, h
@@ -60,27 +61,33 @@ def audit_shingles(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last FROM conversations GROUP BY conv_id),
-r AS (SELECT conv_id, CASE WHEN {h("'gap:'||conv_id", 8, 30)}::double / 10 < 1 THEN 'score_gap' WHEN conv_id % 5 = 0 AND n > 1 THEN 'history_mismatch' WHEN last <> 'assistant' THEN 'not_assistant' END AS reason FROM m)
-SELECT conv_id, reason, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY sha256('{SEED}:shuffle:'||conv_id), conv_id) END::int AS place FROM r""")
+r AS (SELECT conv_id, CASE WHEN {h("'gap:'||conv_id", 8, 30)}::double / 10 < 1 THEN 'score_gap' WHEN conv_id % 5 = 0 AND n > 1 THEN 'history_mismatch' WHEN last <> 'assistant' THEN 'not_assistant' END AS reason FROM m),
+k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY sha256('{SEED}:shuffle:'||conv_id), conv_id) END::bigint AS place FROM r)
+SELECT conv_id, CASE WHEN place > 40000 THEN 'beyond_limit' ELSE reason END AS reason, place FROM k""")
 def preference_chain(t: Tables) -> DataFrame:
-    """Pairs of answers made from conversations, why they are left out, and the place of those that stay in hash order."""
+    """Pairs of answers made from conversations, why they are left out, and the place in hash order of those that stay.
+
+    The rule takes the first 40,000: later ones have their place and the reason beyond_limit.
+    """
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     c = t.conversations.groupBy("conv_id").agg(messages.alias("chosen"))
     other = F.transform("chosen", lambda m, i: F.struct(m["role"].alias("role"), F.when((i == F.size("chosen") - 1) | ((F.col("conv_id") % 5 == 0) & (i == 0)), F.concat(m["content"], F.lit(" else"))).otherwise(m["content"]).alias("content")))
     gap = X.bucket(X.sha("gap", F.col("conv_id")), 8, 30).cast("double") / 10
     r = c.select("conv_id", P.preference_reason(F.col("chosen"), other, gap).alias("reason"))
-    kept = Q.quota(r.where("reason IS NULL").withColumn("one", F.lit(1)), ["one"], [X.sha(SEED, "shuffle", F.col("conv_id")), F.col("conv_id")], 40_000)
-    return kept.select("conv_id", "reason", F.col("rank").alias("place")).union(r.where("reason IS NOT NULL").select("conv_id", "reason", F.lit(None).cast("int")))
+    r = N.materialised(r)
+    kept = R.placed(r.where("reason IS NULL").select("conv_id"), X.sha(SEED, "shuffle", F.col("conv_id")), "conv_id").withColumn("place", F.col("place") + 1)
+    late = F.when(F.col("place") > 40_000, "beyond_limit")
+    return kept.select("conv_id", late.alias("reason"), "place").union(r.where("reason IS NOT NULL").select("conv_id", "reason", F.lit(None).cast("bigint")))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text WHEN turn % 7 = 3 THEN '' ELSE left(text, 30) END AS act, role = 'assistant' AND turn % 7 <> 5 AS parsed, conv_id % 3 = 0 OR turn % 7 = 3 AS done FROM conversations),
+@query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text WHEN turn % 7 = 3 THEN '' ELSE text END AS act, role = 'assistant' AND turn % 7 <> 5 AS parsed, conv_id % 3 = 0 OR turn % 7 = 3 AS done FROM conversations),
 ok AS (SELECT conv_id FROM c WHERE parsed GROUP BY conv_id HAVING bool_or(done)),
 s AS (SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN 'Observation: '||act ELSE 'Action: '||a END AS entry, a FROM (SELECT *, CASE WHEN trim(act) <> '' THEN trim(act) WHEN done THEN 'Finish: the task is complete.' END AS a FROM c WHERE role <> 'assistant' OR parsed) JOIN ok USING (conv_id) WHERE role <> 'assistant' OR a IS NOT NULL),
 w AS (SELECT *, list(entry) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS hist FROM s)
 SELECT conv_id, turn, sha256(a) AS action_hash, len(coalesce(hist, []))::int AS entries, sha256(array_to_string(coalesce(hist, []), chr(10))) AS history_hash FROM w WHERE role = 'assistant'""")
 def conversation_steps(t: Tables) -> DataFrame:
     """Replies are made JSON here: the tables hold prose. Every seventh is none, and every seventh has no keystrokes."""
-    keys = F.when(F.col("turn") % 7 == 3, F.lit("")).otherwise(F.left("text", F.lit(30)))
+    keys = F.when(F.col("turn") % 7 == 3, F.lit("")).otherwise(F.col("text"))
     reply = F.to_json(F.struct(F.array(F.struct(keys.alias("keystrokes"))).alias("commands"), ((F.col("conv_id") % 3 == 0) | (F.col("turn") % 7 == 3)).alias("task_complete")))
     c = t.conversations.withColumn("text", F.when(F.col("role") != "assistant", F.col("text")).when(F.col("turn") % 7 == 5, "no json").otherwise(reply))
     s = P.conversation_steps(c, "conv_id", "turn", F.col("role") == "assistant", "text")
@@ -103,11 +110,11 @@ def joint_inputs(t: Tables) -> DataFrame:
     return r.select("l_orderkey", "l_linenumber", "l_partkey", X.piped_sha("17", F.col("l_orderkey")).alias("piped"), F.sha2(X.joint_input(state, F.col("l_returnflag")), 256).alias("input_hash"))
 
 
-@query("""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')), sha256(text), doc_id)::int AS place FROM documents QUALIFY place <= 64""")
+@query("""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')), sha256(text), doc_id) - 1 AS place FROM documents""")
 def length_order(t: Tables) -> DataFrame:
-    """The shortest texts of each source in order of their tokens, then of the text's hash."""
+    """Every text's place in its source in order of tokens, then of the text's hash: a global order, so that no task has a source."""
     n = F.regexp_count("text", F.lit(X.WORD_OR_MARK))
-    return Q.quota(t.documents.select("source", "doc_id", n.alias("n"), F.sha2("text", 256).alias("h")), ["source"], [F.col("n"), F.col("h"), F.col("doc_id")], 64).select("source", "doc_id", F.col("rank").alias("place"))
+    return R.placed_within(t.documents.select("source", "doc_id", n.alias("n"), F.sha2("text", 256).alias("h")), "source", "n", "h", "doc_id").select("source", "doc_id", "place")
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 4 = 0 AND event_type = 'click' THEN 'repeated' END AS error, CASE WHEN user_id % 4 = 0 AND event_type = 'click' THEN NULL WHEN user_id % 2 = 0 THEN 'T' WHEN event_type = 'click' THEN 'Y' END AS yes_text,

@@ -90,7 +90,7 @@ def last_token(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.size("embedding").alias("width"), (F.size("embedding") - 1).alias("last_index"), F.round(F.element_at("embedding", -1).cast("double"), 5).alias("last_value"))
 
 
-@query("SELECT * FROM (SELECT conv_id, role, count(*) AS turns, min(turn) AS first_turn FROM conversations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) <= 2")
+@query("SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn, role)::int AS place FROM (SELECT conv_id, role, count(*) AS turns, min(turn) AS first_turn FROM conversations GROUP BY ALL)")
 def distinct_first_seen(t: Tables) -> DataFrame:
     g = t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
-    return g.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("first_turn"))).where("r <= 2").drop("r")
+    return g.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("first_turn", "role")))

@@ -79,12 +79,10 @@ def test_bucket_policy(spark):
 
 
 def test_greedy_blocked_row_frees_its_group(spark):
-    rows = spark.createDataFrame(
-        [("c", 1, "g1", "x", "final", ["a", "b"]), ("c", 2, "g2", "x", "final", ["c", "d"]), ("c", 3, "g2", "y", "final", ["e", "f"]), ("c", 4, "g3", "z", "train", ["a", "b"])],
-        "chain string, n long, grp string, label string, split string, sketch array<string>",
-    )
-    got = G.greedy(rows, "chain", ["n"], "grp", "label", {"final": 5, "train": 5}, {"final": 1, "train": 1}, ["final", "train"])
-    assert sorted(r["n"] for r in got.collect()) == [1, 3]
+    """A row that is barred by a near one leaves its group to a later row."""
+    rows = spark.createDataFrame([(0, "final", "l", ["g:1"], 7, True), (1, "train", "l", ["g:2"], 8, False), (2, "train", "m", ["g:2"], 9, False), (3, "train", "m", ["g:3"], 9, False)], "place long, cell string, label string, keys array<string>, class long, blocks boolean")
+    got = G.greedy(rows, spark.createDataFrame([(7, 8)], "a long, b long"), 5, 1)
+    assert sorted(r.place for r in got.collect()) == [0, 2]
 
 
 def test_distinct_group_batches(spark):
