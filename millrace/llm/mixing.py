@@ -1,4 +1,4 @@
-"""Operator 9: mixing sources to target weights by a low-discrepancy schedule of blocks, equal within a source. DataFrame functions only."""
+"""Operator 9: mixing sources to target weights by golden-ratio points through cumulative weights. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,9 +8,14 @@ from pyspark.sql.window import Window as W
 
 from .common import Scratch
 
-#: Slots of a schedule (blocks get longer as the input grows; sources under FINEST blocks add to them), buckets of a source's order.
-SLOTS, FINEST, BUCKET_BITS = 1 << 18, 100, 12
-GOLDEN = 0.6180339887498949
+#: Slots of a schedule (blocks get longer as the input grows), least slots of a source, buckets of a source's order.
+SLOTS, FINEST, BUCKET_BITS = 1 << 18, 600, 12
+#: 2**32 over the golden ratio: multiples modulo 2**32 are the points, exact in longs for up to 2**31 of them.
+GOLDEN, ROUND = 2654435769, 1 << 32
+#: Points deviate from an interval's share by some 4; a source's slots are not ranked beyond this many more than its share.
+SLACK = 16
+#: Cells in which a point looks up its source, and points of a stretch that is ranked by itself.
+CELLS, STRETCH = 1 << 14, 1 << 12
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 17
 
 
@@ -36,28 +41,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 
 
 def blocked(targets: DataFrame, block: int) -> DataFrame:
-    """The targets with `blocks`, into which a source is divided, and `slots`, how many of them the mix takes.
+    """The targets with `blocks`, into which a source is divided, and `slots`, how many of them the mix wants.
 
-    Blocks have `block` words, but no more than a FINEST of the source and of its target, so that a small source
-    reaches its target too: what is taken differs from the target by half a block at most. A source's blocks are
-    equal (to one word), so no slot is lost on a short last one. No block is taken more than `repeats` times, as no
-    target is above `repeats` times its source.
+    Blocks have `block` words. A source whose target is below FINEST of them has shorter ones, so that the few slots by which
+    points deviate are less than a hundredth of it. A source's blocks are equal to one word, so that no slot is lost on a short last one.
     """
-    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.least("source_size", "target") / FINEST)))
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / FINEST)))
     t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / size))
     return t.withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
 
 
-def schedule(targets: DataFrame) -> DataFrame:
+def schedule(plan: DataFrame, repeats: int = REPEATS, golden: int = GOLDEN) -> DataFrame:
     """(sid, rank, place, block): the slots of the mix; in the order of place, from 0 to 1, they are the mix.
 
-    A source's slots are spread evenly, from an offset that the golden ratio deals to it, so that any stretch of
-    the mix has each source's share within a block. Rank r takes block r modulo their number, so that a source is
-    passed through evenly.
+    Point i is i * golden modulo 2**32. The sources' wanted slots, added up in order, cut the circle into intervals, and a point
+    is a slot of the source in whose interval it lies; so any stretch of the mix has each source's share within a few slots.
+    The r-th slot of a source takes its block r modulo their number. Slots that would take a block more than `repeats`
+    times are left out. A source that wants fewer than FINEST slots (one word each) has exactly as many: surplus points
+    are left out, missing ones are added at the end.
     """
-    offset = F.col("sid") * F.lit(GOLDEN)
-    ranked = targets.where("slots > 0").select("sid", "slots", "blocks", (offset - F.floor(offset)).alias("offset"), F.explode(F.expr("sequence(0L, slots - 1)")).alias("rank"))
-    return ranked.select("sid", "rank", ((F.col("rank") + F.col("offset")) / F.col("slots")).alias("place"), F.pmod("rank", "blocks").alias("block"))
+    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    p = plan.where("slots > 0").withColumn("all", F.sum("slots").over(everything))  # one row a source
+    p = p.withColumn("hi_slots", F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    bound = lambda c: F.floor(F.expr(f"CAST({c} AS DECIMAL(20, 0)) * {ROUND} / all"))
+    p = p.withColumn("lo", bound("hi_slots - slots").cast("long")).withColumn("hi", bound("hi_slots").cast("long"))
+    cells = p.where("lo < hi").withColumn("cell", F.explode(F.expr(f"sequence(lo div {ROUND // CELLS}, (hi - 1) div {ROUND // CELLS})"))).select("cell", "sid", "lo", "hi")
+    points = p.limit(1).select(F.explode(F.expr("sequence(0L, all - 1)")).alias("i")).withColumn("x", F.pmod(F.col("i") * golden, F.lit(ROUND)))
+    hit = points.withColumn("cell", F.expr(f"x div {ROUND // CELLS}")).join(cells, "cell").where("lo <= x AND x < hi").select("sid", "i").withColumn("stretch", F.expr(f"i div {STRETCH}"))
+    # ranks in two steps: a source with most slots is not ranked in one task
+    counts = hit.groupBy("sid", "stretch").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("first", F.sum("n").over(W.partitionBy("sid").orderBy("stretch").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
+    within = F.row_number().over(W.partitionBy("sid", "stretch").orderBy("i")) - 1
+    ranked = hit.join(counts.select("sid", "stretch", "first"), ["sid", "stretch"]).select("sid", "i", (F.col("first") + within).alias("rank"))
+    most = F.least(F.when(F.col("slots") < FINEST, F.col("slots")).otherwise(F.col("slots") + SLACK), F.col("blocks") * repeats)
+    ranked = ranked.join(p.select("sid", "blocks", "all", most.alias("most")), "sid").where("rank < most").select("sid", "rank", (F.col("i") / F.col("all")).alias("place"), "blocks")
+    have = counts.groupBy("sid").agg(F.sum("n").alias("have"))
+    short = p.where(F.col("slots") < FINEST).join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < slots")
+    added = short.select("sid", F.explode(F.expr("sequence(have, slots - 1)")).alias("rank"), F.lit(1.0).alias("place"), "blocks")
+    return ranked.union(added).select("sid", "rank", "place", F.pmod("rank", "blocks").alias("block"))
 
 
 def word_count(text: str = "text") -> F.Column:
@@ -67,7 +88,7 @@ def word_count(text: str = "text") -> F.Column:
 def pieces(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(row, sid, block, words): the parts of documents that lie in each block of their source's shuffled order.
 
-    Blocks that no slot takes (from `slots` on) are left out.
+    Blocks that no slot can take are left out.
 
     A source's documents follow each other in hash order. Their places are prefix sums in two steps, over
     buckets of the hash and within each, so that a hot source does not meet in one task.
@@ -82,7 +103,7 @@ def pieces(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     # block i begins at word i * source_size div blocks; decimals, as the product can exceed a long
     starts = lambda i: f"(CAST({i} AS DECIMAL(19, 0)) * source_size div blocks)"
     within = lambda x: f"((CAST({x} + 1 AS DECIMAL(19, 0)) * blocks - 1) div source_size)"
-    d = d.join(targets.select("sid", "source_size", "blocks", "slots"), "sid").withColumn("from", F.expr(within("begin"))).withColumn("to", F.expr(f"least({within('end - 1')}, slots - 1)")).where("`from` <= `to`")
+    d = d.join(targets.select("sid", "source_size", "blocks", "slots"), "sid").withColumn("from", F.expr(within("begin"))).withColumn("to", F.expr(f"least({within('end - 1')}, slots + {SLACK} - 1)")).where("`from` <= `to`")
     d = d.select("row", "sid", "begin", "end", "source_size", "blocks", F.explode(F.expr("sequence(`from`, `to`)")).alias("block"))
     return d.select("row", "sid", "block", F.expr(f"least(end, {starts('block + 1')}) - greatest(begin, {starts('block')})").alias("words"))
 
@@ -101,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     block = max(1, -(-total // slots))
     plan = scratch.table(blocked(targets, block), "plan")
-    draws = schedule(plan).groupBy("sid", "block").agg(F.count("*").alias("draws"))
+    draws = schedule(plan, repeats).groupBy("sid", "block").agg(F.count("*").alias("draws"))
     taken = pieces(sized, plan).join(draws, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("draws")).alias("taken"))
     named = sized.join(targets.drop("sid").withColumnRenamed("source", "of"), sized["source"].eqNullSafe(F.col("of"))).drop("of")
     return named.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

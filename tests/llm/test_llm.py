@@ -181,8 +181,11 @@ def test_op5_repeated_ids(spark):
     """Rows of one doc_id with different texts link what each is near to; the pipeline's stage judges each text by itself."""
     import corpus_pipeline as P
 
-    a, b, c = prose(40), prose(40), prose(40)
-    rows = [(5, a), (5, b), (7, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c), (11, edited(c, 1))]
+    rnd = random.Random(17)
+    a, b, c = (" ".join(rnd.choice(WORDS) for _ in range(40)) for _ in range(3))
+    w = c.split(" ")
+    near, far = " ".join(["other", *w[1:]]), " ".join([*w[:20], "other", *w[21:]])  # 35 and 31 of 36 and 41 shingles
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c), (11, near), (12, far)]
     df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, id int, k string")
     got = near_dup.near_duplicates(df, 3, 85).collect()
     _, label = brute_components([r for r in rows if r[0] is not None], 3, 85)
@@ -190,7 +193,11 @@ def test_op5_repeated_ids(spark):
     left = P.near_dedup(spark, df, "")
     assert left.columns == df.columns
     kept = Counter((r.doc_id, r.text) for r in left.collect())
-    assert kept == Counter([(5, a), (3, b), (9, None), (5, ""), (None, a), (8, c), (8, c)])
+    # each text by itself: numbered in order of doc_id, so that the least number of a component is its smallest doc_id
+    texts = sorted({(i, t) for i, t in rows if i is not None and t})
+    _, label = brute_components([(k, t) for k, (_, t) in enumerate(texts)], 5, 80)
+    gone = {texts[k] for k in range(len(texts)) if label[k] != k}
+    assert kept == Counter(r for r in rows if r not in gone) and gone == {(7, a), (5, b), (11, near)}
 
 
 @pytest.mark.parametrize("length", [200, 50, 333])
@@ -425,15 +432,70 @@ def test_op9_small_sources(spark, slots):
 
 
 def test_op9_plan(spark):
-    """The reviewer's case of 4.9e9 words: blocks of a plan that is not run, and slots spread over the mix."""
+    """The reviewer's case of 4.9e9 words: a plan that is not run, by points through cumulative weights."""
     sizes = {"a": 4_899_964_000, "b": 2_000, "c": 9_000, "d": 25_000}
     targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
     plan = mixing.blocked(targets, 18_693)
     got = {r.source: r for r in plan.collect()}
     assert all(abs(r.slots * r.source_size / r.blocks - r.target) <= 0.01 * r.target for r in got.values())
     assert {s: got[s].target for s in "bcd"} == {"b": 6_000, "c": 27_000, "d": 75_000} and sum(r.slots for r in got.values()) < 1.01 * 2**18
-    half = Counter(r.sid for r in mixing.schedule(plan).where("place < 0.5").collect())
-    assert all(abs(half[r.sid] - r.slots / 2) <= 1 for r in got.values())
+    slots = mixing.schedule(plan).collect()
+    by_sid = {r.sid: sorted((x.rank, x.place, x.block) for x in slots if x.sid == r.sid) for r in got.values()}
+    for r in got.values():
+        ranks = [x[0] for x in by_sid[r.sid]]
+        assert ranks == list(range(len(ranks))) and abs(len(ranks) - r.slots) <= 0.01 * r.slots and len(ranks) <= 3 * r.blocks
+        assert all(b == k % r.blocks for k, _, b in by_sid[r.sid])
+        assert abs(sum(p < 0.5 for _, p, _ in by_sid[r.sid]) - r.slots / 2) <= 5
+
+
+def plain_mix(rows, order, weights, block):
+    """taken by row, from the rows (source, size) and their place in their source's order: every point looked up by itself."""
+    sizes = Counter()
+    for s, n in rows:
+        sizes[s] += n
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    target = fill({s: n for s, n in sizes.items() if n}, dict(zip(names, weights * len(names))), 3)
+    plan = []
+    for s in names:
+        if sizes[s]:
+            blocks = -(-sizes[s] // max(1, min(block, int(target[s] / 600))))
+            plan.append((s, blocks, int(np.floor(target[s] * blocks / sizes[s] + 0.5))))
+    total, edges, k = sum(p[2] for p in plan), [], 0
+    for _, _, slots in plan:
+        k += slots
+        edges.append(k * 2**32 // total)
+    ranks = [0] * len(plan)
+    for i in range(total):
+        ranks[np.searchsorted(edges, i * 2654435769 % 2**32, "right")] += 1
+    taken = [0] * len(rows)
+    for (s, blocks, slots), have in zip(plan, ranks):
+        n = slots if slots < 600 else min(have, 3 * blocks)
+        draws = Counter(r % blocks for r in range(n))
+        at = 0
+        for k in sorted((k for k, r in enumerate(rows) if r[0] == s), key=order.__getitem__):
+            for word in range(at, at + rows[k][1]):
+                taken[k] += draws[((word + 1) * blocks - 1) // sizes[s]]
+            at += rows[k][1]
+    return taken
+
+
+@pytest.mark.parametrize("slots", [50, 3000])
+def test_op9_documents(spark, slots):
+    """taken of every document equals a plain lookup of every point and word; another sequence takes other words."""
+    rnd = random.Random(slots)
+    rows = [(k, " ".join(["w"] * rnd.choice([0, 1, 5, 40, 400])), rnd.choice(["a", "a", "b", "c", None, "tiny" if k % 40 == 0 else "a"])) for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    size = lambda t: len(t.split())
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", mixing.word_count()).alias("h")).collect()}
+    # a source's order is that of the bucket, by arithmetic shift, then of the hash
+    order = [(h[k], k) for k, _, _ in rows]
+    total = sum(size(t) for _, t, _ in rows)
+    want = plain_mix([(s, size(t)) for _, t, s in rows], order, [5.0, 2.0, 1.0], -(-total // slots))
+    got = {r.doc_id: r.taken for r in mixing.mix(df, slots=slots).collect()}
+    assert [got[k] for k, _, _ in rows] == want and sum(want) > 0
+    plan = mixing.blocked(mixing.source_targets(spark.createDataFrame([("a", 50_000), ("b", 90_000)], "source string, source_size long")), 50)
+    one, two = (mixing.schedule(plan, golden=g).select("sid", "rank", "place").collect() for g in (mixing.GOLDEN, 3_141_592_653))
+    assert sorted(one) != sorted(two)
 
 
 def test_op10_recall(spark):
