@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import BASE, INVERSE, U64, Scratch, mix64, powers, signed
 
@@ -18,6 +19,8 @@ from .common import BASE, INVERSE, U64, Scratch, mix64, powers, signed
 SEED, COVERAGE, SHORTEST = 5, 0.8, 3
 #: Distinct seeds that every worker holds as a filter (8 bytes each); with more, documents meet seeds by a shuffle.
 HELD_SEEDS = 4_000_000
+#: Into how many rows a document's items are dealt at most.
+GROUPS = 16
 #: Scripts that put no space between words: each of their characters counts as a word.
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _TABLES: list[np.ndarray] = []
@@ -65,31 +68,58 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return mix64((sums[width:] - sums[:n]) * powers(INVERSE, n) + U64(width))
 
 
+def _sums(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(BASE, len(words)), out=out[1:])
+    return out
+
+
 def _scan(doc: np.ndarray, item: np.ndarray, used_doc: np.ndarray, used_item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(-words, place in doc, place in item) of the longest unmarked matches on each diagonal, of `width` words at least."""
+    """(-words, place in doc, place in item) of the longest unmarked matches on each diagonal, of `width` words at least.
+
+    Only the first place of each match is made: two places of one hash whose words before are equal, and free, lie inside
+    a match that begins earlier. A word that goes on for thousands of places has a match for each diagonal, not for each
+    pair. Lengths are found by halving, over hashes of what follows.
+    """
+    # marked words equal nothing: those of doc and item differ from all words and from each other
+    marks = np.arange(len(doc) + len(item) + 2, dtype=np.uint64)
+    d = np.where(used_doc, mix64(marks[: len(doc)] ^ U64(0xA5A5)), doc)
+    m = np.where(used_item, mix64(marks[len(doc) : len(doc) + len(item)] ^ U64(0xA5A5)), item)
 
     def free(used: np.ndarray) -> np.ndarray:
         marked = np.concatenate([[0], np.cumsum(used)])
         return np.flatnonzero(marked[width:] == marked[:-width])
 
     p, q = free(used_doc), free(used_item)
-    hp, hq = rolling(doc, width)[p], rolling(item, width)[q]
-    order = np.argsort(hq, kind="stable")
-    hq, q = hq[order], q[order]
-    lo, hi = np.searchsorted(hq, hp), np.searchsorted(hq, hp, "right")
-    n = hi - lo
-    p = np.repeat(p, n)
-    q = q[np.repeat(lo, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
-    for k in range(width):  # equal hashes are confirmed word by word
-        same = doc[p + k] == item[q + k]
-        p, q = p[same], q[same]
-    order = np.lexsort((p, p - q))
-    p, q = p[order], q[order]
-    head = np.ones(len(p), bool)
-    head[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-    first = np.flatnonzero(head)
-    size = np.diff(np.append(first, len(p))) + width - 1
-    return list(zip((-size).tolist(), p[first].tolist(), q[first].tolist()))
+    if not len(p) or not len(q):
+        return []
+    hp, hq = rolling(d, width)[p], rolling(m, width)[q]
+    before_d, before_m = np.append(mix64(marks[-2:-1]), d[:-1])[p], np.append(mix64(marks[-1:]), m[:-1])[q]
+    # the item's places by hash, then by the word before: those of one hash and another word before are two stretches
+    _, kind = np.unique(np.concatenate([hq, hp]), return_inverse=True)
+    _, word = np.unique(np.concatenate([before_m, before_d]), return_inverse=True)
+    n_words = int(word.max()) + 1
+    key = kind[: len(q)].astype(np.int64) * n_words + word[: len(q)]
+    order = np.argsort(key, kind="stable")
+    key, q = key[order], q[order]
+    group, own = kind[len(q) :].astype(np.int64) * n_words, word[len(q) :]
+    lo, hi = np.searchsorted(key, group), np.searchsorted(key, group + n_words)
+    same_lo, same_hi = np.searchsorted(key, group + own), np.searchsorted(key, group + own, "right")
+    starts = np.concatenate([p, p])
+    from_, to = np.concatenate([lo, same_hi]), np.concatenate([same_lo, hi])
+    n = to - from_
+    ps = np.repeat(starts, n)
+    qs = q[np.repeat(from_, n) + np.arange(len(ps)) - np.repeat(np.cumsum(n) - n, n)]
+    # the longest common stretch from each pair: by halving, as hashes of equal stretches are equal
+    sd, sm = _sums(d), _sums(m)
+    inverse = powers(INVERSE, max(len(sd), len(sm)))
+    good = np.full(len(ps), width)
+    bad = np.minimum(len(d) - ps, len(m) - qs) + 1
+    while (open_ := bad - good > 1).any():
+        half = np.where(open_, (good + bad) // 2, good)
+        equal = (sd[ps + half] - sd[ps]) * inverse[ps] == (sm[qs + half] - sm[qs]) * inverse[qs]
+        good, bad = np.where(open_ & equal, half, good), np.where(open_ & ~equal, half, bad)
+    return list(zip((-good).tolist(), ps.tolist(), qs.tolist()))
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
@@ -107,10 +137,12 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int
         if width <= len(doc):
             queue = _scan(doc, item, used_doc, used_item, width)
             heapq.heapify(queue)
-            while queue:
+            while queue and not used_item.all():
                 n, p, q = heapq.heappop(queue)
                 taken = used_doc[p : p - n] | used_item[q : q - n]
                 if not taken.any():
+                    if not (doc[p : p - n] == item[q : q - n]).all():
+                        raise ArithmeticError("words of one hash differ")  # 64 bits did not tell two stretches apart
                     tiles.append((p, q, -n))
                     used_doc[p : p - n] = used_item[q : q - n] = True
                     continue
@@ -188,26 +220,14 @@ def document_seeds(docs: DataFrame, widths: list[int], held: np.ndarray | None)
     return _own(docs).mapInArrow(find, "d long, k long, seed long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, held_seeds: int = HELD_SEEDS) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, n_words) of documents whose tiles cover enough of a benchmark item.
-
-    Words are runs of letters, marks and digits of the folded text (compatibility forms, case), so that punctuation, quotes
-    and white space don't hide a passage; in scripts without spaces each character is a word.
-
-    1. The seeds of the items, runs of 5 words (of all words, if an item has fewer), are joined to those of the documents.
-       Where the items have few enough distinct ones, every worker holds these and leaves others out before the join.
-    2. A document and an item whose shared seeds can cover enough of the item are tiled.
-
-    The documents are read once for the seeds and once for the texts to be tiled, whatever the number of items. Null and
-    empty texts match nothing; items of fewer than 3 words and rows with a null item_id are left out; a null doc_id
-    stays null in the result. Repeated documents each give their rows, repeated items one. Other columns are ignored.
-    """
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, held_seeds: int = HELD_SEEDS) -> DataFrame:
+    """(doc_id, k, item_id, coverage, n_tiles, n_words): as `contaminated`, with the text's xxhash64 as k."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, coverage double, n_tiles long, n_words long"
+    schema = "doc_id long, k long, item_id long, coverage double, n_tiles long, n_words long"
     scratch = Scratch(spark, "leaks")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("passage")).distinct()
     items = scratch.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    seeds = scratch.table(items.select("item", "passage").mapInArrow(_item_seeds, "item long, seed long, width int, n int"), "seeds")
+    seeds = scratch.table(items.select("item", "passage").mapInArrow(_item_seeds, "item long, seed long, width int, n int").groupBy("item", "seed", "width", "n").agg(F.count("*").alias("times")), "seeds")
     widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # at most three values
     if not widths:
         return spark.createDataFrame([], schema)
@@ -215,23 +235,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     held = None
     if distinct.limit(held_seeds + 1).count() <= held_seeds:
         held = np.sort(distinct.toArrow().column("seed").to_numpy().view(np.uint64))
-    shared = document_seeds(docs, widths, held).distinct().join(seeds, "seed").groupBy("d", "k", "item", "width", "n").agg(F.count("*").alias("hits"))
-    pairs = shared.where(F.col("hits") * F.col("width") >= F.lit(coverage) * F.col("n")).select("d", "k", "item")
-    pairs = scratch.table(pairs.join(items, "item").select(F.col("d").alias("pd"), F.col("k").alias("pk"), "item_id", "passage"), "pairs")
+    # documents by what they share with any item; where not all seeds are held, the join leaves the others out
+    found = document_seeds(docs, widths, held).distinct()
+    found = scratch.table(found if held is not None else found.join(distinct, "seed", "left_semi").select("d", "k", "seed"), "found")
+    often = scratch.table(found.groupBy("seed").agg(F.count("*").alias("df")), "often")
+    # an item's hits are at least `need`: its commonest seeds that together have fewer are not enough, so that one of the others is hit
+    need = F.ceil(F.lit(coverage) * F.col("n") / F.col("width"))
+    commoner = W.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)).desc(), "seed").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = seeds.join(often, "seed", "left").withColumn("reach", F.sum("times").over(commoner)).withColumn("need", need)
+    rare = scratch.table(ranked.where("reach >= need AND df > 0").select("item", "seed"), "rare")
+    met = scratch.table(found.join(rare, "seed").select("d", "k", "item").distinct(), "met")
+    rows = met.select(F.col("d").alias("md"), F.col("k").alias("mk"), "item").join(seeds, "item")
+    hits = rows.join(found, rows["md"].eqNullSafe(found["d"]) & (rows["mk"] == found["k"]) & (rows["seed"] == found["seed"])).groupBy("d", "k", "item", "width", "n").agg(F.sum("times").alias("hits"))
+    pairs = hits.where(F.col("hits") * F.col("width") >= F.lit(coverage) * F.col("n")).select("d", "k", "item").join(items, "item")
+    # a document's items come together, so that it is cut into words once for each GROUPS-th of all items
+    grouped = pairs.groupBy(F.col("d").alias("pd"), F.col("k").alias("pk"), F.pmod("item_id", F.lit(GROUPS))).agg(F.collect_list(F.struct("item_id", "passage")).alias("items"))
+    grouped = scratch.table(grouped.select("pd", "pk", "items"), "pairs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for d, text, item, passage in zip(*(batch.column(c) for c in range(4))):
-                words, at = tokens([text.as_py(), passage.as_py()])
-                doc, wanted = words[: at[1]], words[at[1] :]
-                tiles = tile(doc, wanted)
-                covered = sum(n for _, _, n in tiles)
-                if tiles and covered >= coverage * len(wanted):
-                    found.append((d.as_py(), item.as_py(), covered / len(wanted), len(tiles), covered))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
+            out = []
+            for d, k, text, wanted in zip(*(batch.column(c) for c in range(4))):
+                wanted = wanted.as_py()
+                words, at = tokens([text.as_py(), *(w["passage"] for w in wanted)])
+                for w, lo, hi in zip(wanted, at[1:-1], at[2:]):
+                    tiles = tile(words[: at[1]], words[lo:hi])
+                    covered = sum(n for _, _, n in tiles)
+                    if tiles and covered >= coverage * (hi - lo):
+                        out.append((d.as_py(), k.as_py(), w["item_id"], covered / int(hi - lo), len(tiles), covered))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "k", "item_id", "coverage", "n_tiles", "n_words"])
 
     text = _own(docs)
-    both = text.join(pairs, text["d"].eqNullSafe(pairs["pd"]) & (text["k"] == pairs["pk"]))
-    return both.select("d", "text", "item_id", "passage").mapInArrow(search, schema)
+    both = text.join(grouped, text["d"].eqNullSafe(grouped["pd"]) & (text["k"] == grouped["pk"]))
+    return both.select("d", "k", "text", "items").mapInArrow(search, schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, held_seeds: int = HELD_SEEDS) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, n_words) of documents whose tiles cover enough of a benchmark item.
+
+    Words are runs of letters, marks and digits of the folded text (compatibility forms, case), so that punctuation, quotes
+    and white space don't hide a passage; in scripts without spaces each character is a word.
+
+    1. The seeds of the items, runs of 5 words (of all words, if an item has fewer), are joined to those of the documents.
+       Where the items have few enough distinct ones, every worker holds these and leaves others out before the join.
+       An item is joined by its rarest seeds, of which a document must have one: a phrase that many items and documents
+       share makes no pairs. Seeds are counted for the pairs that met.
+    2. A document and an item whose shared seeds can cover enough of the item are tiled.
+
+    The documents are read once for the seeds and once for the texts to be tiled, whatever the number of items. Null and
+    empty texts match nothing; items of fewer than 3 words and rows with a null item_id are left out; a null doc_id
+    stays null in the result. Repeated documents each give their rows, repeated items one. Other columns are ignored.
+    """
+    return leaks(docs, benchmark, coverage, held_seeds).drop("k")

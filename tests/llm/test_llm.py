@@ -280,6 +280,49 @@ def test_op8(spark, docs, empty):
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} >= {0, 1, 2, 3, None}
 
 
+def test_op8_tiles_of_repeated_words():
+    """20,000 times 800 words that are all one, or two in turn: matches are made once a diagonal, and the tiles are those of the plain way."""
+    import time
+
+    for period in (1, 2, 7):
+        doc, item = (np.arange(n, dtype=np.uint64) % np.uint64(period) + np.uint64(9) for n in (20_000, 800))
+        began = time.process_time()
+        got = decontaminate.tile(doc, item)
+        assert got == [(0, 0, 800)] and time.process_time() - began < 2
+        small = decontaminate.tile(doc[:40], item[:17])
+        assert small == plain_tiles(doc[:40].tolist(), item[:17].tolist(), 5)
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_op8_end_to_end(spark, held):
+    """Against tiling of every document with every item; one phrase stands in all of them, one item repeats a word."""
+    rnd = random.Random(8)
+    vocab = [f"w{k}" for k in range(60)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    phrase = "which of the following is not a right answer".split()
+    items = [(k, some(rnd.choice([6, 14, 30])) + phrase) for k in range(12)] + [(20, ["same"] * 20), (21, some(4)), (22, phrase)]
+    rows = []
+    for k in range(40):
+        text = some(20) + phrase
+        for _ in range(rnd.randint(0, 3)):
+            item = rnd.choice(items)[1]
+            cut = rnd.randrange(len(item))
+            parts = rnd.choice([[item], [item[cut:], item[:cut]], [item[: int(len(item) * 0.85)]], [item[: len(item) // 2]]])
+            for part in parts:
+                text = text + part + some(rnd.randint(0, 6))
+        rows.append((k if k else None, " ".join(text)))
+    rows += [(40, "same " * 15 + "x"), (40, "same " * 18), (41, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"), held_seeds=held).collect()
+    want = Counter()
+    for d, text in rows:
+        for i, item in items:
+            tiles = plain_tiles((text or "").split(), item, min(5, len(item)))
+            covered = sum(t[2] for t in tiles)
+            if tiles and covered >= 0.8 * len(item):
+                want[d, i, len(tiles), covered] += 1
+    assert Counter((r.doc_id, r.item_id, r.n_tiles, r.n_words) for r in got) == want and len({i for _, i, _, _ in want}) > 10
+
+
 def test_op8_scripts(spark):
     """Case, marks and spacing of other scripts hide nothing: Greek, Turkish, Chinese, typographic quotes."""
     greek, chinese = "ΟΔΥΣΣΕΥΣ ΛΟΓΟΣ ΚΟΣΜΟΣ ΑΝΘΡΩΠΟΣ ΘΕΟΣ ΦΙΛΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΒΙΟΣ", "我们今天去公园看花然后回家吃饭"
@@ -402,6 +445,18 @@ def test_edit_similarity():
     assert lines.alike(LONG, edited(LONG, 50)) and not lines.alike(LONG[:20_000], prose(3_000)[:20_000])
 
 
+def test_pipeline_decontamination(spark):
+    """Each text of a doc_id is judged by itself, and a null doc_id protects nothing."""
+    import corpus_pipeline as P
+
+    passage = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 60").first().text
+    rows = [(1, passage), (1, "other clean text of this document"), (None, f"before {passage} after"), (None, "clean"), (2, "clean"), (2, "clean"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, k string, item_id int")
+    left = P.decontamination(spark, df, "/root/testdata/sf0.001")
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(rows[1:2] + rows[3:])
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     import corpus_pipeline as P
 
