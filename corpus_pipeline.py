@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, documents
-from millrace.llm.decontaminate import contaminated
+from millrace.llm.decontaminate import leaks
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.near_dup import surplus
 from millrace.llm.quality import filter_quality
@@ -35,14 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. A null doc_id can't be named in the list of those to go, and stays.
+    """Documents without a benchmark passage. A document is a doc_id (null is one too) with a text: each is judged by its own text.
 
-    Null and empty texts hold no passage and stay; of rows with one doc_id all go if one holds a passage.
+    Null and empty texts hold no passage and stay; rows alike in both stay or go together. An empty table gives no rows.
     """
     scratch = Scratch(spark, "leak-stage")
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__doc")).distinct()
+    gone = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k")).distinct()
     gone = scratch.table(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
