@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +18,20 @@ from ..functions.text import head_tail
 from ..session import spread
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The frame through a reliable checkpoint, so that later expressions cannot be merged into what made it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a session in one process may do without, and has a temporary one then."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/millrace-{uuid.uuid4().hex}")
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The frame through a reliable checkpoint, so that later expressions cannot be merged into what made it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

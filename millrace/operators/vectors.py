@@ -54,13 +54,56 @@ def nearest_to(vectors: DataFrame, queries: DataFrame, k: int, temperature: floa
     return ranked.withColumn("score", F.round(F.col("cosine") / temperature, 4))
 
 
-def contrastive_loss(batch: DataFrame, group: str, label: str, temperature: float = 0.07) -> DataFrame:
-    """(batch, loss): mean over rows of -log of the positives' share among the batch; a row's own pair is left out.
+def contrastive_loss(rows: DataFrame, batch: str, scale: float = 1 / 0.07, block: int = 512) -> DataFrame:
+    """(batch, loss, rows): the symmetric contrastive loss of each batch.
 
-    Batches are small by definition; rows meet only inside one.
+    rows: batch, id (unique in it), state and action (vectors), state_key, action_key, group. Of all states with all actions of a
+    batch, those with an equal state key or an equal action key are positives; others of one's own group are masked. Loss is
+    the mean, over states and over actions, of log-sum-exp over what is not masked less that over positives. Null keys and
+    groups equal nothing but the own row, which is always a positive.
+
+    Blocks of a batch meet block by block, as matrices; what leaves a pair of blocks is a maximum and a sum for each row and
+    column, and these are merged by id, so that a batch of any size fits. Batches with more than one block cost the
+    square of their rows, as the loss does.
     """
-    a = batch.select(group, F.col("vec_id").alias("a"), F.col(label).alias("la"), normalised(F.col("embedding")).alias("va"))
-    b = batch.select(group, F.col("vec_id").alias("b"), F.col(label).alias("lb"), normalised(F.col("embedding")).alias("vb"))
-    s = a.join(b, group).where("a <> b").select(group, "a", (F.col("la") == F.col("lb")).alias("positive"), F.exp(dot(F.col("va"), F.col("vb")) / temperature).alias("e"))
-    rows = s.groupBy(group, "a").agg(F.sum(F.when(F.col("positive"), F.col("e"))).alias("p"), F.sum("e").alias("all"))
-    return rows.where("p IS NOT NULL").groupBy(group).agg(F.avg(-F.log(F.col("p") / F.col("all"))).alias("loss"), F.count("*").alias("rows"))
+    own = rows.where("state IS NOT NULL AND action IS NOT NULL").select(F.col(batch).alias("batch"), F.col("id").cast("long").alias("id"), F.col("state").cast("array<double>").alias("state"), F.col("action").cast("array<double>").alias("action"), *(F.xxhash64(c).alias(c) for c in ("state_key", "action_key", "group")), *(F.col(c).isNotNull().alias(f"has_{c}") for c in ("state_key", "action_key", "group")))
+    sizes = own.groupBy("batch").agg(F.count("*").alias("n"))
+    dealt = own.join(sizes, "batch").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
+    held = dealt.groupBy("batch", "part").agg(F.collect_list(F.struct("id", "state", "action", "state_key", "action_key", "group", "has_state_key", "has_action_key", "has_group")).alias("x"))
+    pairs = held.select("batch", F.col("x").alias("rows")).join(held.select("batch", F.col("x").alias("columns")), "batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, left, right in zip(*(b.column(c) for c in range(3))):
+                yield _block_sums(name.as_py(), pa.Table.from_struct_array(left.values), pa.Table.from_struct_array(right.values), scale)
+
+    kind = own.schema["batch"].dataType.simpleString()
+    parts = pairs.mapInArrow(run, f"batch {kind}, side string, id long, top double, total double, top_positive double, total_positive double")
+    merged = "log(aggregate(x, 0D, (s, p) -> s + p.{n} * exp(p.{m} - array_max(transform(x, q -> q.{m}))))) + array_max(transform(x, q -> q.{m}))"
+    by_row = parts.groupBy("batch", "side", "id").agg(F.collect_list(F.struct("top", "total", "top_positive", "total_positive")).alias("x"))
+    one = by_row.select("batch", "side", F.expr(f"({merged.format(m='top', n='total')}) - ({merged.format(m='top_positive', n='total_positive')})").alias("loss"))
+    sides = one.groupBy("batch", "side").agg(F.avg("loss").alias("loss"), F.count("*").alias("rows"))
+    return sides.groupBy("batch").agg(F.avg("loss").alias("loss"), F.max("rows").alias("rows"))
+
+
+def _block_sums(name, left: pa.Table, right: pa.Table, scale: float) -> pa.RecordBatch:
+    """Maxima and sums of exponentials by row and by column of one pair of blocks, of all that counts and of positives."""
+    column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+    matrix = lambda t, c: np.stack([np.asarray(v.values) for v in t[c].combine_chunks()])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    i, j = column(left, "id"), column(right, "id")
+    logits = unit(matrix(left, "state")) @ unit(matrix(right, "action")).T * scale
+    equal = lambda c: (column(left, c)[:, None] == column(right, c)[None]) & column(left, f"has_{c}")[:, None].astype(bool) & column(right, f"has_{c}")[None].astype(bool)
+    positive = equal("state_key") | equal("action_key") | (i[:, None] == j[None])
+    counted = positive | ~equal("group")
+    out = []
+    for axis, ids, side in ((1, i, "state"), (0, j, "action")):
+        sums = []
+        for mask in (counted, positive):
+            z = np.where(mask, logits, -np.inf)
+            top = z.max(axis)
+            top = np.where(np.isfinite(top), top, -1e300)  # nothing in this block
+            sums += [top, np.where(mask, np.exp(np.minimum(z - np.expand_dims(top, axis), 0)), 0).sum(axis)]
+        out.append([np.full(len(ids), side), ids, *sums])
+    side, ids, *sums = (np.concatenate(c) for c in zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(side.tolist(), pa.string()), pa.array(ids), *map(pa.array, sums)], ["batch", "side", "id", "top", "total", "top_positive", "total_positive"])

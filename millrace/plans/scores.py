@@ -188,12 +188,14 @@ def cosine_topk(t: Tables) -> DataFrame:
     return Vec.nearest_to(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 5).select("query", "vec_id", "cosine", "rank")
 
 
-@query("""WITH e AS (SELECT vec_id, label, vec_id // 25 AS batch, embedding::double[] AS v FROM embeddings), s AS (SELECT a.batch, a.vec_id AS a, a.label = b.label AS positive, exp(list_cosine_similarity(a.v, b.v) / 0.07) AS x FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
-r AS (SELECT batch, a, sum(x) FILTER (positive) AS p, sum(x) AS al FROM s GROUP BY ALL)
-SELECT batch, round(avg(-ln(p / al)), 4) AS loss, count(*) AS rows FROM r WHERE p IS NOT NULL GROUP BY batch""")
+@query("""WITH e AS (SELECT vec_id, vec_id // 25 AS batch, label AS state_key, vec_id % 7 AS action_key, vec_id % 5 AS grp, embedding::double[] AS s, list_reverse(embedding)::double[] AS a FROM embeddings),
+p AS (SELECT x.batch, x.vec_id AS i, y.vec_id AS j, coalesce(x.state_key = y.state_key, false) OR x.action_key = y.action_key OR x.vec_id = y.vec_id AS positive, x.grp = y.grp AS same, list_cosine_similarity(x.s, y.a) / 0.07 AS z FROM e x JOIN e y USING (batch)),
+r AS (SELECT batch, i, ln(sum(exp(z)) FILTER (positive OR NOT same)) - ln(sum(exp(z)) FILTER (positive)) AS loss FROM p GROUP BY ALL), c AS (SELECT batch, j, ln(sum(exp(z)) FILTER (positive OR NOT same)) - ln(sum(exp(z)) FILTER (positive)) AS loss FROM p GROUP BY ALL)
+SELECT batch, round((avg(r.loss) + (SELECT avg(loss) FROM c WHERE c.batch = r.batch)) / 2, 4) AS loss, count(*) AS rows FROM r GROUP BY batch""")
 def masked_contrastive_loss(t: Tables) -> DataFrame:
-    e = t.embeddings.withColumn("batch", F.expr("vec_id div 25"))
-    return Vec.contrastive_loss(e, "batch", "label").select("batch", F.round("loss", 4).alias("loss"), "rows")
+    """Batches of 25; a vector read backwards stands for the action, the label and a remainder for the keys."""
+    e = t.embeddings.select(F.expr("vec_id div 25").alias("batch"), F.col("vec_id").alias("id"), F.col("embedding").alias("state"), F.reverse("embedding").alias("action"), F.col("label").alias("state_key"), (F.col("vec_id") % 7).alias("action_key"), (F.col("vec_id") % 5).alias("group"))
+    return Vec.contrastive_loss(e, "batch", block=8).select("batch", F.round("loss", 4).alias("loss"), "rows")
 
 
 @query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) AS norm, len(embedding)::int AS dims FROM embeddings")

@@ -9,6 +9,13 @@ def h(expr: str, digits: int, n: int | None = None) -> str:
     return f"({x} % {n})" if n else x
 
 
+def digest_sql(table: str, columns: list[str]) -> str:
+    """value and rows of a table's digest: four sums of parts of its rows' hashes."""
+    cells = ", ".join(f"coalesce(length({c}::varchar)||':'||{c}::varchar, '-')" for c in columns)
+    sums = "||".join(f"printf('%08x', (coalesce(sum(('0x'||substr(h, {8 * k + 1}, 8))::hugeint), 0) % 4294967296)::bigint)" for k in range(4))
+    return f"{sums} AS value, count(*) AS rows FROM (SELECT sha256(concat_ws('|', {cells})) AS h FROM {table})"
+
+
 NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 ROWS = f"""rows AS (SELECT doc_id, text, source, lang, {NORM} AS norm, sha256({NORM}) AS grp FROM documents)"""
 SPLIT = f"CASE WHEN {h(chr(39) + SEED + ':' + chr(39) + '||grp', 12, 100)} < 65 THEN 'train' WHEN {h(chr(39) + SEED + ':' + chr(39) + '||grp', 12, 100)} < 80 THEN 'development' WHEN {h(chr(39) + SEED + ':' + chr(39) + '||grp', 12, 100)} < 90 THEN 'calibration' ELSE 'final' END"
