@@ -79,6 +79,28 @@ def state_text(a: Column, b: Column) -> Column:
     return F.concat_ws("\n\n", *(F.nullif(strip(F.coalesce(x, F.lit(""))), F.lit("")) for x in (a, b)))
 
 
+def strip_prefix(x: Column, prefix: str) -> Column:
+    return F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 1 << 30)).otherwise(x)
+
+
+def right_split(x: Column, sep: str) -> Column:
+    """struct<before, last> at the last separator; without one, all is `before` and last is null."""
+    last = F.substring_index(x, sep, -1)
+    whole = F.instr(x, sep) == 0
+    before = F.left(x, F.length(x) - F.length(last) - len(sep))
+    return F.struct(F.when(whole, x).otherwise(before).alias("before"), F.when(~whole, last).alias("last"))
+
+
+def legacy_render(state: Column, question: Column) -> Column:
+    """Both parts stripped with a blank line between, then all stripped."""
+    return strip(F.concat(strip(F.coalesce(state, F.lit(""))), F.lit("\n\n"), strip(F.coalesce(question, F.lit("")))))
+
+
+def action_text(kind: Column, name: Column, args: Column, lang: Column, content: Column) -> Column:
+    """An action by its class: a call with sorted arguments, code under its language, or the content itself."""
+    return F.when(kind == "api", call_text(name, args)).when(kind == "code", F.concat(lang, F.lit(":\n"), content)).otherwise(content)
+
+
 def call_text(name: Column, args: Column) -> Column:
     """f(k=v, ...) with sorted keys, from a name and a map of strings."""
     pairs = F.array_sort(F.transform(F.map_entries(args), lambda e: F.concat(e["key"], F.lit("="), e["value"])))

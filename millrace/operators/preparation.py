@@ -62,6 +62,23 @@ def trajectory_steps(rows: DataFrame, key: str, order: str, observation: Column,
     return r.withColumn("context", F.concat("initial", F.lit("\n\nRecent history:\n"), history)).where("acted").drop("observed", "acted", "entry_text", "nth", "initial")
 
 
+def pair_issue(positive: Column, negative: Column, norm) -> Column:
+    """Why a pair of texts is set aside: a blank positive, or both alike when normalised; null if it is valid."""
+    return F.when(positive.isNull() | (F.trim(positive) == ""), "blank").when(norm(positive) == norm(F.coalesce(negative, F.lit(""))), "same")
+
+
+def fits(state: Column, candidates: Column, tokens, separator: str, chars: tuple[int, int], most: tuple[int, int, int]) -> Column:
+    """Whether a state, each candidate, and each joint text are within their bounds. chars: below, for state and candidates; most:
+    tokens at most, for state, candidates and joint texts. A state that is null, or without candidates, does not fit."""
+    each = F.forall(candidates, lambda c: (F.length(c) < chars[1]) & (tokens(c) <= most[1]) & (tokens(F.concat(state, F.lit(separator), c)) <= most[2]))
+    return F.coalesce((F.length(state) < chars[0]) & (tokens(state) <= most[0]) & (F.size(candidates) > 0) & each, F.lit(False))
+
+
+def built(rows: DataFrame, keep: list[str], defaults: dict[str, object], given: dict[str, Column]) -> DataFrame:
+    """Rows with every field of `defaults`: what `given` has, where it is not null, else the default."""
+    return rows.select(*keep, *(F.coalesce(given[k], F.lit(v)).alias(k) if k in given else F.lit(v).alias(k) for k, v in defaults.items()))
+
+
 def boolean_alias(true: Column, false: Column, yes: Column, no: Column) -> Column:
     """struct<true, false, error>: yes and no stand for true and false; both names of one side are an error."""
     both = (true.isNotNull() & yes.isNotNull()) | (false.isNotNull() & no.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import state_text
 from .scoring import confidence, expected, first_best, log_softmax
 
 
@@ -41,6 +42,19 @@ def stable_rank(rows: DataFrame, by: str, score: str, place: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), place)))
 
 
-def rank_with(rows: DataFrame, scorer, schema: str) -> DataFrame:
-    """The scorer's interface: an iterator of Arrow batches of (id, state, candidate) to (id, candidate, score)."""
-    return rows.mapInArrow(scorer, schema)
+def pairs(rows: DataFrame, id_: str) -> DataFrame:
+    """(id, qid, state_text, key, text, place) from (id, state, questions: array<struct<qid, kind, instructions, criteria>>).
+
+    The state text is the state and the question's instructions, with a blank line between where both have text.
+    """
+    q = rows.select(id_, "state", F.explode("questions").alias("q"))
+    found = q.select(id_, F.col("q.qid").alias("qid"), state_text(F.col("state"), F.col("q.instructions")).alias("state_text"), candidates(F.col("q.kind"), F.col("q.criteria")).alias("c"))
+    return found.select(id_, "qid", "state_text", F.posexplode("c").alias("place", "c")).select(id_, "qid", "state_text", "c.key", "c.text", "place")
+
+
+def served(kind: Column, keys: Column, logits: Column, yes: Column, temperature: float) -> Column:
+    """struct<choice, value, probabilities>: a choice's best key, a score's expected level, or the chance of the key at `yes`."""
+    p = F.transform(log_softmax(logits, temperature), F.exp)
+    levels = F.transform(keys, lambda k, i: i.cast("double"))
+    value = F.when(kind == "score", expected(p, levels)).when(kind == "noul", F.get(p, yes))
+    return F.struct(F.when(kind == "choice", F.get(keys, first_best(logits))).alias("choice"), value.alias("value"), F.when(kind != "noul", p).alias("probabilities"))

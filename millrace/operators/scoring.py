@@ -28,6 +28,12 @@ def target_distribution(target_probs: Column, target: Column, n: Column) -> Colu
     return F.coalesce(target_probs, one_hot(target, n))
 
 
+def target_error(target_probs: Column, n: Column, tolerance: float = 1e-5) -> Column:
+    """What is wrong with a row's soft target; null if nothing is, or it has none."""
+    wrong = F.exists(target_probs, lambda p: p.isNull() | F.isnan(p) | (F.abs(p) == float("inf")))
+    return F.when(F.size(target_probs) != n, "length").when(wrong, "not finite").when(F.exists(target_probs, lambda p: p < 0), "negative").when(F.abs(total(target_probs) - 1) > tolerance, "sum")
+
+
 def credit(logits: Column, target: Column, tolerance: float = 0.0) -> Column:
     """The mean target mass over the logits that tie with the best (exactly, or within a tolerance)."""
     top = F.array_max(logits)

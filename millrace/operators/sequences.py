@@ -51,7 +51,9 @@ def balanced_draws(spark, rows: DataFrame, source: str, order: list[Column], cou
     """(step, source, id): draws with replacement, uniform over sources and then over a source's rows, by hash."""
     from ..functions.text import hex_int, sha
 
-    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy(source).orderBy(*order)) - 1)
+    from .ranks import placed_within
+
+    ranked = placed_within(rows, source, *order)
     sizes = ranked.groupBy(source).agg(F.count("*").alias("size")).withColumn("at", F.row_number().over(W.orderBy(source)) - 1).withColumn("sources", F.count("*").over(W.partitionBy()))
     n = sizes.count()
     draws = spark.range(counts).select(F.col("id").alias("step"), (hex_int(sha(seed, "source", F.col("id")), 8) % n).alias("at"), hex_int(sha(seed, "row", F.col("id")), 8).alias("r"))

@@ -22,9 +22,29 @@ def require(rows: DataFrame, bad: Column, message: str) -> DataFrame:
 
 
 def capped_report(issues: DataFrame, kind: str, order: list[Column], most: int) -> DataFrame:
-    """At most `most` examples of each kind, with the count of all."""
-    w = W.partitionBy(kind)
-    return issues.withColumn("total", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy(*order))).where(F.col("n") <= most)
+    """At most `most` examples of each kind, with the count of all; ranks are limited before rows of a kind meet."""
+    totals = issues.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("total"))
+    first = issues.withColumn("n", F.row_number().over(W.partitionBy(kind).orderBy(*order))).where(F.col("n") <= most)
+    return first.join(totals, F.col(kind).eqNullSafe(F.col("__kind"))).drop("__kind")
+
+
+def row_errors(fields: dict[str, Column], split: Column, splits: list[str], metric: Column, metrics: list[str], candidates: Column, norm, target: Column, probs: Column) -> Column:
+    """All codes of a row as a sorted array. Wrong candidates end the checks: what follows would be about other candidates.
+
+    fields: those that must not be blank. norm makes candidates comparable; target and probs are supervision, one of which a row needs.
+    """
+    n = F.coalesce(F.size(candidates), F.lit(0))
+    blank = F.exists(candidates, lambda x: x.isNull() | (F.trim(x) == ""))
+    fits = F.size(F.array_distinct(F.transform(candidates, norm)))
+    general = [*((f"missing_{name}", c.isNull() | (F.trim(c) == "")) for name, c in fields.items()), ("unknown_split", ~F.coalesce(split, F.lit("")).isin(splits)), ("unknown_metric", ~F.coalesce(metric, F.lit("")).isin(metrics))]
+    about = [("candidates_missing", candidates.isNull()), ("candidates_too_few", candidates.isNotNull() & (n < 2)), ("candidates_too_many", n > 64), ("candidate_blank", blank), ("candidates_repeated", ~F.coalesce(blank, F.lit(True)) & (fits < n))]
+    sum_ = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
+    supervised = [
+        ("supervision_missing", target.isNull() & probs.isNull()), ("target_out_of_range", (target < 0) | (target >= n)), ("probs_wrong_length", F.size(probs) != n),
+        ("probs_not_finite", F.exists(probs, lambda x: x.isNull() | F.isnan(x))), ("probs_negative", F.exists(probs, lambda x: x < 0)), ("probs_wrong_sum", F.abs(sum_ - 1) > 1e-5),
+    ]
+    wrong = error_codes(about)
+    return F.array_sort(F.concat(error_codes(general), F.when(F.size(wrong) > 0, wrong).otherwise(error_codes(supervised))))
 
 
 def split_audit(rows: DataFrame, group: str, family: str) -> DataFrame:

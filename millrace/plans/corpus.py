@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import greedy as G
 from ..operators import digests as Dg
 from ..operators import near as N
+from ..operators import preparation as P
 from ..operators import ranks as R
 from ..operators import sampling as Q
 from ..operators import sequences as Sq
@@ -65,9 +66,11 @@ def text_windows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(w).cast("bigint").alias("window_chars"), F.sha2(w, 256).alias("window_hash"), F.sha2(F.right("text", F.lit(16000)), 256).alias("tail_hash"))
 
 
-@query("SELECT p_partkey, trim(replace(replace(p_brand||'_'||p_type||'?', '_', ' '), '?', '')) AS label, split_part(p_name, ' ', 1) AS head FROM part")
+@query("""SELECT p_partkey, trim(replace(replace(p_brand||'_'||p_type||'?', '_', ' '), '?', '')) AS label, split_part(p_name, ' ', 1) AS head, CASE WHEN starts_with(p_brand, 'Brand#') THEN substr(p_brand, 7) ELSE p_brand END AS brand,
+CASE WHEN contains(p_type, ' ') THEN regexp_replace(p_type, ' [^ ]*$', '') ELSE p_type END AS kind, CASE WHEN contains(p_type, ' ') THEN regexp_extract(p_type, '[^ ]*$') END AS stuff FROM part""")
 def label_prettify(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.prettify(F.concat("p_brand", F.lit("_"), "p_type", F.lit("?"))).alias("label"), F.substring_index("p_name", " ", 1).alias("head"))
+    split = X.right_split(F.col("p_type"), " ")
+    return t.part.select("p_partkey", X.prettify(F.concat("p_brand", F.lit("_"), "p_type", F.lit("?"))).alias("label"), F.substring_index("p_name", " ", 1).alias("head"), X.strip_prefix(F.col("p_brand"), "Brand#").alias("brand"), split["before"].alias("kind"), split["last"].alias("stuff"))
 
 
 @query("""SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))::bigint AS text_chars, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_hash FROM pages""")
@@ -88,10 +91,27 @@ def state_text(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.sha2(X.state_text(F.col("role"), F.col("text")), 256).alias("state_hash"), F.sha2(template, 256).alias("template_hash"))
 
 
-@query("""SELECT event_id, event_type||'(amount='||round(value, 2)::varchar||', user='||user_id::varchar||')' IS NOT NULL AS called, event_type||'(type='||event_type||', user='||user_id::varchar||')' AS call FROM events""")
+@query("""SELECT event_id, CASE WHEN event_type IN ('purchase', 'click') THEN event_type||'(type='||event_type||', user='||user_id::varchar||')' WHEN event_type = 'signup' THEN 'json:'||chr(10)||props ELSE props END AS action FROM events""")
 def call_text(t: Tables) -> DataFrame:
+    """Actions by their class: calls with sorted arguments, code under its language, and plain content."""
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "api").when(F.col("event_type") == "signup", "code").otherwise("message")
     args = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
-    return t.events.select("event_id", F.lit(True).alias("called"), X.call_text(F.col("event_type"), args).alias("call"))
+    return t.events.select("event_id", X.action_text(kind, F.col("event_type"), args, F.lit("json"), F.col("props")).alias("action"))
+
+
+@query("""SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g')||chr(10)||chr(10)||CASE WHEN role = 'user' THEN '' ELSE role END, '^\\s+|\\s+$', '', 'g')) AS rendered FROM conversations""")
+def legacy_render(t: Tables) -> DataFrame:
+    question = F.when(F.col("role") != "user", F.concat(F.lit(" "), "role", F.lit("\n")))
+    return t.conversations.select("conv_id", "turn", F.sha2(X.legacy_render(F.col("text"), question), 256).alias("rendered"))
+
+
+@query("""SELECT doc_id, 'made:'||source||':'||doc_id AS id, CASE WHEN lang = 'en' THEN 'qa' ELSE 'decision' END AS category, 'categorical' AS metric, CASE WHEN n_chars > 3000 THEN 'long' ELSE 'fresh_prompt' END AS scope, source||':'||lang AS workflow_group, 1 AS version FROM documents""")
+def row_builder(t: Tables) -> DataFrame:
+    """Rows by their defaults, and what documents override."""
+    given = {
+        "id": F.concat_ws(":", F.lit("made"), "source", D()), "category": F.when(F.col("lang") == "en", "qa"), "scope": F.when(F.col("n_chars") > 3000, "long"), "workflow_group": F.concat_ws(":", "source", "lang"),
+    }
+    return P.built(t.documents, ["doc_id"], {"id": None, "category": "decision", "metric": "categorical", "scope": "fresh_prompt", "workflow_group": None, "version": 1}, given)
 
 
 
@@ -186,12 +206,20 @@ def keyed_quotas(t: Tables) -> DataFrame:
     return Q.quota(known, ["lang"], _select(), F.col("n")).select("lang", "doc_id")
 
 
-@query(f"""WITH r AS (SELECT *, n_chars < 2000 AS fits FROM documents),
+_TOKENS_OF = "len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))"
+_JOINT = "text||chr(10)||chr(10)||'Candidate action:'||chr(10)||c"
+
+
+@query(f"""WITH c AS (SELECT *, [lang, source, left(text, 400)] AS cs FROM documents),
+r AS (SELECT *, length(text) < 9000 AND {_TOKENS_OF.format(x="text")} <= 400 AND len(list_filter(cs, lambda c: length(c) >= 390 OR {_TOKENS_OF.format(x="c")} > 70 OR {_TOKENS_OF.format(x=_JOINT)} > 440)) = 0 AS fits FROM c),
 train AS (SELECT lang, doc_id, 'train' AS use, fits FROM r WHERE fits QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('{SEED}:select:'||doc_id), doc_id) <= 20),
 held AS (SELECT lang, doc_id, 'holdout' AS use, fits FROM r QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('{SEED}:select:'||doc_id), doc_id) <= 20)
 SELECT * FROM train UNION ALL SELECT * FROM held""")
 def eligibility_train_vs_holdout(t: Tables) -> DataFrame:
-    r = t.documents.select("lang", "doc_id", (F.col("n_chars") < 2000).alias("fits"))
+    """Training rows must fit all bounds before the quota, held-out rows are drawn first and marked; states, candidates and joint texts."""
+    tokens = lambda c: F.regexp_count(c, F.lit(X.WORD_OR_MARK))
+    fit = P.fits(F.col("text"), F.array("lang", "source", F.left("text", F.lit(400))), tokens, "\n\nCandidate action:\n", (9000, 390), (400, 70, 440))
+    r = t.documents.select("lang", "doc_id", fit.alias("fits"))
     train = Q.quota(r.where("fits"), ["lang"], _select(), 20).withColumn("use", F.lit("train"))
     held = Q.quota(r, ["lang"], _select(), 20).withColumn("use", F.lit("holdout"))
     return train.union(held).select("lang", "doc_id", "use", "fits")
@@ -383,7 +411,7 @@ out AS (SELECT r.*, pass, CASE WHEN pass IS NOT NULL THEN NULL WHEN count(*) OVE
 
 
 def repaired(t: Tables):
-    from ..operators import repair as P
+    from ..operators import repair as Rp
 
     near = N.near_classes(sketched(t), 0.85)
     train = X.bucket(X.sha(D()), 8, 100) < 70
@@ -398,7 +426,7 @@ def repaired(t: Tables):
     direct = m.where("train").join(own.union(around).distinct(), "class", "left_semi").select("group").distinct()
     # rows with an id and a content that both repeat are one row: the first of them stays in the table that is repaired
     unique = Q.first_seen(r, ["id", "norm", "source", "listed", "train"], [D()])
-    return P.repair(unique, direct, 10**9, ["norm", "source", "listed"], ["src1"])
+    return Rp.repair(unique, direct, 10**9, ["norm", "source", "listed"], ["src1"])
 
 
 @query(f"""{_REPAIR.replace("r AS MATERIALIZED (SELECT *, [", "r AS MATERIALIZED (SELECT * FROM (SELECT *, [").replace("AS candidates FROM rw)", "AS candidates FROM rw) QUALIFY row_number() OVER (PARTITION BY id, norm, source, array_to_string(candidates, '|'), train ORDER BY doc_id) = 1)")}
@@ -518,20 +546,47 @@ def qualified_rename(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.when(n > 1, F.concat_ws(":", "conv_id", F.substring(F.sha2("text", 256), 1, 12))).otherwise(F.col("conv_id").cast("string")).alias("name"))
 
 
-@query("""SELECT doc_id, string_agg(code, ',' ORDER BY code) AS codes FROM (SELECT doc_id, unnest(list_filter([CASE WHEN length(text) < 40 THEN 'short_text' END, CASE WHEN n_chars > 8000 THEN 'long_text' END, CASE WHEN n_chars <> length(text) THEN 'wrong_length' END, CASE WHEN lang NOT IN ('en','de') THEN 'other_language' END, CASE WHEN source = 'src0' THEN 'blocked_source' END], lambda x: x IS NOT NULL)) AS code FROM documents) GROUP BY doc_id""")
-def row_validation_codes(t: Tables) -> DataFrame:
-    codes = V.error_codes([
-        ("short_text", F.length("text") < 40), ("long_text", F.col("n_chars") > 8000), ("wrong_length", F.col("n_chars") != F.length("text")),
-        ("other_language", ~F.col("lang").isin("en", "de")), ("blocked_source", F.col("source") == "src0"),
-    ])
-    return t.documents.select("doc_id", codes.alias("c")).where(F.size("c") > 0).select("doc_id", F.array_join(F.array_sort("c"), ",").alias("codes"))
+_MADE = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS state, CASE WHEN doc_id % 19 <> 0 THEN source END AS source, lang AS family, CASE WHEN doc_id % 17 = 0 THEN 'other' ELSE 'train' END AS split, CASE WHEN doc_id % 13 = 0 THEN 'guess' ELSE 'categorical' END AS metric,
+CASE doc_id % 9 WHEN 0 THEN {a}('a') WHEN 1 THEN {a}('a', ' A ') WHEN 2 THEN {a}('a', '') WHEN 3 THEN NULL ELSE {a}('a', 'b', 'c') END AS candidates, CASE doc_id % 5 WHEN 0 THEN 9 WHEN 1 THEN NULL WHEN 2 THEN -1 ELSE 1 END AS target,
+CASE doc_id % 7 WHEN 1 THEN {a}(0.5D, 0.5D) WHEN 2 THEN {a}(0.5D, 0.25D, 0.125D) WHEN 3 THEN {a}(0.75D, -0.25D, 0.5D) WHEN 4 THEN {a}(0.25D, 0.25D, 0.5D) WHEN 5 THEN {a}(1D, NULL, 0D) END AS probs FROM documents"""
+_CHECKS = {
+    "missing_state": "trim(state) = ''", "missing_source": "source IS NULL", "unknown_split": "split <> 'train'", "unknown_metric": "metric <> 'categorical'",
+}
+_ABOUT = {"candidates_missing": "candidates IS NULL", "candidates_too_few": "len(candidates) < 2", "candidate_blank": "list_contains(candidates, '')", "candidates_repeated": "candidates[2] = ' A '"}
+_SUPERVISED = {
+    "supervision_missing": "target IS NULL AND probs IS NULL", "target_out_of_range": "target < 0 OR target >= len(candidates)", "probs_wrong_length": "len(probs) <> len(candidates)", "probs_not_finite": "len(list_filter(probs, lambda x: x IS NULL)) > 0",
+    "probs_negative": "len(list_filter(probs, lambda x: x < 0)) > 0", "probs_wrong_sum": "len(list_filter(probs, lambda x: x IS NULL)) = 0 AND abs(list_sum(probs) - 1) > 1e-5",
+}
+
 
+def _coded(checks: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in checks.items()) + "], lambda x: x IS NOT NULL)"
 
-@query("""WITH i AS (SELECT doc_id, unnest(list_filter([CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN n_chars > 6000 THEN 'long' END, CASE WHEN lang = 'es' THEN 'spanish' END], lambda x: x IS NOT NULL)) AS kind FROM documents)
-SELECT kind, doc_id, count(*) OVER (PARTITION BY kind) AS total FROM i QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 20""")
+
+@query(f"""WITH m AS ({_MADE.format(a="list_value").replace("0.5D", "0.5::double").replace("0.25D", "0.25::double").replace("0.125D", "0.125::double").replace("0.75D", "0.75::double").replace("1D", "1::double").replace("0D", "0::double")}),
+c AS (SELECT *, {_coded(_CHECKS)} AS general, {_coded(_ABOUT)} AS about, {_coded(_SUPERVISED)} AS supervised FROM m)
+SELECT doc_id, array_to_string(list_sort(general || CASE WHEN len(about) > 0 THEN about ELSE supervised END), ',') AS codes FROM c WHERE len(general || CASE WHEN len(about) > 0 THEN about ELSE supervised END) > 0""")
+def row_validation_codes(t: Tables) -> DataFrame:
+    """Documents as rows with faults by their number, and the codes of all that is wrong; wrong candidates end the checks."""
+    t.documents.createOrReplaceTempView("rows_to_check")
+    r = t.spark.sql(_MADE.format(a="array").replace("FROM documents", "FROM rows_to_check"))
+    c = lambda name: F.col(name)
+    codes = V.row_errors({"state": c("state"), "source": c("source"), "family": c("family")}, c("split"), ["train"], c("metric"), ["categorical"], c("candidates"), lambda x: F.lower(F.trim(x)), c("target"), c("probs"))
+    return r.select("doc_id", codes.alias("c")).where(F.size("c") > 0).select("doc_id", F.array_join("c", ",").alias("codes"))
+
+
+@query(f"""WITH {ROWS}, i AS (SELECT doc_id, unnest(list_filter([CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN n_chars > 6000 THEN 'long' END, CASE WHEN lang = 'es' THEN 'spanish' END], lambda x: x IS NOT NULL)) AS kind FROM documents),
+x AS (SELECT grp FROM rows GROUP BY grp HAVING count(DISTINCT source) > 1), y AS (SELECT min(doc_id) AS doc_id, 'text_in_sources' AS kind FROM rows JOIN x USING (grp) GROUP BY grp),
+z AS (SELECT min(doc_id) AS doc_id, 'text_in_languages' AS kind FROM rows WHERE grp IN (SELECT grp FROM rows GROUP BY grp HAVING count(DISTINCT lang) > 1) GROUP BY grp)
+SELECT kind, doc_id, count(*) OVER (PARTITION BY kind) AS total FROM i QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 20
+UNION ALL SELECT kind, doc_id, count(*) OVER (PARTITION BY kind) FROM (SELECT * FROM y UNION ALL SELECT * FROM z) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY doc_id) <= 10""")
 def audit_report(t: Tables) -> DataFrame:
+    """Examples of each issue of rows (20) and of texts that stand in several sources or languages (10), with the counts of all."""
     codes = V.error_codes([("short", F.col("n_chars") < 100), ("long", F.col("n_chars") > 6000), ("spanish", F.col("lang") == "es")])
-    return V.capped_report(t.documents.select("doc_id", F.explode(codes).alias("kind")), "kind", [D()], 20).select("kind", "doc_id", "total")
+    issues = V.capped_report(t.documents.select("doc_id", F.explode(codes).alias("kind")), "kind", [D()], 20)
+    by_text = rows(t).groupBy("grp").agg(F.min("doc_id").alias("doc_id"), (F.min("source") < F.max("source")).alias("s"), (F.min("lang") < F.max("lang")).alias("l"))
+    both = by_text.select("doc_id", F.explode(V.error_codes([("text_in_sources", F.col("s")), ("text_in_languages", F.col("l"))])).alias("kind"))
+    return issues.unionByName(V.capped_report(both, "kind", [D()], 10)).select("kind", "doc_id", "total")
 
 
 @query(f"""WITH {SPLIT_ROWS} SELECT split, count(*) AS cases, count(DISTINCT grp) AS groups, (SELECT string_agg(lang||'='||n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM split_rows x WHERE x.split = s.split GROUP BY lang)) AS families FROM split_rows s GROUP BY split""")

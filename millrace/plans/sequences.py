@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as X
+from ..operators import ranks as R
 from ..operators import sequences as Sq
 from ..operators import validation as V
 from ..registry import Tables, query
@@ -55,9 +57,13 @@ def balanced_sampler(t: Tables) -> DataFrame:
     return Sq.balanced_draws(t.spark, t.documents.select("source", "doc_id"), "source", [F.col("doc_id")], 400, "draw").select("step", "source", "doc_id")
 
 
-@query("""SELECT k.k AS step, round(CASE WHEN k.k < 50 THEN (k.k + 1) / 50.0::double ELSE 0.5 * (1 + cos(pi() * (k.k - 50) / 950.0::double)) END, 6) AS factor FROM range(1000) k(k)""")
+@query("""WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY sha256('epoch:'||doc_id), doc_id) - 1) // 16 AS step, (SELECT (count(*) + 15) // 16 FROM documents) AS steps FROM documents)
+SELECT doc_id, step, round(CASE WHEN step < greatest(1, steps // 20) THEN (step + 1) / greatest(1, steps // 20)::double ELSE 0.5 * (1 + cos(pi() * (step - greatest(1, steps // 20)) / greatest(1, steps - greatest(1, steps // 20))::double)) END, 6) AS factor FROM p""")
 def warmup_cosine(t: Tables) -> DataFrame:
-    return t.spark.range(1000).select(F.col("id").alias("step"), F.round(Sq.warmup_cosine(F.col("id"), 50, 1000), 6).alias("factor"))
+    """The learning rate's factor at the update that sees each document: 16 a step in hash order, a twentieth of all steps to warm up."""
+    steps = -(-t.documents.count() // 16)
+    p = R.placed(t.documents.select("doc_id"), X.sha("epoch", F.col("doc_id")), "doc_id").withColumn("step", F.expr("place div 16"))
+    return p.select("doc_id", "step", F.round(Sq.warmup_cosine(F.col("step"), max(1, steps // 20), steps), 6).alias("factor"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text)::bigint AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..operators import preparation as P
+from ..operators import ranks as Rk
 from ..registry import Tables, query
+from .sql import NORM
 
 
 @query("""SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
@@ -52,9 +56,10 @@ def plan_denominators(t: Tables) -> DataFrame:
     return _planned(t).agg(*_denominators())
 
 
-@query(f"WITH {_PLAN} SELECT coalesce(tier, 'all') AS tier, {_COUNTS} FROM j GROUP BY GROUPING SETS ((tier), ())")
+@query(f"WITH {_PLAN} SELECT CASE WHEN GROUPING(tier) = 1 THEN 'all' ELSE 'tier' END AS scope, tier, {_COUNTS} FROM j GROUP BY GROUPING SETS ((tier), ())")
 def tier_report(t: Tables) -> DataFrame:
-    return _planned(t).rollup("tier").agg(*_denominators()).withColumn("tier", F.coalesce("tier", F.lit("all")))
+    """By tier, and over all; rows without a tier are a tier of their own (null)."""
+    return _planned(t).rollup("tier").agg(*_denominators(), F.grouping("tier").alias("whole")).select(F.when(F.col("whole") == 1, "all").otherwise("tier").alias("scope"), "*").drop("whole")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -64,13 +69,14 @@ def unattempted(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return Rk.percentiles(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95}).select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT o_orderpriority AS tier, round(sum(l_quantity) / sum(l_tax + 1), 6) AS per_second, round(quantile_cont(l_quantity, 0.5), 6) AS median FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def throughput_by_tier(t: Tables) -> DataFrame:
-    j = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.groupBy(F.col("o_orderpriority").alias("tier")).agg(F.round(F.sum("l_quantity") / F.sum(F.col("l_tax") + 1), 6).alias("per_second"), F.round(F.percentile("l_quantity", F.lit(0.5)), 6).alias("median"))
+    j = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("tier"), "l_quantity", "l_tax")
+    rates = j.groupBy("tier").agg(F.round(F.sum("l_quantity") / F.sum(F.col("l_tax") + 1), 6).alias("per_second"))
+    return rates.join(Rk.percentiles(j, "tier", "l_quantity", {"median": 0.5}), "tier").select("tier", "per_second", F.round("median", 6).alias("median"))
 
 
 @query("""WITH c AS (SELECT event_type, user_id % 5 AS round, CASE WHEN event_type = 'error' THEN 2.0::double ELSE value END + 0.5 AS cost FROM events)
@@ -107,13 +113,13 @@ def ordinal_soft_label(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(F.aggregate(soft, F.lit(0.0), lambda a, b: a + b), 5).alias("mean"), F.bround(x, 0).cast("int").alias("target"))
 
 
-@query("""WITH s AS (SELECT k.k AS id, ('0x'||substr(sha256('rule:a:'||k.k),1,8))::bigint % 24 AS a, ('0x'||substr(sha256('rule:b:'||k.k),1,8))::bigint % 24 AS b FROM range(2000) k(k))
-SELECT id, 'Task '||id||' starts at '||a||' and is due at '||b||'.' AS state, (b > a)::int AS target FROM s""")
+@query("""WITH s AS (SELECT o_orderkey AS id, ('0x'||substr(sha256('rule:a:'||o_orderkey),1,8))::bigint % 24 AS a, ('0x'||substr(sha256('rule:b:'||o_orderkey),1,8))::bigint % 24 AS b, o_orderpriority AS p FROM orders)
+SELECT id, 'Order '||id||' ('||p||') starts at '||a||' and is due at '||b||'.' AS state, (b > a)::int AS target FROM s""")
 def synthetic_rules(t: Tables) -> DataFrame:
-    """Rule texts from hashes; the label is computed apart from the text and holds by construction."""
+    """A rule text for each order, with hours from hashes of its key; the label is computed apart from the text and holds by construction."""
     draw = lambda tag: X.bucket(X.sha("rule", tag, F.col("id")), 8, 24)
-    s = t.spark.range(2000).withColumn("a", draw("a")).withColumn("b", draw("b"))
-    return s.select("id", F.format_string("Task %d starts at %d and is due at %d.", "id", "a", "b").alias("state"), (F.col("b") > F.col("a")).cast("int").alias("target"))
+    s = t.orders.select(F.col("o_orderkey").alias("id"), "o_orderpriority").withColumn("a", draw("a")).withColumn("b", draw("b"))
+    return s.select("id", F.format_string("Order %d (%s) starts at %d and is due at %d.", "id", "o_orderpriority", "a", "b").alias("state"), (F.col("b") > F.col("a")).cast("int").alias("target"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value, len(json_keys(props))::int AS keys FROM events")
@@ -123,12 +129,19 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.element_at(m, F.element_at(keys, 1)).alias("first_value"), F.size(keys).alias("keys"))
 
 
-@query("SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0 AND c_mktsegment <> 'NONE') AS valid, count(*) FILTER (NOT (c_acctbal > 0)) AS quarantined FROM customer GROUP BY 1")
+@query(f"""WITH p AS (SELECT role, text AS positive, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS negative FROM conversations),
+i AS (SELECT role, CASE WHEN positive IS NULL OR trim(positive) = '' THEN 'blank' WHEN {NORM.replace("text", "positive")} = {NORM.replace("text", "coalesce(negative, '')")} THEN 'same' END AS issue FROM p)
+SELECT role, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue = 'blank') AS blank, count(*) FILTER (issue = 'same') AS same FROM i GROUP BY role""")
 def pair_validity(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(F.count_if((F.col("c_acctbal") > 0) & (F.col("c_mktsegment") != "NONE")).alias("valid"), F.count_if(~(F.col("c_acctbal") > 0)).alias("quarantined"))
+    """Each turn with the one before it as its negative: how many pairs are valid, and why the others are set aside."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    p = t.conversations.select("role", "text", before.alias("negative")).withColumn("issue", P.pair_issue(F.col("text"), F.col("negative"), X.norm))
+    return p.groupBy("role").agg(F.count_if(F.col("issue").isNull()).alias("valid"), *(F.count_if(F.col("issue") == k).alias(k) for k in ("blank", "same")))
 
 
-@query("SELECT p_partkey, (list_position(['1','2','3'], left(p_size::varchar, 1)) - 1)::int AS choice FROM part WHERE left(p_size::varchar, 1) IN ('1','2','3')")
+@query("""SELECT l_orderkey, l_linenumber, (list_position(labels, l_returnflag||l_linestatus) - 1)::int AS choice, len(labels)::int AS choices FROM lineitem JOIN (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag||l_linestatus)) AS labels FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)""")
 def choice_lookup(t: Tables) -> DataFrame:
-    p = F.array_position(F.array(*map(F.lit, "123")), F.left(F.col("p_size").cast("string"), F.lit(1)))
-    return t.part.where(p > 0).select("p_partkey", (p - 1).cast("int").alias("choice"))
+    """The place of each line's own answer among the labels of its order."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("answer"))
+    labels = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("answer")).alias("labels"))  # an order has a few lines
+    return lines.join(labels, "l_orderkey").select("l_orderkey", "l_linenumber", (F.array_position("labels", F.col("answer")) - 1).cast("int").alias("choice"), F.size("labels").alias("choices"))
