@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -47,6 +50,63 @@ def round_robin(rows: DataFrame, stratum: str, family: str, order: list[Column],
     return quota(ranked, [stratum], [F.col("turn"), F.col(family)], n).withColumnRenamed("rank", "place")
 
 
+def constrained_round_robin(rows: DataFrame, strata: list[str], quota_: int, most: int, per_group: int, late: str | None = None) -> DataFrame:
+    """(id, stratum, turn): up to `quota_` rows of each stratum, families in turn, `most` different rows in all.
+
+    rows: id, strata (array: a row may lie in several), family, group, key (unique: the order in a family). Strata are filled in
+    the order given. A family's turn takes its next row: one that an earlier stratum took counts here too, one whose group
+    has `per_group` rows is passed over. In the stratum `late`, families that others took rows of come before the rest.
+
+    What can be taken is found first, by ranks: the first `per_group` rows of a group in a family, of those the first
+    quota_ + most (no more can be passed over), of the first quota_ + most families and of those that may come first in
+    `late`. So the fold, in one task, sees a number of rows that depends on the bounds alone.
+    """
+    horizon = quota_ + most
+    r = rows.select("id", "family", "group", "key", F.explode("strata").alias("stratum")).where(F.col("stratum").isin(strata))
+    r = quota(r, ["stratum", "family", "group"], [F.col("key")], per_group).drop("rank")
+    r = quota(r, ["stratum", "family"], [F.col("key")], horizon).drop("rank")
+    ordered = r.select("stratum", "family").distinct().withColumn("seat", F.row_number().over(W.partitionBy("stratum").orderBy("family"))).where(F.col("seat") <= horizon)
+    early = ordered.where(F.col("stratum") != F.lit(late)).select("family").distinct() if late else None
+    near = r.join(ordered.select("stratum", "family"), ["stratum", "family"], "left_semi")
+    if early is not None:
+        near = near.union(r.where(F.col("stratum") == late).join(early, "family", "left_semi").select(*near.columns)).distinct()
+    # a row that one stratum may take counts in all of its strata
+    held = rows.select("id", "family", "group", "key", "strata").join(near.select("id").distinct(), "id", "left_semi")
+
+    def fold(pdf):
+        taken, groups, families, out = set(), Counter(), set(), []
+        for stratum in strata:
+            pools: dict = {}
+            for x in sorted(pdf[[stratum in s for s in pdf["strata"]]].itertuples(), key=lambda x: x.key):
+                pools.setdefault(x.family, []).append(x)
+            first = lambda f: (stratum == late and f not in families, f)
+            line, turn = deque(iter(pools[f]) for f in sorted(pools, key=first)), 0
+            while line and turn < quota_ and len(taken) < most:
+                pool = line.popleft()
+                row = next((x for x in pool if x.id in taken or groups[x.group] < per_group), None)
+                if row is None:
+                    continue  # a family without rows leaves the line
+                line.append(pool)
+                if row.id not in taken:
+                    taken.add(row.id)
+                    groups[row.group] += 1
+                    if stratum != late:
+                        families.add(row.family)
+                out.append((row.id, stratum, turn))
+                turn += 1
+        return pd.DataFrame(out, columns=["id", "stratum", "turn"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return held.groupBy(F.lit(0).alias("all")).applyInPandas(fold, f"id {kind}, stratum string, turn int")
+
+
+def interleaved(chosen: DataFrame, strata: list[str]) -> DataFrame:
+    """(id, place): the rows of a round robin, one of each stratum in turn, each row once."""
+    seat = F.array_position(F.array(*map(F.lit, strata)), F.col("stratum"))
+    first = chosen.groupBy("id").agg(F.min(F.struct("turn", seat.alias("seat"))).alias("at"))
+    return first.select("id", (F.row_number().over(W.orderBy("at.turn", "at.seat")) - 1).alias("place"))  # as few rows as were chosen
+
+
 def most_alike(labels: DataFrame, n: int, key, wide: int = 10) -> DataFrame:
     """(id, other, shared): for each label (id, words) the n others with most words in common, ties by key(id), then id.
 

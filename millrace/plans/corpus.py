@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..operators import grams as Gr
 from ..operators import greedy as G
 from ..operators import digests as Dg
 from ..operators import near as N
@@ -21,7 +18,6 @@ from ..operators import sequences as Sq
 from ..operators import splits as S
 from ..operators import validation as V
 from ..registry import ORACLES, Tables, query
-from ..session import spread
 from .sql import NORM, ROWS, SEED, SPLIT_ROWS, h
 
 _ROW = "sha256(length(doc_id::varchar)||':'||doc_id||'|'||coalesce(length(text)||':'||text, '-'))"
@@ -249,6 +245,19 @@ def stratified_round_robin(t: Tables) -> DataFrame:
     return Q.round_robin(t.documents.select("doc_id", "lang", stratum.alias("stratum")), "stratum", "lang", [D()], 16).select("stratum", "lang", "doc_id", "place")
 
 
+@query()
+def context_probe(t: Tables) -> DataFrame:
+    """Up to 48 documents from four strata of length, languages in turn, at most two of one text; in the order in which to probe them."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all("text", F.lit(f"({X.WORD})"), 1), F.length)), F.lit(0))
+    d = rows(t).withColumn("n", F.length("text")).withColumn("longest", longest)
+    size, wide = F.col("n"), F.col("longest")
+    strata = V.error_codes([("short", (size <= 1000) & (wide <= 16)), ("middle", size.between(1001, 4000) & (wide <= 24)), ("long", size.between(4001, 20_000) & (wide <= 24)), ("wide", wide.between(17, 24) & (size <= 20_000))])
+    r = d.select(D().alias("id"), strata.alias("strata"), F.col("lang").alias("family"), F.col("grp").alias("group"), F.concat_ws("|", X.piped_sha("17", D()), D()).alias("key"))
+    chosen = N.materialised(Q.constrained_round_robin(r, ["middle", "long", "wide", "short"], 12, 48, 2, late="short"))
+    strata_of = chosen.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("stratum")), ",").alias("strata"))
+    return Q.interleaved(chosen, ["short", "middle", "long", "wide"]).join(strata_of, "id").select(F.col("id").alias("doc_id"), "strata", "place")
+
+
 @query(f"WITH {ROWS} SELECT min(doc_id) AS doc_id, grp, count(*) AS copies FROM rows GROUP BY grp")
 def exact_dedup_first(t: Tables) -> DataFrame:
     return rows(t).groupBy("grp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "grp", "copies")
@@ -448,41 +457,17 @@ def repair_digests(t: Tables) -> DataFrame:
     return repaired(t).digests
 
 
-_GRAMS = """{n} AS (SELECT DISTINCT id, sha256(array_to_string(t[i:i+12], ' ')) AS g, src FROM (SELECT {id} AS id, {src} AS src, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t, unnest(range(1, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) - 12 + 1)) AS i FROM {table}))"""
-
-
-def grams(df: DataFrame, id_: str, *more: str, n: int = 13, only: DataFrame | None = None, most: int = 2_000_000) -> DataFrame:
-    """(id, more, g): the distinct runs of n words as hashes. only (g): those of no interest are left out where they are made.
-
-    With more than `most` distinct ones in `only`, all are returned, and the join that follows does the work.
-    """
-    words = spread(df.select(id_, *more, "text")).select(F.col(id_).alias("id"), *more, F.regexp_extract_all(F.lower("text"), F.lit(f"({X.WORD})"), 1).alias("w")).where(F.size("w") >= n)
-    held = None
-    if only is not None and only.select("g").distinct().limit(most + 1).count() <= most:
-        held = set(only.select("g").distinct().toArrow().column("g").to_pylist())
-    sent = df.sparkSession.sparkContext.broadcast(held)
-    kept = words.select("id", *more).schema
-
-    def cut(batches):
-        wanted = sent.value
-        for batch in batches:
-            rows, found = [], []
-            for i, w in enumerate(batch.column(len(kept)).to_pylist()):
-                own = {hashlib.sha256(" ".join(w[k : k + n]).encode()).hexdigest() for k in range(len(w) - n + 1)}
-                own = own if wanted is None else own & wanted
-                found += own
-                rows += [i] * len(own)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(len(kept))), pa.array(found, pa.string())], [*kept.names, "g"])
-
-    return words.mapInArrow(cut, T.StructType([*kept.fields, T.StructField("g", T.StringType())])).distinct()
+_GRAMS = """{n}_w AS MATERIALIZED (SELECT {id} AS id, {src} AS src, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {table}),
+{n} AS MATERIALIZED (SELECT DISTINCT id, array_to_string(t[i:i+12], ' ') AS g, src FROM (SELECT id, src, t, unnest(range(1, len(t) - 12 + 1)) AS i FROM {n}_w))"""
 
 
 @query(f"WITH {_GRAMS.format(n='dg', id='doc_id', src='source', table='documents')}, {_GRAMS.format(n='bg', id='item_id', src='0', table='benchmark')} SELECT dg.src AS source, count(DISTINCT dg.id) AS documents, count(DISTINCT bg.id) AS items FROM dg JOIN bg USING (g) GROUP BY ALL")
 def benchmark_overlap_13gram(t: Tables) -> DataFrame:
-    items = N.materialised(grams(t.benchmark, "item_id").select(F.col("id").alias("item"), "g"))
-    hit = grams(t.documents, "doc_id", "source", only=items).join(items, "g")
-    return hit.groupBy("source").agg(F.countDistinct("id").alias("documents"), F.countDistinct("item").alias("items"))
+    """Documents and items by source that share a run of 13 words."""
+    items = N.materialised(Gr.word_runs(t.benchmark.select(F.col("item_id").alias("item"), "text"), 13))
+    held = Gr.held_hashes(items)
+    hit = Gr.word_runs(t.documents.select("doc_id", "source", "text"), 13, held).drop("hash").join(items.drop("hash"), "run")
+    return hit.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item").alias("items"))
 
 
 @query(f"""WITH RECURSIVE {ROWS}, c AS (SELECT DISTINCT source||'/'||lang AS g, grp AS text FROM rows), o AS (SELECT grp AS text, arg_min(source||'/'||lang, doc_id) AS g FROM rows GROUP BY grp),
@@ -659,6 +644,7 @@ def length_bucketed_epoch(t: Tables) -> DataFrame:
     return G.distinct_group_batches(b, "chunk", "inside", "source", 16)
 
 
-@query()
+@query("""WITH k AS (SELECT event_id, props, list_sort(json_keys(props)) AS keys FROM events), v AS (SELECT *, list_transform(keys, lambda k: json_extract(props, '$.'||k)::varchar) AS vals FROM k)
+SELECT event_id, sha256('{'||array_to_string(list_transform(range(1, len(keys) + 1), lambda i: '"'||keys[i]||'":'||vals[i]), ',')||'}') AS props_hash, true AS strict, array_to_string(list_transform(range(1, len(keys) + 1), lambda i: keys[i]||': '||vals[i]), chr(10)||chr(10)) AS prose FROM v""")
 def canonical_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.sha2(X.canonical_json("props"), 256).alias("props_hash"), X.strict_json("props").alias("strict"), X.prose("props").alias("prose"))

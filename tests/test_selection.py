@@ -200,3 +200,65 @@ def test_table_digest(spark):
     assert one(df) != one(df.union(df.limit(1))) and one(df) != one(df.union(df).union(df)) and one(df.where("false")) == (0, "0" * 32)
     assert one(spark.createDataFrame([("a", "bc")], "x string, y string")) != one(spark.createDataFrame([("ab", "c")], "x string, y string"))
     assert one(spark.createDataFrame([(None, "-")], "x string, y string")) != one(spark.createDataFrame([("-", None)], "x string, y string"))
+
+
+def test_shared_runs(spark):
+    """Runs of three words against plain sets, with and without the filter; texts with repeats, short and null ones."""
+    from millrace.operators import grams
+
+    rnd = random.Random(4)
+    some = lambda n: " ".join(rnd.choice(["a", "B", "ü", "dd", "e"]) for _ in range(n))
+    rows = [(k, some(rnd.choice([0, 2, 3, 30]))) for k in range(30)] + [(30, None), (31, "a a a a a")]
+    items = [(k, some(6)) for k in range(8)] + [(9, None)]
+    runs = lambda t: {tuple(w[k : k + 3]) for w in [(t or "").lower().split()] for k in range(len(w) - 2)}
+    want = {(d, i, " ".join(g)) for d, t in rows for i, x in items for g in runs(t) & runs(x)}
+    left, right = spark.createDataFrame(rows, "doc long, text string"), grams.word_runs(spark.createDataFrame(items, "item long, text string"), 3)
+    held = grams.held_hashes(right)
+    assert len(held) == len({g for _, x in items for g in runs(x)}) and grams.held_hashes(right, most=2) is None
+    for only in (None, held):
+        got = grams.word_runs(left, 3, only)
+        assert {(r.doc, r.item, r.run) for r in got.join(right.drop("hash"), "run").collect()} == want and want
+    assert {(r.doc, r.run) for r in grams.word_runs(left, 3).collect()} == {(d, " ".join(g)) for d, t in rows for g in runs(t)}
+    assert grams.word_runs(left, 3, held[:0]).count() == 0
+
+
+def plain_round_robin(rows, strata, quota, most, per_group, late):
+    """Every stratum in sweeps over all families, over all rows."""
+    chosen, groups, long_families, out = [], Counter(), set(), []
+    for s in strata:
+        mine = sorted((r for r in rows if s in r[1]), key=lambda r: r[4])
+        families = sorted({r[2] for r in mine}, key=lambda f: (s == late and f not in long_families, f))
+        place, n, moved = Counter(), 0, True
+        while moved and n < quota and len(chosen) < most:
+            moved = False
+            for f in families:
+                pool = [r for r in mine if r[2] == f]
+                while place[f] < len(pool):
+                    r = pool[place[f]]
+                    place[f] += 1
+                    if r[0] not in chosen and groups[r[3]] >= per_group:
+                        continue
+                    if r[0] not in chosen:
+                        chosen.append(r[0])
+                        groups[r[3]] += 1
+                        if s != late:
+                            long_families.add(f)
+                    out.append((r[0], s, n))
+                    n, moved = n + 1, True
+                    break
+                if n >= quota or len(chosen) >= most:
+                    break
+    return out
+
+
+@pytest.mark.parametrize("seed, families, groups, quota, most", [(1, 3, 5, 6, 20), (2, 40, 200, 4, 16), (3, 2, 2, 5, 20), (4, 8, 30, 12, 48), (5, 60, 3, 3, 6)])
+def test_constrained_round_robin(spark, seed, families, groups, quota, most):
+    rnd = random.Random(seed)
+    strata = ["b", "c", "d", "a"]
+    rows = [(k, rnd.sample(strata, rnd.choice([0, 1, 1, 1, 2])), f"f{rnd.randrange(families):02}", rnd.choice([0, rnd.randrange(groups)]), f"{rnd.random():.12f}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, strata array<string>, family string, group long, key string").repartition(4)
+    got = sampling.constrained_round_robin(df, strata, quota, most, 2, late="a").collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain_round_robin(rows, strata, quota, most, 2, "a"))
+    order = [r.id for r in sorted(sampling.interleaved(spark.createDataFrame(got), ["a", "b", "c", "d"]).collect(), key=lambda r: r.place)]
+    seen = dict.fromkeys(r.id for r in sorted(got, key=lambda r: (r.turn, "abcd".index(r.stratum))))
+    assert order == list(seen)
