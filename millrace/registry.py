@@ -32,4 +32,4 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-from .plans import corpus, generations, predictions, scores, sequences, storage, tables  # noqa: E402, F401  (registers)
+from .plans import corpus, generations, predictions, scans, scores, sequences, storage, tables  # noqa: E402, F401  (registers)

@@ -13,7 +13,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
+
+from ..operators.ranks import placed
 
 DECISION_ROW = (
     "id string, source string, family string, group string, workflow_group string, split string, state string, question string, "
@@ -36,10 +37,10 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def first_whole(rows: DataFrame, group: str, order: str, steps: int) -> DataFrame:
-    """Whole groups in order until at least `steps` rows are reached."""
+    """Whole groups, in order of their least `order` and then of the group, until at least `steps` rows are reached."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(order).alias("at"))
-    before = F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    return rows.join(sizes.withColumn("before", before).where(F.col("before") < steps).select(group), group, "left_semi")
+    taken = placed(sizes, "at", group, size=F.col("n")).where(F.col("start") < steps).select(group)
+    return rows.join(taken, group, "left_semi")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -53,8 +54,18 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def positional_sample(df: DataFrame, positions: DataFrame) -> DataFrame:
-    """Rows of a Parquet file by their place in it. positions: (position)."""
-    return df.select("*", F.col("_metadata.row_index").alias("position"), F.col("_metadata.file_path").alias("file")).join(positions, "position", "left_semi")
+    """Rows of a Parquet table by their place in it: files in order of their paths, rows in order of each file. positions: (position).
+
+    What lies before a file is a sum over one row a file.
+    """
+    own = df.select("*", F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_path").alias("__file"))
+    before, files = 0, []
+    for r in sorted(own.groupBy("__file").agg(F.count("*").alias("n")).collect(), key=lambda r: r["__file"]):
+        files.append((r["__file"], before))
+        before += r["n"]
+    first = df.sparkSession.createDataFrame(files, "__file string, __before long")
+    placed_ = own.join(F.broadcast(first), "__file").withColumn("position", F.col("__row") + F.col("__before"))
+    return placed_.drop("__row", "__file", "__before").join(positions, "position", "left_semi")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
