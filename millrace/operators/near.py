@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -135,38 +136,56 @@ def _similar(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
 
 
 def near_links(sketched: DataFrame, least: float) -> DataFrame:
-    """(a, b): links with the same components as near_pairs, in two steps, so that a group of near copies stays linear.
+    """(a, b): links with the same components as near_pairs, linear in groups of copies and of near copies.
 
-    Copies meet their first one only, which stands for all of them. Every bucket compares its members with its first;
-    what those links leave in different components is then compared across components alone.
+    Copies meet their first one only, which stands for all of them; the others are linked by `linked_buckets`.
     """
-    some = sketched.where(F.size("sketch") > 1)
-    first = materialised(some.groupBy("sketch").agg(F.min("id").alias("first")))
-    alone = first.select(F.col("first").alias("id"), "sketch")
-    copies = some.join(first, "sketch").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    banded = materialised(bands(alone))
-    leaders = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
-    asked = materialised(banded.join(leaders, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    links = materialised(_similar(asked, alone, least).select("a", "b"))
-    placed = banded.join(components(links, alone.select("id")), "id")
-    apart = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    left = materialised(placed.join(apart, ["band", "key"]).select("band", "key", "id", "component"))
-    other = left.select("band", "key", F.col("id").alias("b"), F.col("component").alias("d"))
-    rest = left.withColumnRenamed("id", "a").join(other, ["band", "key"]).where("a < b AND component <> d").select("a", "b").distinct().join(asked, ["a", "b"], "left_anti")
-    return links.union(_similar(rest, alone, least).select("a", "b")).union(copies)
-
-
-def loose_pairs(sets: DataFrame, least: float = 0.8, anchors: int = 8) -> DataFrame:
-    """(a, b, similarity): full sets (id, sketch) that share a couple of neighbours among their smallest hashes, wherever it is.
-
-    The couples are first with second, third with fourth and so on of the `anchors` smallest; their place is no part of them.
+    alone, copies = _first_of_copies(sketched.where(F.size("sketch") > 1))
+    keyed = bands(alone).select(F.concat_ws("/", "band", "key").alias("key"), "id")
+    return linked_buckets(keyed, alone.select("id"), lambda pairs: _similar(pairs, alone, least).select("a", "b")).union(copies)
+
+
+def loose_links(sets: DataFrame, least: float = 0.8, anchors: int = 8) -> DataFrame:
+    """(a, b): links with the same components as all pairs of full sets (id, sketch) that share a couple and are alike enough.
+
+    Couples are the first with the second, the third with the fourth and so on of the `anchors` smallest hashes, wherever they lie.
     """
+    alone, copies = _first_of_copies(sets.where(F.size("sketch") > 1))
     n = F.floor(F.least(F.size("sketch"), F.lit(anchors)) / 2).cast("int")
-    couples = sets.where(n > 0).select("id", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("sketch", i * 2), F.get("sketch", i * 2 + 1)))).alias("key"), F.size("sketch").alias("n"))
-    other = couples.select(F.col("id").alias("b"), "key", F.col("n").alias("m"))
-    pairs = couples.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+    couples = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("sketch", i * 2), F.get("sketch", i * 2 + 1)))
+    keyed = alone.select(F.explode(F.array_distinct(couples)).alias("key"), "id")
+    size = alone.select("id", F.size("sketch").alias("n"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        fits = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        return _similar(fits.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b"), alone, least).select("a", "b")
+
+    return linked_buckets(keyed, alone.select("id"), compare).union(copies)
+
+
+def _first_of_copies(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, sketch) of the first of each group of equal sketches, and (a, b) of the first with each other one."""
+    first = materialised(sketched.groupBy("sketch").agg(F.min("id").alias("first")))
+    copies = sketched.join(first, "sketch").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return first.select(F.col("first").alias("id"), "sketch"), copies
+
+
+def linked_buckets(keyed: DataFrame, ids: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links with the same components as compare(all pairs of ids that share a key).
+
+    keyed: (key, id); compare takes pairs (a, b) and returns those that are links. Every bucket compares its members
+    with its first; what those links leave in different components is then compared across components alone.
+    """
+    keyed = materialised(keyed)
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    asked = materialised(keyed.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    links = materialised(compare(asked))
+    placed = keyed.join(components(links, ids), "id")
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = materialised(placed.join(apart, "key").select("key", "id", "component"))
+    other = left.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
+    rest = left.withColumnRenamed("id", "a").join(other, "key").where("a < b AND component <> d").select("a", "b").distinct().join(asked, ["a", "b"], "left_anti")
+    return links.union(compare(rest))
 
 
 def components(pairs: DataFrame, ids: DataFrame) -> DataFrame:

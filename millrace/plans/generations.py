@@ -38,13 +38,15 @@ def full_shingle_sets(t: Tables) -> DataFrame:
     return full_sets(t).select("id", F.size("sketch").alias("n"), F.element_at("sketch", 1).alias("least"))
 
 
-@query(f"""WITH {_FULL}, k0 AS (SELECT id, s, list_sort(s) AS o FROM s0), b0 AS (SELECT id, len(s) AS n, o[2*j.j+1]||o[2*j.j+2] AS key FROM k0, range(4) j(j) WHERE j.j < least(len(s), 8) // 2),
+@query(f"""WITH RECURSIVE {_FULL}, k0 AS (SELECT id, s, list_sort(s) AS o FROM s0), b0 AS (SELECT id, len(s) AS n, o[2*j.j+1]||o[2*j.j+2] AS key FROM k0, range(4) j(j) WHERE j.j < least(len(s), 8) // 2),
 p0 AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b0 x JOIN b0 y ON x.key = y.key AND x.id < y.id AND least(x.n, y.n) >= 0.8::double * greatest(x.n, y.n)),
-j0 AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS c, len(x.s) + len(y.s) AS u FROM p0 JOIN s0 x ON x.id = a JOIN s0 y ON y.id = b)
-SELECT a, b, round(c::double / (u - c), 6) AS similarity FROM j0 WHERE c::double / (u - c) >= 0.8::double""")
+j0 AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS c, len(x.s) + len(y.s) AS u FROM p0 JOIN s0 x ON x.id = a JOIN s0 y ON y.id = b), near0 AS (SELECT a, b FROM j0 WHERE c::double / (u - c) >= 0.8::double),
+both0 AS (SELECT a, b FROM near0 UNION SELECT b, a FROM near0), r0 AS (SELECT id, id AS reach FROM s0 UNION SELECT r0.id, both0.b FROM r0 JOIN both0 ON both0.a = r0.reach)
+SELECT id, min(reach) AS component FROM r0 GROUP BY id""")
 def near_dup_full_sets(t: Tables) -> DataFrame:
-    """Near pairs of the first generation: couples of anchors wherever they lie, a bound on the sizes, full sets at 0.8."""
-    return N.loose_pairs(full_sets(t)).withColumn("similarity", F.round("similarity", 6))
+    """Groups of near texts of the first generation: couples of anchors wherever they lie, a bound on the sizes, full sets at 0.8, united."""
+    s = full_sets(t)
+    return N.components(N.loose_links(s), s.select("id"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, {NORM} AS x FROM documents), w AS (SELECT doc_id, length(x) > 32000 AS windowed, regexp_extract_all(CASE WHEN length(x) > 32000 THEN left(x, 16000)||' '||right(x, 16000) ELSE x END, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS w FROM x),

@@ -302,6 +302,9 @@ def masked_contrastive_loss(t: Tables) -> DataFrame:
     return Vec.contrastive_loss(e, "batch", block=8).select("batch", F.round("loss", 4).alias("loss"), "rows")
 
 
-@query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) AS norm, len(embedding)::int AS dims FROM embeddings")
+@query("""WITH n AS (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) AS norm FROM embeddings)
+SELECT vec_id, label, round(norm, 5) AS norm, len(embedding)::int AS dims, round(embedding[1]::double / norm, 5) AS first, round(embedding[len(embedding)]::double / norm, 5) AS last, round(list_sum(list_transform(embedding, lambda x: (x::double / norm) * (x::double / norm))), 5) AS unit FROM n""")
 def vector_norms(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", "label", F.round(F.sqrt(Vec.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), F.size("embedding").alias("dims"))
+    """Norms, and the unit vectors: their ends and their length."""
+    v = t.embeddings.withColumn("u", Vec.normalised(F.col("embedding")))
+    return v.select("vec_id", "label", F.round(F.sqrt(Vec.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), F.size("embedding").alias("dims"), F.round(F.element_at("u", 1), 5).alias("first"), F.round(F.element_at("u", -1), 5).alias("last"), F.round(Vec.dot(F.col("u"), F.col("u")), 5).alias("unit"))

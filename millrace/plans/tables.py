@@ -80,11 +80,15 @@ def throughput_by_tier(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT event_type, user_id % 5 AS round, CASE WHEN event_type = 'error' THEN 2.0::double ELSE value END + 0.5 AS cost FROM events)
-SELECT event_type, round, round(sum(cost), 4) AS spent, sum(cost) > 5000 AS over_cap FROM c GROUP BY ALL""")
+SELECT event_type, round, round(sum(cost), 4) AS spent, sum(cost) > 5000 AS over_cap, (SELECT sum(cost) > 30000 FROM c x WHERE x.round = c.round) AS round_over, (SELECT sum(cost) > 100000 FROM c) AS project_over FROM c GROUP BY event_type, round""")
 def ledger_caps(t: Tables) -> DataFrame:
+    """Estimated cost, or what is reserved where there is no estimate, plus overhead: by group, and whether group, round and project are over their caps."""
     estimate = F.when(F.col("event_type") != "error", F.col("value"))
-    cost = F.sum(F.coalesce(estimate, F.lit(2.0)) + 0.5)
-    return t.events.groupBy("event_type", (F.col("user_id") % 5).alias("round")).agg(F.round(cost, 4).alias("spent"), (cost > 5000).alias("over_cap"))
+    c = t.events.select("event_type", (F.col("user_id") % 5).alias("round"), (F.coalesce(estimate, F.lit(2.0)) + 0.5).alias("cost"))
+    groups = c.groupBy("event_type", "round").agg(F.sum("cost").alias("cost"))  # rounds and the project are sums of these few rows
+    rounds = groups.groupBy("round").agg((F.sum("cost") > 30_000).alias("round_over"))
+    project = groups.agg((F.sum("cost") > 100_000).alias("project_over"))
+    return groups.join(rounds, "round").join(F.broadcast(project)).select("event_type", "round", F.round("cost", 4).alias("spent"), (F.col("cost") > 5000).alias("over_cap"), "round_over", "project_over")
 
 
 @query("SELECT p_brand, arg_min(p_partkey, (p_size, p_retailprice, p_partkey)) AS chosen, count(*) AS eligible FROM part WHERE p_retailprice < 1500 GROUP BY p_brand")
