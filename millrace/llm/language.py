@@ -180,7 +180,10 @@ def predict(docs: DataFrame, model: ByteCnn | None, keep: list[Column | str]) ->
 def language_id(docs: DataFrame, most: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from documents whose crc32(doc_id) mod 3 is not 1.
 
-    A null doc_id is not held out and not learned from. Repeated rows stay; an empty table gives no rows.
+    A text that is null, empty or without a letter has `und` and score 0, and so have all texts where nothing can be learned
+    (no label at all). Long texts are scored over all their windows; of equal scores the language that comes first by
+    name counts. A null doc_id is not held out and not learned from. Rows without a label are scored like others. Repeated
+    rows stay; an empty table gives no rows; other columns are ignored.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = train(docs.where(~out & F.col("doc_id").isNotNull()), "lang", most)

@@ -134,8 +134,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     shards by ranges of doc_id, so that only one shuffle of the texts is needed and nothing is encoded twice. A shard's files get their names by a rename when they are whole; a repeated or speculative task
     writes other names, and the manifest names those of the task that counted.
 
-    Null text: only the end id. Null doc_id: first, in order of text. Repeated ids or rows: all are written,
-    ordered by doc_id, then text. Empty table: no shard.
+    Null text: only the end id. Null doc_id: first. Repeated ids or rows: all are written; those of one doc_id are ordered
+    by the first 64 characters of their texts, and by whole texts in a shard (a hot doc_id fills several). Empty table: no shard.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -225,7 +225,11 @@ def read_records(spark, folder: str, manifest: list[tuple[int, str, int, int]],
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write the records into the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
+    """Write the records into the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Every row has a record: null and empty texts the end id alone, repeated rows one each; a null doc_id stays null and
+    comes first. An empty table gives no rows; other columns are ignored. Order among equal doc_ids: see write_records.
+    """
     scratch = Scratch(docs.sparkSession, "tokens")
     manifest = write_records(docs, scratch.path("records"), tokenizer, end_id)
     found = read_records(docs.sparkSession, scratch.path("records"), manifest, tokenizer)
