@@ -162,12 +162,12 @@ _BY_SOURCE = _BOOT.replace("SELECT family, source AS cluster", "SELECT source AS
 
 
 @query(f"""WITH {LOGITS}, {_BY_SOURCE}, m AS (SELECT replicate, system, avg(accuracy) AS a FROM rp GROUP BY ALL), g AS (SELECT replicate, max(a) FILTER (system = 'b') - max(a) FILTER (system <> 'b') AS gain FROM m GROUP BY replicate)
-SELECT count(*) AS replicates, round(avg(gain), 6) AS mean_gain, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high FROM g""")
+SELECT count(*) AS replicates, round(avg(gain), 9) AS mean_gain, round(quantile_cont(gain, 0.025), 9) AS low, round(quantile_cont(gain, 0.975), 9) AS high FROM g""")
 def bootstrap_by_source(t: Tables) -> DataFrame:
     """The earlier interval: 1,000 replicates, groups of rows drawn within each source, the mean of the sources' means."""
     grouped = scored(t).drop("family").withColumn("family", F.col("source")).withColumn("cluster", F.sha2((D() % 40).cast("string"), 256))
     reps = B.replicates(B.cluster_sums(grouped, "cluster"), 1000, "strata")
-    return B.gain_interval(reps, "b").select("replicates", *(F.round(c, 6).alias(c) for c in ("mean_gain", "low", "high")))
+    return B.gain_interval(reps, "b").select("replicates", *(F.round(c, 9).alias(c) for c in ("mean_gain", "low", "high")))
 
 
 _GRID2 = "g AS (SELECT k.k::bigint AS step, pow(10.0::double, -1 + k.k * 2.0::double / 160) AS t FROM range(161) k(k))"
