@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The frame through a reliable checkpoint, so that later expressions cannot be merged into what made it."""
     shared_folder(df.sparkSession)

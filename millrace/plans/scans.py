@@ -9,11 +9,11 @@ from ..functions import text as X
 from ..operators import heads as H
 from ..operators import scoring as C
 from ..operators import validation as V
+from ..operators.near import own_folder
 from ..registry import Tables, query
 from ..sources import io
 from ..streaming import resume
 from .sql import LOGITS, SEED, h
-from .storage import own_folder
 
 _ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,7 +21,7 @@ _ROW = "doc_id long, text string, lang string, source string, n_chars long"
 @query("SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars, NULL::varchar AS broken FROM documents")
 def jsonl_scan(t: Tables) -> DataFrame:
     """Documents as JSON lines and back; texts with quotes and newlines stay whole, and no line is broken."""
-    path = own_folder(t, "jsonl")
+    path = own_folder(t.spark, "jsonl")
     io.write_jsonl(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), path)
     return io.read_jsonl(t.spark, path, _ROW).select("doc_id", F.sha2("text", 256).alias("text_hash"), "lang", "source", "n_chars", F.col("_corrupt_record").alias("broken"))
 
@@ -29,7 +29,7 @@ def jsonl_scan(t: Tables) -> DataFrame:
 @query("""SELECT conv_id, turn, role, sha256(text) AS text_hash FROM conversations""")
 def csv_scan(t: Tables) -> DataFrame:
     """Conversations as CSV with a header and back."""
-    path = own_folder(t, "csv")
+    path = own_folder(t.spark, "csv")
     t.conversations.select("conv_id", "turn", "role", "text").write.option("header", True).option("escape", '"').csv(path)
     return io.read_csv(t.spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_hash"))
 
@@ -37,7 +37,7 @@ def csv_scan(t: Tables) -> DataFrame:
 @query(f"WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey FROM orders) SELECT position, o_orderkey FROM p WHERE {h(f"'{SEED}:position:'||position", 8, 50)} = 0")
 def positional_sample(t: Tables) -> DataFrame:
     """One in fifty places of a table that was written in order of its key, by hash of the place, and the rows that lie there."""
-    path = own_folder(t, "orders")
+    path = own_folder(t.spark, "orders")
     t.orders.select("o_orderkey").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
     table = t.spark.read.parquet(path)
     places = t.spark.range(table.count()).withColumnRenamed("id", "position").where(X.bucket(X.sha(SEED, "position", F.col("position")), 8, 50) == 0)
@@ -60,7 +60,7 @@ def required_rows(t: Tables) -> DataFrame:
 @query("SELECT doc_id AS id, (n_chars % 97)::bigint AS score, (SELECT count(*) FROM documents) AS first_run, (SELECT count(*) FROM documents) AS second_run FROM documents")
 def resumed_scores(t: Tables) -> DataFrame:
     """Documents scored as a stream that is started twice: the second start finds everything done, and scores nothing again."""
-    source, out = own_folder(t, "scored-source"), own_folder(t, "scored")
+    source, out = own_folder(t.spark, "scored-source"), own_folder(t.spark, "scored")
     t.documents.select(F.col("doc_id").alias("id"), "n_chars").write.parquet(source)
     score = lambda d: d.select("id", (F.col("n_chars") % 97).alias("score"))
     counts = []

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +9,19 @@ from ..functions import text as X
 from ..operators import embedding_cache as E
 from ..operators import freeze as Z
 from ..operators import heads as H
-from ..operators.near import shared_folder
+from ..functions.letters import letter_counts
+from ..operators.near import own_folder
 from ..registry import Tables, query
 from ..sources import csr
 from .sql import LOGITS, digest_sql
 
 
-def own_folder(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT doc_id AS id, len(w)::int AS n_tokens, (sum(len(w)) OVER (ORDER BY doc_id) - len(w))::bigint AS start, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS total, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::int AS longest
 FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM documents)""")
 def csr_round_trip(t: Tables) -> DataFrame:
     """Arrays (here the lengths of each document's words) written as flat files in order of id, and read back with their offsets."""
     lengths = F.transform(F.regexp_extract_all("text", F.lit(f"({X.WORD})"), 1), F.length)
-    path = own_folder(t, "csr")
+    path = own_folder(t.spark, "csr")
     csr.write_csr(t.documents.select(F.col("doc_id").alias("id"), lengths.alias("tokens")), path)
     total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return csr.read_csr(t.spark, path).select("id", F.size("tokens").alias("n_tokens"), "start", total.alias("total"), F.coalesce(F.array_max("tokens"), F.lit(0)).alias("longest"))
@@ -40,7 +34,7 @@ _LIMITS = {"candidate_tokens": 768, "state_tokens": 2048}
 + "\nUNION ALL SELECT 'limit', 'candidate_tokens', '768', NULL UNION ALL SELECT 'limit', 'rationale', 'chosen on development rows', NULL UNION ALL SELECT 'limit', 'state_tokens', '2048', NULL")
 def frozen_recipe(t: Tables) -> DataFrame:
     """Three tables and two limits, frozen, found again under another partitioning, and validated when the final table is opened."""
-    folder = own_folder(t, "recipe")
+    folder = own_folder(t.spark, "recipe")
     tables = {name: getattr(t, name) for name in ("benchmark", "conversations", "documents")}
     Z.freeze(t.spark, folder, tables, _LIMITS, "chosen on development rows")
     if Z.freeze(t.spark, folder, {k: v.repartition(3) for k, v in tables.items()}, _LIMITS, "chosen on development rows") != "reused":
@@ -48,16 +42,11 @@ def frozen_recipe(t: Tables) -> DataFrame:
     return Z.open_final(t.spark, folder, tables, _LIMITS)
 
 
-def letter_counts(texts: list[str]) -> np.ndarray:
-    """A stand-in for an encoder: how long a text is, and how often it has a, e and a space."""
-    return np.array([(len(x), x.count("a"), x.count("e"), x.count(" ")) for x in texts], float).reshape(-1, 4)
-
-
 @query("""SELECT doc_id, length(text)::int AS size, (length(text) - length(replace(text, 'a', '')))::int AS a, (length(text) - length(replace(text, 'e', '')))::int AS e, (length(text) - length(replace(text, ' ', '')))::int AS spaces,
 (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS first_run, (SELECT count(DISTINCT text) FROM documents) - (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS second_run, 0::bigint AS third_run FROM documents""")
 def embedding_cache(t: Tables) -> DataFrame:
     """Vectors of all documents after three runs: over half of the rows, over all, and over all again; each encodes what is new."""
-    folder, texts = own_folder(t, "vectors"), t.documents.select("doc_id", "text")
+    folder, texts = own_folder(t.spark, "vectors"), t.documents.select("doc_id", "text")
     runs = [E.encode_missing(x, folder, letter_counts, wave=20_000) for x in (texts.where("doc_id % 2 = 0"), texts, texts)]
     v = E.embedded(texts, folder)
     at = lambda k: F.get("vector", F.lit(k)).cast("int")

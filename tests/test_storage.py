@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.letters import letter_counts
 from millrace.operators import embedding_cache, freeze, heads, vectors
 from millrace.operators.near import shared_folder
-from millrace.plans.storage import letter_counts
 from millrace.sources import csr
 
 
