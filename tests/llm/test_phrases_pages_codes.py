@@ -90,6 +90,9 @@ def test_op12_pages():
     assert extract.main_text(PAGE) == TEXT
     article = PAGE.replace('<div class="post">', "<article>").replace("</div>\n<div class", "<aside>Not this</aside><form>Nor <input> this</form></article>\n<div class", 1)
     assert extract.main_text(article) == TEXT
+    lone = '<body><div>Some words about this site that stand on every page of it.</div><article class="post comments-open"><p>The article, which is open for comments.</p></article>'
+    assert extract.main_text(lone) == "The article, which is open for comments."
+    assert extract.main_text(lone.replace("post comments-open", "post") + "<article class=comment><p>Well said, and more words.</p></article>") == "The article, which is open for comments."
     cut = PAGE[: PAGE.index("with a break") + 6]
     assert extract.main_text(cut) == TEXT[: TEXT.index("with a break") + 6]
     parts = "".join(f"<div><p>Part {k} has a text that is as long as that of others.</p><p>And a second paragraph.</p></div>" for k in range(4))
