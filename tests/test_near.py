@@ -3,9 +3,10 @@
 import hashlib
 import random
 
-import pyarrow as pa
+import duckdb
 from pyspark.sql import functions as F
 
+from millrace import registry
 from millrace.operators import near
 
 
@@ -37,3 +38,42 @@ def test_only_sets_that_share_a_couple_are_asked_for(spark):
     links = near.loose_links(spark.createDataFrame(rows, "id long, n int, anchors array<bigint>, digest binary"), fetch)
     assert sorted((r.a, r.b) for r in links.collect()) == [(1, 2), (1, 3)]
     assert sorted(asked) == [1, 3]
+
+
+def test_no_bucket_is_skipped(spark):
+    base = list(range(1000, 1060))
+    rows = [(k, [*base, 10**6 + k]) for k in range(600)]
+    got = near.near_classes(spark.createDataFrame(rows, "id long, sketch array<bigint>"), 0.85, None)
+    assert got.skipped.count() == 0 and got.links.count() == 600 * 599 // 2
+
+
+def test_pairs_of_full_buckets_and_copies(spark, tmp_path):
+    """520 edited texts in the same buckets, and copies: every pair of different texts, every copy, and the first pairs across the splits."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words, f"end{k}"]) for k in range(520)] + [" ".join([*words, f"end{k}"]) for k in range(40)] + ["one more text of its own"] * 30
+    rows = [(k, t, "en", "src1", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("near_dup_pairs", "near_dup_cross_split"):
+        got = sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(db.sql(registry.ORACLES[name]).fetchall())
+        assert len(got) > 120_000 and sum(r[2] == 1 for r in got) == 69 if name == "near_dup_pairs" else len(got) == 100
+
+
+def test_first_cross_pairs(spark):
+    """Against all pairs: classes of many members, near ones on both sides, and ties."""
+    rnd = random.Random(7)
+    ids = rnd.sample(range(1000), 300)
+    members = [(i, [min(ids[k::6]) for k in range(6)][n % 6], 50) for n, i in enumerate(ids)]
+    names = sorted({c for _, c, _ in members})
+    links = [(names[0], names[1], 0.9), (names[1], names[2], 0.95), (names[3], names[4], 0.9)]
+    found = near.NearClasses(spark.createDataFrame(members, "id long, class long, copies long"), spark.createDataFrame(links, "a long, b long, similarity double"), None)
+    alike = {(c, c): 1.0 for c in names} | {(a, b): s for a, b, s in links} | {(b, a): s for a, b, s in links}
+    for most, train in ((100, lambda i: i % 10 < 7), (30, lambda i: i > 500), (3000, lambda i: i % 50 == 0)):
+        want = sorted((-alike[c, d], a, b) for a, c, _ in members for b, d, _ in members if train(a) and not train(b) and (c, d) in alike)[:most]
+        assert [(-r.similarity, r.a, r.b) for r in near.first_cross_pairs(found, lambda c: train_column(c, most), most).collect()] == want
+
+
+def train_column(c, most):
+    return {100: c % 10 < 7, 30: c > 500, 3000: c % 50 == 0}[most]
