@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near import shared_folder
+from .near import materialised, shared_folder
 from .ranks import placed
 
 CACHE = "key string, vector array<float>"
@@ -37,9 +37,13 @@ def encode_missing(texts: DataFrame, folder: str, encode: Callable[[list[str]],
     finite matrix with a row a text, or the job fails. Null texts have no vector.
     """
     spark = texts.sparkSession
-    wanted = texts.where("text IS NOT NULL").select("text").distinct().withColumn("key", content_key())
-    missing = wanted.join(cached(spark, folder).select("key"), "key", "left_anti")
-    ordered = placed(missing.withColumn("size", F.length("text")), "size", "key").withColumn("wave", F.floor(F.col("place") / wave))
+    wanted = texts.where("text IS NOT NULL").select("text", content_key().alias("key"))
+    keys = wanted.groupBy("key").agg(F.first(F.length("text")).alias("size")).join(cached(spark, folder).select("key"), "key", "left_anti")
+    # places go by keys alone; a text is dealt once, to its key
+    order = materialised(placed(keys, "size", "key").select("key", "size", F.floor(F.col("place") / wave).alias("wave")))
+    if order.isEmpty():
+        return 0
+    ordered = wanted.join(order, "key").dropDuplicates(["key"])
     # each wave reads its own folder
     beside = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}"
     ordered.select("text", "key", "size", "wave").write.partitionBy("wave").parquet(beside)
@@ -73,4 +77,5 @@ def encode_missing(texts: DataFrame, folder: str, encode: Callable[[list[str]],
 
 def embedded(texts: DataFrame, folder: str) -> DataFrame:
     """The rows with their vectors; a text that is not in the cache has none."""
-    return texts.join(cached(texts.sparkSession, folder).withColumnRenamed("key", "__key"), content_key() == F.col("__key"), "left").drop("__key")
+    own = texts.withColumn("__own", content_key())  # so that the text itself need not be dealt
+    return own.join(cached(texts.sparkSession, folder).withColumnRenamed("key", "__key"), F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
