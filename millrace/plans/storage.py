@@ -37,7 +37,8 @@ def frozen_recipe(t: Tables) -> DataFrame:
     folder = own_folder(t.spark, "recipe")
     tables = {name: getattr(t, name) for name in ("benchmark", "conversations", "documents")}
     Z.freeze(t.spark, folder, tables, _LIMITS, "chosen on development rows")
-    if Z.freeze(t.spark, folder, {k: v.repartition(3) for k, v in tables.items()}, _LIMITS, "chosen on development rows") != "reused":
+    other = {k: v.repartition(2 * v.rdd.getNumPartitions() + 1) for k, v in tables.items()}
+    if Z.freeze(t.spark, folder, other, _LIMITS, "chosen on development rows") != "reused":
         raise RuntimeError("an equal recipe was not reused")
     return Z.open_final(t.spark, folder, tables, _LIMITS)
 
