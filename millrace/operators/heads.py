@@ -51,17 +51,21 @@ def projected_cosine(state: np.ndarray, action: np.ndarray, w: dict[str, np.ndar
     return (s * a).sum(1) * min(float(np.exp(w["log_scale"][0, 0])), clamp)
 
 
-def request_error(state: Column, texts: Column, tokens: Callable[[Column], Column], state_limit: int, candidate_limit: int, joint_limit: int) -> Column:
-    """Why a request is not scored, by the first rule it breaks; null if it is. tokens: the count of a text's tokens, as a column."""
+def request_error(state: Column, texts: Column, tokens: Callable[[Column], Column], state_limit: int, candidate_limit: int, joint_limit: int, state_tokens: Column | None = None, joint_tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Why a request is not scored, by the first rule it breaks; null if it is. tokens: the count of a text's tokens, as a column.
+
+    state_tokens and joint_tokens (of a candidate): the same counts where they are known, or cheaper than by counting whole joint texts.
+    """
     n = F.coalesce(F.size(texts), F.lit(0))
+    joint = joint_tokens or (lambda x: tokens(F.concat(state, F.lit(SEPARATOR), x)))
     return (
         F.when(n < 2, "too few candidates").when(n > 64, "too many candidates")
         .when(F.exists(texts, lambda x: x.isNull() | (F.trim(x) == "")), "empty candidate")
         .when(F.size(F.array_distinct(texts)) < n, "repeated candidate")
         .when(state.isNull() | (F.trim(state) == ""), "empty state")
-        .when(tokens(state) > state_limit, "long state")
+        .when((tokens(state) if state_tokens is None else state_tokens) > state_limit, "long state")
         .when(F.exists(texts, lambda x: tokens(x) > candidate_limit), "long candidate")
-        .when(F.exists(texts, lambda x: tokens(F.concat(state, F.lit(SEPARATOR), x)) > joint_limit), "long joint input")
+        .when(F.exists(texts, lambda x: joint(x) > joint_limit), "long joint input")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,11 +70,14 @@ def table_weights(t: Tables) -> DataFrame:
 @query()
 def joint_ranking(t: Tables) -> DataFrame:
     """Every document as a state with four of its words as candidates: a reason where a limit is passed, else scores and ranks."""
-    w = F.regexp_extract_all("text", F.lit(f"({X.WORD})"), 1)
-    word = lambda k: F.struct(F.lit(str(k)).alias("key"), F.get(w, F.lit(k)).alias("text"))
+    # one match of up to four words, so that no text is cut into all its words
+    first = functools.reduce(lambda rest, _: f"({X.WORD})(?:[^\\p{{L}}\\p{{N}}_]+{rest})?", range(3), f"({X.WORD})")
+    word = lambda k: F.struct(F.lit(str(k)).alias("key"), F.nullif(F.regexp_extract("text", first, k + 1), F.lit("")).alias("text"))
     r = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("state"), F.filter(F.array(*map(word, range(4))), lambda c: c["text"].isNotNull()).alias("candidates"))
     n = lambda c: F.regexp_count(c, F.lit(X.WORD_OR_MARK))
-    error = H.request_error(F.col("state"), F.transform("candidates", lambda c: c["text"]), n, 2048, 768, 2100)
+    # white space parts the separator from both sides, so that tokens of a joint text add up, and a state is counted once
+    r = r.withColumn("n_state", n(F.col("state")))
+    error = H.request_error(F.col("state"), F.transform("candidates", lambda c: c["text"]), n, 2048, 768, 2100, F.col("n_state"), lambda x: F.col("n_state") + n(F.lit(H.SEPARATOR)) + n(x))
     return H.rank_joint(r, letter_counts, H.head_weights(table_weights(t)), error)
 
 

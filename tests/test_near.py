@@ -7,7 +7,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from millrace import registry
-from millrace.operators import near
+from millrace.functions.text import WORD_OR_MARK
+from millrace.operators import heads, near
 
 
 def hashes(words, width=5):
@@ -77,3 +78,14 @@ def test_first_cross_pairs(spark):
 
 def train_column(c, most):
     return {100: c % 10 < 7, 30: c > 500, 3000: c % 50 == 0}[most]
+
+
+def test_joint_limits_from_counts_that_add_up(spark):
+    """The same reasons by whole joint texts and by sums; the count of a state is taken from its column."""
+    rows = [(1, "a b, c", ["x", "y z"]), (2, " a. b ", ["p", "q r s t u v w"]), (3, "w " * 30, ["x", "y"]), (4, "w " * 12, ["x!", "y"]), (5, None, ["x", "y"])]
+    df = spark.createDataFrame(rows, "id long, state string, texts array<string>")
+    n = lambda c: F.regexp_count(c, F.lit(WORD_OR_MARK))
+    df = df.withColumn("known", n(F.col("state")))
+    sums = lambda x: F.col("known") + n(F.lit(heads.SEPARATOR)) + n(x)
+    got = df.select(heads.request_error(F.col("state"), F.col("texts"), n, 20, 5, 16).alias("whole"), heads.request_error(F.col("state"), F.col("texts"), n, 20, 5, 16, F.col("known"), sums).alias("sums")).collect()
+    assert [r.whole for r in got] == [r.sums for r in got] == [None, "long candidate", "long state", "long joint input", "empty state"]
