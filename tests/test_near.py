@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import weakref
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace import registry
@@ -24,6 +26,23 @@ def test_hashes_are_numbers_in_the_order_of_their_digits(spark):
     assert got[1].x.n == 296 and got[1].x.anchors == got[1].s[:8] and got[3].x.n == 0
 
 
+def test_hashes_of_a_batch_lie_in_one_buffer():
+    """No text's hashes are held beside the buffer: what was appended is gone when the next but one is made."""
+    made, alive = [], []
+
+    def found():
+        for k in range(2000):
+            x = np.arange(k % 5, dtype=np.int64) - k
+            made.append(weakref.ref(x))
+            alive.append(sum(r() is not None for r in made[-10:]))
+            yield x
+
+    got = near._lists(found())
+    assert got.to_pylist() == [[j - k for j in range(k % 5)] for k in range(2000)]
+    assert max(alive) <= 2
+    assert near._lists(iter([])).to_pylist() == []
+
+
 def test_only_sets_that_share_a_couple_are_asked_for(spark):
     rnd = random.Random(3)
     fresh = lambda n: sorted(rnd.sample(range(1 << 60), n))
