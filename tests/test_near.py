@@ -67,6 +67,20 @@ def test_no_bucket_is_skipped(spark):
     assert got.skipped.count() == 0 and got.links.count() == 600 * 599 // 2
 
 
+def test_pairs_whose_sizes_rule_them_out_are_not_dealt(spark, monkeypatch):
+    """Also where full buckets are skipped: sketches of 40, 41 and 60 hashes share their bands, and only the first two can be alike."""
+    asked, similar = [], near._similar
+
+    def watched(pairs, *rest):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near, "_similar", watched)
+    rows = [(k, list(range(n))) for k, n in ((1, 40), (2, 41), (3, 60))]
+    got = near.near_classes(spark.createDataFrame(rows, "id long, sketch array<bigint>"), 0.85)
+    assert asked == [(1, 2)] and [(r.a, r.b, round(r.similarity, 6)) for r in got.links.collect()] == [(1, 2, round(40 / 41, 6))]
+
+
 def test_pairs_of_full_buckets_and_copies(spark, tmp_path):
     """520 edited texts in the same buckets, and copies: every pair of different texts, every copy, and the first pairs across the splits."""
     words = [f"w{k}" for k in range(60)]
