@@ -28,6 +28,23 @@ def _packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return block.select(F.transform("x", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.flatten(F.transform("x", lambda v: v["embedding"].cast("array<double>"))).alias(name))
 
 
+def _best(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, k: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, ids, cosines): the k nearest of y (ids b) for each of x (ids a), ties by id; `rows` queries at a time, so that no more cosines are held."""
+    with np.errstate(all="ignore"):
+        norms = np.linalg.norm(y, axis=1)[None, :]
+        for lo in range(0, len(a), rows):
+            ids, part = a[lo : lo + rows], x[lo : lo + rows]
+            cosine = np.round((part @ y.T) / np.linalg.norm(part, axis=1)[:, None] / norms, 6)
+            cosine[(ids[:, None] == b[None, :]) | ~np.isfinite(cosine)] = -2
+            least = np.partition(cosine, -min(k, len(b)), axis=1)[:, -min(k, len(b)), None]
+            i, j = np.nonzero((cosine >= least) & (cosine > -2))  # the k best and what ties with the last of them
+            near = cosine[i, j]
+            order = np.lexsort((b[j], -near, i))
+            i, j, near = i[order], j[order], near[order]
+            some = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield ids[i[some]], b[j[some]], near[some]
+
+
 def nearest_to(vectors: DataFrame, queries: DataFrame, k: int, temperature: float = 0.07, block: int = 2000) -> DataFrame:
     """(query, vec_id, cosine, score, rank): the k nearest of all vectors for each of a stated set of queries.
 
@@ -36,18 +53,16 @@ def nearest_to(vectors: DataFrame, queries: DataFrame, k: int, temperature: floa
     """
     both = _packed(queries, block, "q").crossJoin(_packed(vectors, block, "v"))
 
+    def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for q_ids, q, v_ids, v in zip(*(batch.column(c) for c in range(4))):
+            a, b = (np.asarray(i.values) for i in (q_ids, v_ids))
+            x, y = (np.asarray(m.values).reshape(len(i), -1) for m, i in ((q, a), (v, b)))
+            yield from (pa.RecordBatch.from_arrays([*map(pa.array, found)], ["query", "vec_id", "cosine"]) for found in _best(a, x, b, y, k))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, v_ids, v in zip(*(batch.column(c) for c in range(4))):
-                a, b = (np.asarray(i.values) for i in (q_ids, v_ids))
-                x, y = (np.asarray(m.values).reshape(len(i), -1) for m, i in ((q, a), (v, b)))
-                with np.errstate(all="ignore"):
-                    cosine = np.round((x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :], 6)
-                cosine[(a[:, None] == b[None, :]) | ~np.isfinite(cosine)] = -2
-                best = np.stack([np.lexsort((b, -c))[:k] for c in cosine])
-                near = np.take_along_axis(cosine, best, 1).ravel()
-                some = near > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, best.shape[1])[some]), pa.array(b[best].ravel()[some]), pa.array(near[some])], ["query", "vec_id", "cosine"])
+            yield from blocks(batch)
+            del batch  # else it is held while the next one is read
 
     found = both.mapInArrow(search, "query long, vec_id long, cosine double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)

@@ -212,3 +212,27 @@ def test_contrastive_loss(spark, block):
         lse = lambda m, axis: np.log(np.where(m, np.exp(z), 0).sum(axis))
         want = np.mean([np.mean(lse(counted, axis) - lse(positive, axis)) for axis in (0, 1)])
         assert got[b] == (pytest.approx(want), len(x))
+
+
+def test_best_of_a_block_in_bounded_memory():
+    """Ties by id, rows without a direction, fewer rows than k; of 2000 x 2000 cosines only those of some queries are held."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    for n, m, k in ((300, 400, 5), (7, 3, 5), (1, 1, 2)):
+        x, y = rnd.integers(-1, 2, (n, 3)).astype(float), rnd.integers(-1, 2, (m, 3)).astype(float)
+        a, b = rnd.permutation(1000)[:n], rnd.permutation(1000)[:m]
+        want = []
+        with np.errstate(all="ignore"):
+            for i, u in zip(a, x):
+                c = [(-round(float(u @ v / np.linalg.norm(u) / np.linalg.norm(v)), 6), int(j)) for j, v in zip(b, y) if i != j and u.any() and v.any()]
+                want += [(int(i), j, -s) for s, j in sorted(c)[:k]]
+        got = [r for part in vectors._best(a, x, b, y, k) for r in zip(*(c.tolist() for c in part))]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want])
+    x = rnd.normal(size=(2000, 64))
+    tracemalloc.start()
+    assert sum(len(part[0]) for part in vectors._best(np.arange(2000), x, np.arange(2000), x, 5)) == 10000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
