@@ -262,3 +262,12 @@ def test_constrained_round_robin(spark, seed, families, groups, quota, most):
     order = [r.id for r in sorted(sampling.interleaved(spark.createDataFrame(got), ["a", "b", "c", "d"]).collect(), key=lambda r: r.place)]
     seen = dict.fromkeys(r.id for r in sorted(got, key=lambda r: (r.turn, "abcd".index(r.stratum))))
     assert order == list(seen)
+
+
+def test_most_alike_does_not_rank_by_label(spark):
+    """The labels of a kind share one list: no window (and so no sort) over all labels times n + 1."""
+    df = spark.createDataFrame([(k, ["a", f"w{k % 3}"]) for k in range(200)], "id long, words array<string>")
+    found = sampling.most_alike(df, 3, lambda c: F.sha2(c.cast("string"), 256))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(" in plan and "windowspecdefinition(id#" not in plan
+    assert found.count() == 600
