@@ -626,3 +626,30 @@ def test_held_out_accuracy(spark):
     assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] >= 0.95
     good = quality.quality(docs, labels).where("held_out").join(labels, "doc_id")
     assert good.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] >= 0.95
+
+
+def test_op10_native(spark):
+    """Lines, votes and edits by DataFrame functions alone, with no more Python in the plans, as numpy and plain Python have them."""
+    texts = ["Ab, 12\n\n--\nÉa_b 中文 ½\tx", "", "x", "ab 99", "\n" + " ".join(WORDS[:40]), None, "𝒜 b\n" + prose(300)]
+    kinds = lines.kinds_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = kinds.collect()
+    want = {lines.normalised(x) for t in texts if t for x in t.split("\n")} - {""}
+    assert {r.norm for r in got} == want and all(r.chars == len(r.norm) for r in got)
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for x in want for w in x.split(" ")], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for r in got:
+        ws = [hashes[w] for w in r.norm.split(" ")]
+        assert r.sim & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in ws) > len(ws))
+    pairs = []
+    for k in range(300):
+        x = " ".join("".join(R.choice("abc") for _ in range(R.randint(1, 4))) for _ in range(R.randint(1, 12)))
+        w = x.split(" ")
+        for _ in range(R.randint(0, 2)):
+            at = R.randrange(len(w) + 1)
+            w[at : at + R.randint(0, 1)] = R.choice([[], ["b"], ["abca"]])
+        pairs.append((k, x, " ".join(w) or "c"))
+    df = spark.createDataFrame(pairs, "id long, norm string, norm2 string").select("*", F.length("norm").alias("chars"), F.length("norm2").alias("chars2"))
+    alike = lines.similar(df, ["id"])
+    within = lambda x, y: plain_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
+    assert {r.id for r in alike.collect()} == {k for k, x, y in pairs if within(x, y)}
+    for plan in (kinds, alike.select("id")):
+        assert not re.search("Python|Pandas|MapInArrow", plan._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", ""))
