@@ -122,3 +122,35 @@ def test_joint_limits_from_counts_that_add_up(spark):
     sums = lambda x: F.col("known") + n(F.lit(heads.SEPARATOR)) + n(x)
     got = df.select(heads.request_error(F.col("state"), F.col("texts"), n, 20, 5, 16).alias("whole"), heads.request_error(F.col("state"), F.col("texts"), n, 20, 5, 16, F.col("known"), sums).alias("sums")).collect()
     assert [r.whole for r in got] == [r.sums for r in got] == [None, "long candidate", "long state", "long joint input", "empty state"]
+
+
+def long_texts(spark, folder):
+    """Texts of over 16,000 characters: copies but for words in the middle, and two with a middle of their own."""
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    head, middle, tail = words(1500), words(1500), words(1500)
+    texts = [" ".join([*head, *middle[:700], f"x{k}", *middle[701:], *tail]) for k in range(6)]
+    texts += [" ".join([*head, *words(4000), *tail]) for _ in range(2)] + ["A short text, of its own.", "", None]
+    rows = [(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return texts, db
+
+
+def test_sketch_of_whole_texts(spark, tmp_path):
+    """The middle of a long text is hashed as well, in SQL and code."""
+    texts, db = long_texts(spark, tmp_path)
+    got = {r.id: r for r in registry.QUERIES["shingle_sketch"](spark, str(tmp_path)).collect()}
+    assert sorted(tuple(r) for r in got.values()) == sorted(db.sql(registry.ORACLES["shingle_sketch"]).fetchall())
+    for k, text in enumerate(texts[:8]):
+        want = hashes(text.lower().split())[:512]
+        assert (got[k].n, got[k].least, got[k].greatest) == (512, want[0], want[-1])
+
+
+def test_words_of_a_long_text_are_taken_in_parts():
+    text = "one, two three. four five six seven one, two three. four five" * 20
+    for width, most, least, marks in ((5, 512, 1, True), (5, None, 20, False), (1, 3, 1, True), (5, 9, 10**6, True), (500, None, 1, True)):
+        want = near._hashes(text, width, most, least, marks).tolist()
+        assert all(near._hashes(text, width, most, least, marks, some).tolist() == want for some in (1, 2, 4, 5, 100))
+    assert near._hashes("one, two three", 5, None, 1, True, 1).tolist() == near._hashes("one, two three", 5, None, 1, True).tolist() != []
