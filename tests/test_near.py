@@ -154,3 +154,11 @@ def test_words_of_a_long_text_are_taken_in_parts():
         want = near._hashes(text, width, most, least, marks).tolist()
         assert all(near._hashes(text, width, most, least, marks, some).tolist() == want for some in (1, 2, 4, 5, 100))
     assert near._hashes("one, two three", 5, None, 1, True, 1).tolist() == near._hashes("one, two three", 5, None, 1, True).tolist() != []
+
+
+def test_pairs_by_whole_texts(spark, tmp_path):
+    """Texts whose ends are equal and whose middles are not are no pair; those with one other word in the middle are linked."""
+    _, db = long_texts(spark, tmp_path)
+    got = sorted(tuple(r) for r in registry.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.sql(registry.ORACLES["near_dup_pairs"]).fetchall())
+    assert {k for r in got for k in r[:2]} == set(range(6))
