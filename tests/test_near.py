@@ -162,3 +162,11 @@ def test_pairs_by_whole_texts(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect())
     assert got == sorted(db.sql(registry.ORACLES["near_dup_pairs"]).fetchall())
     assert {k for r in got for k in r[:2]} == set(range(6))
+
+
+def test_cross_pairs_by_whole_texts(spark, tmp_path):
+    """The same across the splits: nothing joins a text to one that has its ends alone."""
+    _, db = long_texts(spark, tmp_path)
+    got = [tuple(r) for r in registry.QUERIES["near_dup_cross_split"](spark, str(tmp_path)).collect()]
+    assert got == db.sql(registry.ORACLES["near_dup_cross_split"]).fetchall()
+    assert got and {k for r in got for k in r[:2]} <= set(range(6))
