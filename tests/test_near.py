@@ -170,3 +170,21 @@ def test_cross_pairs_by_whole_texts(spark, tmp_path):
     got = [tuple(r) for r in registry.QUERIES["near_dup_cross_split"](spark, str(tmp_path)).collect()]
     assert got == db.sql(registry.ORACLES["near_dup_cross_split"]).fetchall()
     assert got and {k for r in got for k in r[:2]} <= set(range(6))
+
+
+def full_buckets(spark, folder):
+    """1,300 texts that differ in their last word: most of their buckets have over 500 classes."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words, f"end{k}"]), "en", f"src{k % 5}", 300) for k in range(1300)] + [(1300 + k, f"text {k} of its own kind", "de", "src1", 20) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return db
+
+
+def test_greedy_selection_skips_no_bucket(spark, tmp_path):
+    """The first held-out one of the edited texts bars nearly all others (some pairs share no band): not so where full buckets are skipped."""
+    db = full_buckets(spark, tmp_path)
+    got = sorted(tuple(r) for r in registry.QUERIES["greedy_selection"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.sql(registry.ORACLES["greedy_selection"]).fetchall())
+    assert sum(r[1] == "en" for r in got) < 5
