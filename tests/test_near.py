@@ -188,3 +188,11 @@ def test_greedy_selection_skips_no_bucket(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.QUERIES["greedy_selection"](spark, str(tmp_path)).collect())
     assert got == sorted(db.sql(registry.ORACLES["greedy_selection"]).fetchall())
     assert sum(r[1] == "en" for r in got) < 5
+
+
+def test_repair_digests_skip_no_bucket(spark, tmp_path):
+    """Training rows that are near a held-out one only by full buckets go as well."""
+    db = full_buckets(spark, tmp_path)
+    got = sorted(tuple(r) for r in registry.QUERIES["repair_digests"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.sql(registry.ORACLES["repair_digests"]).fetchall())
+    assert {r[0]: r[1] for r in got}["train_after"] < 100
