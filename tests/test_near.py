@@ -196,3 +196,30 @@ def test_repair_digests_skip_no_bucket(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.QUERIES["repair_digests"](spark, str(tmp_path)).collect())
     assert got == sorted(db.sql(registry.ORACLES["repair_digests"]).fetchall())
     assert {r[0]: r[1] for r in got}["train_after"] < 100
+
+
+def test_components_keep_sketches_of_candidates_alone(spark, tmp_path, monkeypatch):
+    """Of 300 unlike texts no sketch is kept, and they take no part in the rounds; couples count in the same place alone."""
+    rnd = random.Random(13)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(6, 90))) for _ in range(300)]
+    texts += [" ".join([*words[:k], "other", *words[k:]]) for k in (0, 100, 200, 300)] + [" ".join(words)] * 2 + ["one two", "one two", "", None]
+    rows = [(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    kept, rounds, materialised = set(), [], near.materialised
+
+    def watched(df):
+        out = materialised(df)
+        if "sketch" in out.columns:
+            kept.update(r.id for r in out.collect())
+        if "was" in out.columns:
+            rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "materialised", watched)
+    got = sorted(tuple(r) for r in registry.QUERIES["near_dup_components"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.sql(registry.ORACLES["near_dup_components"]).fetchall())
+    assert kept and kept <= set(range(300, 306)) and rounds and max(rounds) <= 6
+    assert sum(r[0] != r[1] for r in got) >= 4
